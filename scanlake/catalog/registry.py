@@ -25,6 +25,9 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Cal
         if sql is not None:
             if not views:
                 ORACLES[name] = sql
+            elif sql.lstrip().upper().startswith("WITH RECURSIVE "):
+                prefix = with_views(*views).replace("WITH ", "WITH RECURSIVE ", 1)
+                ORACLES[name] = prefix + ",\n" + sql.lstrip()[15:]
             elif sql.lstrip().upper().startswith("WITH "):
                 ORACLES[name] = with_views(*views) + ",\n" + sql.lstrip()[5:]
             else:
@@ -83,7 +86,7 @@ def sql_matvec(a: list[str], v: list[str]) -> list[str]:
 def sql_rpy(a: list[str]) -> list[str]:
     return [
         f"atan2({a[7]}, {a[8]})",
-        f"asin(greatest(least(-{a[6]}, CAST(1 AS DOUBLE)), CAST(-1 AS DOUBLE)))",
+        f"asin(CASE WHEN -{a[6]} > 1 THEN 1 WHEN -{a[6]} < -1 THEN -1 ELSE -{a[6]} END)",
         f"atan2({a[3]}, {a[0]})",
     ]
 

@@ -28,6 +28,6 @@ def azimuth360(x: Column, y: Column) -> Column:
 
 
 def clamp(value: Column, limit) -> Column:
-    """``value`` limited to plus and minus ``limit``."""
+    """``value`` limited to plus and minus ``limit``; null stays null."""
     limit = limit if isinstance(limit, Column) else F.lit(float(limit))
-    return F.greatest(F.least(value, limit), -limit)
+    return F.when(value > limit, limit).when(value < -limit, -limit).otherwise(value)

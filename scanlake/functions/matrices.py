@@ -20,7 +20,6 @@ def symmetric3(values: pd.Series) -> np.ndarray:
     return flat[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
 
 
-@F.pandas_udf("struct<values:array<double>,vectors:array<double>>")
 def _eigen3(cov: pd.Series) -> pd.DataFrame:
     values, vectors = np.linalg.eigh(symmetric3(cov))
     return pd.DataFrame(
@@ -30,7 +29,7 @@ def _eigen3(cov: pd.Series) -> pd.DataFrame:
 
 def eigen3(cov: Column) -> Column:
     """Ascending eigenvalues and, row by row, unit eigenvectors of a 3x3 covariance."""
-    return _eigen3(cov)
+    return F.pandas_udf(_eigen3, "struct<values:array<double>,vectors:array<double>>")(cov)
 
 
 def nearest_psd(n: int, floor: float = 1e-9):
@@ -80,7 +79,6 @@ def regularise3(method: str):
     return apply
 
 
-@F.pandas_udf("array<double>")
 def _rigid_from_cross(cross: pd.Series) -> pd.Series:
     h = stack(cross, 3, 3)
     u, _, vt = np.linalg.svd(h)
@@ -93,4 +91,4 @@ def _rigid_from_cross(cross: pd.Series) -> pd.Series:
 def rotation_from_cross(cross: Column) -> Column:
     """Row-major rotation that best turns the source onto the target, from their 3x3
     cross-covariance (source rows, target columns), reflections excluded."""
-    return _rigid_from_cross(cross)
+    return F.pandas_udf(_rigid_from_cross, "array<double>")(cross)

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scanlake.functions.angles import clamp
 from scanlake.functions.geometry import dot3, matmul, matvec, norm3
 
 Vec = Sequence[Column]
@@ -43,7 +44,7 @@ def rpy_matrix(roll: Column, pitch: Column, yaw: Column) -> list[list[Column]]:
 
 
 def matrix_rpy(m) -> list[Column]:
-    sin_pitch = F.greatest(F.least(-m[2][0], F.lit(1.0)), F.lit(-1.0))
+    sin_pitch = clamp(-m[2][0], 1.0)
     return [F.atan2(m[2][1], m[2][2]), F.asin(sin_pitch), F.atan2(m[1][0], m[0][0])]
 
 

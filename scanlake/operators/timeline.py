@@ -42,10 +42,10 @@ def number_rows(
     carry = _carry(totals, keys, "_n").drop("_n")
     w = Window.partitionBy(*keys, "_block").orderBy(ts)
     return (
-        blocked.withColumn("_row", F.row_number().over(w))
+        blocked.withColumn("_in_block", F.row_number().over(w))
         .join(carry, [*keys, "_block"])
-        .withColumn(name, (F.col("_carry") + F.col("_row") - 1).cast("bigint"))
-        .drop("_block", "_row", "_carry")
+        .withColumn(name, (F.col("_carry") + F.col("_in_block") - 1).cast("bigint"))
+        .drop("_block", "_in_block", "_carry")
     )
 
 
