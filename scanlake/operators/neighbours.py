@@ -1,11 +1,11 @@
 """Neighbour joins on grids: k nearest, radius, nearest in the plane.
 
 Spark has no spatial index, so space is cut into cells and every search is an equi-join on
-(keys, level, cell). Points are offered at several cell sizes; a query uses the finest size whose
-own cell already holds enough points, so dense places are searched in small cells and sparse
-places in large ones, and no query meets more than a few cells' worth of candidates. The answer is
-exact: a query is settled when its k-th distance fits inside the cells probed, and the few others
-go on to the next size, whose cells are certain to hold the answer.
+(keys, level, cell). Points are offered at several cell sizes; a query starts at the finest size
+whose own cell makes enough neighbours likely, so dense places are searched in small cells and
+sparse places in large ones, and no query meets more than a few cells' worth of candidates. The
+answer is exact: a query is settled when its k-th distance fits inside the cells probed. The others
+now know a distance that holds k points, and a second pass at a size that covers it settles them.
 
 Copies of one location cannot be told apart by cells. Only the k lowest ids of a location can be
 among the k nearest, so the rest are set aside before the join.
@@ -34,11 +34,15 @@ def _cells(values: Sequence[Column], size: Column | float) -> list[Column]:
     return [F.floor(v / size) for v in values]
 
 
-def _probe(cells: Sequence[str]) -> Column:
-    """All neighbouring cells of the cell in the named columns, as an array of structs."""
-    steps = list(product((-1, 0, 1), repeat=len(cells)))
-    return F.array(
-        *[F.struct(*[(F.col(c) + F.lit(s)).alias(c) for c, s in zip(cells, step)]) for step in steps]
+def _probe(df: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """Each row once per neighbouring cell of the cell in the named columns.
+
+    The offsets are a literal, so the cell expressions are computed once per row below it.
+    """
+    steps = [F.struct(*[F.lit(s).alias(c) for c, s in zip(cells, step)]) for step in product((-1, 0, 1), repeat=len(cells))]
+    kept = [c for c in df.columns if c not in cells]
+    return df.withColumn("_o", F.explode(F.array(*steps))).select(
+        *kept, *[(F.col(c) + F.col(f"_o.{c}")).alias(c) for c in cells]
     )
 
 
@@ -97,6 +101,7 @@ def knn_join(
     )
     offered = _levelled(single, dims, cells)
     stamp = [F.col(older_than[0]).alias("_qage")] if older_than else []
+    at = [*keys, "_level", *grid]
     asked = queries.select(
         *keys, F.col(query_id).alias("_q"), *[F.col(d).alias(f"_q{i}") for i, d in enumerate(dims)], *stamp
     )
@@ -107,7 +112,10 @@ def knn_join(
             ((a - F.col(d)) * (a - F.col(d)) for a, d in zip(q_dims[1:], dims[1:])),
             (q_dims[0] - F.col(dims[0])) * (q_dims[0] - F.col(dims[0])),
         )
-        pairs = probes.join(offered if "_level" in on else single, on).withColumn("d2", d2)
+        # a merge join shuffles the multiplied probes by cell, so that their work is spread even
+        # when both inputs are small enough to sit in one partition
+        right = (offered if "_level" in on else single).hint("merge")
+        pairs = probes.join(right, on).withColumn("d2", d2)
         if max_d is not None:
             pairs = pairs.where(F.col("d2") < float(max_d) ** 2)
         if exclude_self:
@@ -118,10 +126,7 @@ def knn_join(
         return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     def probes_at(df: DataFrame) -> DataFrame:
-        return (
-            df.withColumn("_o", F.explode(_probe(grid)))
-            .select(*[c for c in df.columns if c not in grid], "_o.*")
-        )
+        return _probe(df, grid)
 
     def final(df: DataFrame) -> DataFrame:
         out = df.select(
@@ -133,7 +138,6 @@ def knn_join(
             out = out.withColumn("_n", size).where(F.col("_n") == k).drop("_n")
         return out
 
-    at = [*keys, "_level", *grid]
     if len(cells) == 1 and max_d is not None:
         home = asked.withColumn("_level", F.lit(0))
         for g, c in zip(grid, _cells(q_dims, cells[0])):
@@ -141,46 +145,56 @@ def knn_join(
         return final(ranked(probes_at(home), at))
 
     top = len(cells)
-    located = _levelled(asked, [f"_q{i}" for i in range(len(dims))], cells)
+    last = top if max_d is None else top - 1
+    q_names = [f"_q{i}" for i in range(len(dims))]
+    located = _levelled(asked, q_names, cells)
     if older_than:
         full = offered.groupBy(*at).agg(F.min(older_than[0]).alias("_oldest"))
-        holds = F.col("_oldest") < F.col("_qage") - float(older_than[1])
+        likely = certain = F.col("_oldest") < F.col("_qage") - float(older_than[1])
     else:
-        full = offered.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need)
-        holds = F.col("_n").isNotNull()
-    last = F.lit(top if max_d is None else top - 1)
-    settled_at = (
-        located.join(full, at, "left")
-        .groupBy(*keys, "_q", *[f"_q{i}" for i in range(len(dims))], *(["_qage"] if older_than else []))
-        .agg(F.coalesce(F.min(F.when(holds, F.col("_level"))), last).alias("_level"))
+        full = offered.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+        # a ball as wide as a cell holds about three times what the cell holds
+        likely = (F.col("_n") * 3 >= need) & (F.col("_n") >= (2 if exclude_self else 1))
+        certain = F.col("_n") >= need
+    started = (
+        located.join(full, at)
+        .groupBy(*keys, "_q")
+        .agg(
+            F.min(F.when(likely, F.col("_level"))).alias("_level"),
+            F.min(F.when(certain, F.col("_level"))).alias("_sure"),
+        )
+    )
+    started = asked.join(started, [*keys, "_q"], "left").withColumns(
+        {"_level": F.coalesce("_level", F.lit(last)), "_sure": F.coalesce("_sure", F.lit(last))}
     )
-    size_of = F.element_at(F.array(*[F.lit(float(s)) for s in cells]), F.least(F.col("_level"), F.lit(top - 1)) + 1)
-    start = settled_at
-    for g, c in zip(grid, _cells(q_dims, size_of)):
-        start = start.withColumn(g, c)
-    gridded = ranked(probes_at(start.where(F.col("_level") < top)), at)
-    reach = F.when(F.col("_level") == top - 1, F.lit(float("inf")) if max_d is not None else F.lit(float(cells[-1])))
-    reach = reach.otherwise(size_of)
+
+    def size_at(level: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(float(s)) for s in cells]), F.least(level, F.lit(top - 1)) + 1)
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumns(dict(zip(grid, _cells(q_dims, size_at(F.col("_level"))))))
+
+    gridded = ranked(probes_at(placed(started.where(F.col("_level") < top))), at)
     group = Window.partitionBy(*keys, "_q")
-    judged = gridded.withColumns(
-        {"_far": F.max("d2").over(group), "_found": F.count(F.lit(1)).over(group)}
-    ).withColumn("_ok", (F.sqrt("_far") <= reach) & ((F.col("_found") >= k) | F.lit(max_d is not None)))
-    first = cut(judged)
-    done = first.where("_ok").drop("_far", "_found", "_ok")
-    open_q = (
-        first.where("not _ok and rank = 1")
-        .select(*asked.columns, (F.col("_level") + 1).alias("_level"))
+    far, found = F.sqrt(F.max("d2").over(group)), F.count(F.lit(1)).over(group)
+    judged = gridded.withColumns({"_far": far, "_found": found})
+    settled = (F.col("_found") >= k) & (F.col("_far") <= size_at(F.col("_level")))
+    if max_d is not None:
+        settled = settled | (F.col("_level") == top - 1)
+    first = cut(judged.withColumn("_ok", settled))
+    done = first.where("_ok").drop("_far", "_found", "_ok", "_sure")
+    wide_enough = F.coalesce(
+        *[F.when(F.col("_far") <= float(s), F.lit(i)) for i, s in enumerate(cells)], F.lit(last)
+    )
+    next_level = F.when(F.col("_found") >= k, wide_enough).otherwise(F.least(F.col("_sure") + 1, F.lit(last)))
+    again = first.where("not _ok and rank = 1").select(*asked.columns, next_level.alias("_level"))
+    result = done.unionByName(
+        ranked(probes_at(placed(again.where(F.col("_level") < top))), at), allowMissingColumns=True
     )
     if max_d is None:
-        never = settled_at.where(F.col("_level") >= top).select(*asked.columns, "_level")
-        open_q = open_q.unionByName(never)
-    again = open_q.where(F.col("_level") < top)
-    for g, c in zip(grid, _cells(q_dims, size_of)):
-        again = again.withColumn(g, c)
-    result = done.unionByName(ranked(probes_at(again), at), allowMissingColumns=True)
-    if max_d is None:
-        whole = ranked(open_q.where(F.col("_level") >= top).drop("_level"), keys)
-        result = result.unionByName(whole, allowMissingColumns=True)
+        never = started.where(F.col("_level") >= top).select(*asked.columns, "_level")
+        rest = again.where(F.col("_level") >= top).unionByName(never)
+        result = result.unionByName(ranked(rest.drop("_level"), keys), allowMissingColumns=True)
     return final(result)
 
 
@@ -213,16 +227,14 @@ def radius_join(
     )
     for i, g in enumerate(grid):
         probes = probes.withColumn(g, F.floor(F.col(f"_q{i}") / F.lit(float(radius))))
-    probes = probes.withColumn("_o", F.explode(_probe(grid))).select(
-        *keys, "_l", *[f"_q{i}" for i in range(len(dims))], "_o.*"
-    )
+    probes = _probe(probes, grid)
     offered = right.select(*keys, *[c for c in dict.fromkeys([right_id, *dims, *values])])
     for g, d in zip(grid, dims):
         offered = offered.withColumn(g, F.floor(F.col(d) / F.lit(float(radius))))
     sq = [(F.col(f"_q{i}") - F.col(d)) * (F.col(f"_q{i}") - F.col(d)) for i, d in enumerate(dims)]
     distance = F.sqrt(sum(sq[1:], sq[0]))
     return (
-        probes.join(offered, [*keys, *grid])
+        probes.join(offered.hint("merge"), [*keys, *grid])
         .withColumn("d", distance)
         .where(F.col("d") <= float(radius))
         .select(
@@ -292,9 +304,7 @@ def crop_patch(
         *keys, centre_id, "cx", "cy",
         F.floor(F.col("cx") / float(size)).alias("_c0"), F.floor(F.col("cy") / float(size)).alias("_c1"),
     )
-    probes = probes.withColumn("_o", F.explode(_probe(["_c0", "_c1"]))).select(
-        *keys, centre_id, "cx", "cy", "_o.*"
-    )
+    probes = _probe(probes, ["_c0", "_c1"])
     offered = ground.withColumns(
         {"_c0": F.floor(F.col("x") / float(size)), "_c1": F.floor(F.col("y") / float(size))}
     )
