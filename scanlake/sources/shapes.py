@@ -45,9 +45,14 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event: two odometry sources per user."""
+    return shape_poses(table(spark, sf_dir, "events"))
+
+
+def shape_poses(events: DataFrame) -> DataFrame:
+    """Events, from a table or a stream, as odometry samples."""
     e = F.col("event_id")
     front = F.col("event_type").isin("click", "view", "purchase")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("vehicle_id"),
         e.alias("pose_id"),
         F.col("ts").cast("timestamp").alias("ts"),
