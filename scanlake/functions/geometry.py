@@ -113,7 +113,7 @@ def voxel_centre(key: Vec, size: float) -> list[Column]:
 def polar_key(p: Vec, size: Sequence[float]) -> list[Column]:
     """Polar voxel index over azimuth + pi, inclination and range."""
     r = norm3(*p)
-    polar = [F.atan2(p[1], p[0]) + math.pi, F.acos(p[2] / r), r]
+    polar = [F.atan2(p[1], p[0]) + math.pi, F.acos(p[2] / F.when(r > 0, r)), r]
     return [F.floor(c / F.lit(float(s))) for c, s in zip(polar, size)]
 
 
@@ -130,5 +130,6 @@ def concentration(r_bar: Column) -> Column:
     return (
         F.when(r_bar < 1e-8, F.lit(0.0))
         .when(r_bar < 0.6, 3.0 * r_bar * (1.0 + 0.6 * r2 + (99.0 / 175.0) * r2 * r2))
+        .when(r2 == 1.0, F.lit(math.inf))
         .otherwise(r_bar * (3.0 - r2) / (1.0 - r2))
     )

@@ -192,7 +192,7 @@ def plane_matches(
 
 def _weighted(df: DataFrame, keys: list[str], normal: list[Column], d: Column, scale: Column) -> DataFrame:
     named = df.select(*keys, *[v.alias(c) for v, c in zip(normal, "abc")], d.alias("d"), scale.alias("_r"))
-    weight = 1 - 0.9 * F.abs("d") / F.col("_r")
+    weight = 1 - 0.9 * F.abs("d") / F.when(F.col("_r") > 0, F.col("_r"))
     return named.withColumn("w", weight).where(F.col("w") > 0.1).select(
         *keys, *[(F.col("w") * F.col(c)).alias(c) for c in "abc"], (F.col("w") * F.col("d")).alias("d"), "w"
     )

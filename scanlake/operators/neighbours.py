@@ -39,19 +39,19 @@ def _probe(df: DataFrame, cells: Sequence[str]) -> DataFrame:
 
     The offsets are a literal, so the cell expressions are computed once per row below it.
     """
-    steps = [F.struct(*[F.lit(s).alias(c) for c, s in zip(cells, step)]) for step in product((-1, 0, 1), repeat=len(cells))]
+    steps = product((-1, 0, 1), repeat=len(cells))
+    offsets = ", ".join("struct(" + ", ".join(map(str, step)) + ")" for step in steps)
     kept = [c for c in df.columns if c not in cells]
-    return df.withColumn("_o", F.explode(F.array(*steps))).select(
-        *kept, *[(F.col(c) + F.col(f"_o.{c}")).alias(c) for c in cells]
+    return df.withColumn("_o", F.expr(f"explode(array({offsets}))")).select(
+        *kept, *[(F.col(c) + F.col(f"_o.col{i}")).alias(c) for i, c in enumerate(cells, 1)]
     )
 
 
 def _levelled(df: DataFrame, dims: Sequence[str], cells: Sequence[float]) -> DataFrame:
-    sizes = F.array(*[F.struct(F.lit(i).alias("l"), F.lit(float(s)).alias("s")) for i, s in enumerate(cells)])
-    out = df.withColumn("_ls", F.explode(sizes)).withColumn("_level", F.col("_ls.l"))
-    for i, c in enumerate(_cells([F.col(d) for d in dims], F.col("_ls.s"))):
-        out = out.withColumn(f"_c{i}", c)
-    return out.drop("_ls")
+    sizes = ", ".join(f"struct({i}, {float(s)!r}D)" for i, s in enumerate(cells))
+    names = {f"_c{i}": F.floor(F.col(d) / F.col("_ls.col2")) for i, d in enumerate(dims)}
+    out = df.withColumn("_ls", F.expr(f"explode(array({sizes}))"))
+    return out.withColumns({"_level": F.col("_ls.col1"), **names}).drop("_ls")
 
 
 def knn_join(

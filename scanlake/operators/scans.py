@@ -68,7 +68,7 @@ def image_column(x: Column, y: Column, horizon: int) -> Column:
 
 def ring_from_elevation(df: DataFrame, n_rings: int) -> DataFrame:
     """Ring from the elevation angle for 16, 32 and 64 line sensors; others points dropped."""
-    angle = F.degrees(F.atan(F.col("z") / F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))))
+    angle = F.degrees(F.atan2(F.col("z"), F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))))
 
     def whole(value: Column) -> Column:
         return value.cast("int")

@@ -48,12 +48,12 @@ def align_clouds(
     Only the number of open keys comes to the driver.
     """
     keys = list(keys)
-    state = identity_transforms(source.select(*keys).distinct(), keys).withColumns(
+    plain = cut(source.select(*keys, point_id, *XYZ))
+    goal = cut(target.select(*keys, point_id, *XYZ))
+    state = identity_transforms(plain.select(*keys).distinct(), keys).withColumns(
         {"fitness": F.lit(None).cast("double"), "settled": F.lit(False)}
     )
     done = None
-    plain = source.select(*keys, point_id, *XYZ)
-    goal = target.select(*keys, point_id, *XYZ)
     r = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
     s = [[F.col(f"s_r{i}{j}") for j in range(3)] for i in range(3)]
     shift = [F.col(f"t{c}") for c in XYZ]

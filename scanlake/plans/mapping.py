@@ -95,11 +95,11 @@ def refine_to_map(
     names = [f"h{i}{j}" for i in range(6) for j in range(i, 6)] + [f"g{i}" for i in range(6)]
 
     def matched(cloud: DataFrame, goal: DataFrame, poses: DataFrame, plane: bool) -> DataFrame:
-        kept = cloud.select(*keys, point_id, *XYZ, *[F.col(c).alias(f"s{c}") for c in XYZ])
+        kept = cloud.select(*keys, point_id, *XYZ, *[F.col(c).alias(f"raw_{c}") for c in XYZ])
         moved = transform_points(kept, poses, keys)
         if plane:
             hits = fits.plane_matches(
-                moved, goal, keys, point_id, point_id, max_d, tolerance=tolerance, range_columns=["sx", "sy", "sz"]
+                moved, goal, keys, point_id, point_id, max_d, tolerance=tolerance, range_columns=["raw_x", "raw_y", "raw_z"]
             )
         else:
             hits = fits.edge_matches(moved, goal, keys, point_id, point_id, max_d)

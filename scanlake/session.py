@@ -39,9 +39,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table written once in the shared checkpoint folder, without its lineage.
+
+    A written table survives lost executors, is read back column by column with filters pushed
+    down, and tells the optimizer its size.
+    """
+    spark = df.sparkSession
+    path = scratch_table(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_table(spark: SparkSession, name: str) -> str:
