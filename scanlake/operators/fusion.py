@@ -109,7 +109,9 @@ class PoseFilter:
                 break
         self.p, self.r = prior_p + moved[:3], prior_r @ rotation_exp(moved[3:6])
         self.x = prior_x + moved[6:].reshape(4, 3)
-        self.cov = self.cov - gain @ self.cov[:6, :]
+        keep = np.eye(18)
+        keep[:, :6] -= gain
+        self.cov = keep @ self.cov @ keep.T + gain @ noise @ gain.T
         self.cov = 0.5 * (self.cov + self.cov.T)
 
     def take(self, t: float, p: np.ndarray, r: np.ndarray) -> bool:

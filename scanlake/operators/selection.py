@@ -184,7 +184,9 @@ def chained_fold(
     blocked = df.withColumn("_t", seconds(ts)).withColumn("_block", block_of(ts, width))
     blocks = blocked.select(*keys, "_block").distinct()
     order = Window.partitionBy(*keys).orderBy("_block")
-    numbered = blocks.withColumn("_round", F.row_number().over(order) - 1)
+    numbered = blocks.withColumns(
+        {"_round": F.row_number().over(order) - 1, "_more": F.lead("_block").over(order).isNotNull()}
+    )
     rounds = (numbered.agg(F.max("_round")).first()[0] or 0) + 1
 
     def run(pdf: pd.DataFrame, last_column: str | None) -> pd.DataFrame:
@@ -209,6 +211,8 @@ def chained_fold(
     def chained(pdf: pd.DataFrame) -> pd.DataFrame:
         out, leaving = run(pdf, "_state")
         out = out[names].assign(_leaving=None)
+        if not pdf["_more"].iloc[0]:
+            return out
         end = pdf.iloc[[-1]][keys].copy()
         end["_leaving"] = [list(map(float, leaving))]
         return pd.concat([out, end], ignore_index=True)[[*names, "_leaving"]].astype(object)

@@ -14,6 +14,7 @@ from scanlake.functions.rotations import matrix_rpy, quat_matrix, quat_normalise
 from scanlake.operators import neighbours as nb
 from scanlake.operators.graph import EDGE, prior_gate
 from scanlake.plans.alignment import align_clouds
+from scanlake.session import cut
 
 XYZ = ("x", "y", "z")
 
@@ -54,7 +55,9 @@ def associate_priors(
     near = nb.radius_join(
         keyframes, predicted, keys, radius, "kf_id", "prior_id", dims=("x", "y"), values=("linked_id",)
     ).where((F.col("d") < float(radius)) & (F.col("n_linked_id") < F.col("kf_id")))
-    pairs = near.select(*keys, "kf_id", F.col("n_prior_id").alias("prior_id"), F.col("n_linked_id").alias("linked_id"))
+    pairs = cut(
+        near.select(*keys, "kf_id", F.col("n_prior_id").alias("prior_id"), F.col("n_linked_id").alias("linked_id"))
+    )
 
     pair = [*keys, "kf_id", "prior_id"]
     half = patch_size / 2
@@ -80,7 +83,7 @@ def associate_priors(
         *keys, "kf_id", "prior_id", "linked_id", "fitness", *[F.col(f"k_{f}") for f in FIELDS],
         *[v.alias(f"o_{f}") for f, v in driven.items()], *[v.alias(f"p_{f}") for f, v in patched.items()],
     )
-    passed = prior_gate(steps, max_z, max_angle)
+    passed = prior_gate(cut(steps), max_z, max_angle)
     first = passed.groupBy(*keys, "kf_id").agg(F.min("prior_id").alias("prior_id"))
     chosen = passed.join(first, [*keys, "kf_id", "prior_id"], "left_semi")
 
@@ -88,7 +91,7 @@ def associate_priors(
     goal = rpy_quat(F.col("p_roll"), F.col("p_pitch"), F.col("o_yaw"))
     mixed = chosen.withColumns(dict(zip(["_qx", "_qy", "_qz", "_qw"], quat_normalise(slerp(own, goal, blend)))))
     attitude = matrix_rpy(quat_matrix([F.col(c) for c in ("_qx", "_qy", "_qz", "_qw")]))
-    mixed = mixed.withColumns(dict(zip(["b_roll", "b_pitch", "b_yaw"], attitude)))
+    mixed = cut(mixed.withColumns(dict(zip(["b_roll", "b_pitch", "b_yaw"], attitude))))
     step = from_columns(*[F.col(f"o_{c}") for c in XYZ], F.col("b_roll"), F.col("b_pitch"), F.col("b_yaw"))
     goal_pose = compose(step, _pose("k_"))
     rel = between(_pose("k_"), goal_pose).fields()

@@ -16,6 +16,9 @@ from scanlake.operators.timeline import number_rows
 BLOCK = 10 * 86400.0
 """Seconds per timeline block for the sparse fixture feeds (hours between samples)."""
 
+FOLD_BLOCK = 40 * 86400.0
+"""Seconds per fold block: at a few samples a day a block of 40 days is still a small task."""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
