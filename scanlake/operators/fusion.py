@@ -127,6 +127,8 @@ class PoseFilter:
         return True
 
 
+SEGMENTS_PER_GROUP = 8
+
 SMOOTH_FIELDS = [f"s_{f} double" for f in (*FIELDS, "vx", "vy", "vz", "wx", "wy", "wz")] + ["used boolean"]
 
 
@@ -156,11 +158,12 @@ def smooth(
     """Smoothed pose ``s_x..s_yaw`` with velocity and turn rate per sample.
 
     The filter starts anew after a gap above ``max_dt``, so the gap segments of a drive are
-    independent and run in parallel.
+    independent and run in parallel, a few short ones per task group.
     """
     cut = tr.segments(poses, keys, options.max_dt, ts, width)
-    out = chained_fold(cut, [*keys, "segment"], ts, width, smooth_fold(options), SMOOTH_FIELDS)
-    return out.where("used").drop("used")
+    grouped = cut.withColumn("_group", F.floor(F.col("segment") / SEGMENTS_PER_GROUP))
+    out = chained_fold(grouped, [*keys, "_group"], ts, width, smooth_fold(options), SMOOTH_FIELDS)
+    return out.where("used").drop("used", "_group")
 
 
 @dataclass(frozen=True)
