@@ -17,7 +17,7 @@ HEADLINE = [
     "azimuth_time", "transform_points", "radius_join", "weighted_neighbours", "knn_join", "nearest_xy",
     "relative_pose", "segments", "asof_join", "nearest_time_join", "correct_drift", "resample", "recent_path",
     "sample_interval", "select_keyframes", "loop_by_radius", "graph_edges", "scan_descriptor", "descriptor_knn",
-    "feature_job", "smooth", "build_map",
+    "feature_job", "build_map",
 ]
 
 
