@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm import decontamination, sharding, simhash
+from scanlake.llm import bpe, decontamination, langid, sharding, simhash
 from scanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,36 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the public ranks, and its ids decoded again."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    return bpe.decode(ids, ranks).select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def language_model_of(documents: DataFrame):
+    """Language probabilities learned from the documents that aren't held out."""
+    tokens = list(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    return langid.fit(documents.where(~held_out(4, 2)), tokens)
+
+
+def held_out(parts: int, part: int) -> Column:
+    """Whether the CRC-32 of doc_id as text leaves this remainder; a null id counts as no text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts == part
+
+
+@query()
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), language_model_of(docs), drop_text=True)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
