@@ -149,7 +149,7 @@ class Encoder:
         pos = (np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         tok = self.single[np.frombuffer(b"".join(raw for _, raw in group), np.uint8)]
         self.db.register("start", pa.table({"word": pa.array(word), "pos": pa.array(pos), "tok": pa.array(tok)}))
-        out = self.db.execute(query).to_arrow_table().combine_chunks()
+        out = self.db.sql(query).to_arrow_table().combine_chunks()
         self.db.unregister("start")
         ids = out.column("ids").combine_chunks()
         flat, ends = ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm import bpe, decontamination, langid, sharding, simhash
+from scanlake.llm import ann, bpe, decontamination, langid, sharding, simhash
 from scanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(ann.build(rows), rows.where(F.col("vec_id") % 20 == 0))
+
+
 @query(
     r"""
     WITH d AS (
