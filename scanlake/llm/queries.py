@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm import ann, bpe, decontamination, langid, sharding, simhash
+from scanlake.llm import ann, bpe, decontamination, langid, sharding, simhash, url_rules
 from scanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,20 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Verdict, host and path of the given URL rules.
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query()
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def language_model_of(documents: DataFrame):
     """Language probabilities learned from the documents that aren't held out."""
     tokens = list(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
