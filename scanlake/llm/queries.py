@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm import ann, bpe, decontamination, html_blocks, langid, sharding, simhash, url_rules
+from scanlake.llm import ann, bpe, decontamination, html_blocks, langid, lines, sharding, simhash, url_rules
 from scanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,13 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query()
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that isn't blank, and the document and position of the one kept in its place."""
+    found = lines.judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), "line_no", F.col("kept_doc").alias("kept_doc_id"), F.col("kept_no").alias("kept_line_no"), "kept")
+
+
 def language_model_of(documents: DataFrame):
     """Language probabilities learned from the documents that aren't held out."""
     tokens = list(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
