@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm import ann, bpe, decontamination, html_blocks, langid, lines, sharding, simhash, url_rules
+from scanlake.llm import ann, bpe, decontamination, html_blocks, langid, lines, lm, sharding, simhash, url_rules
 from scanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,13 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query()
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by single counts and by the model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(5, 1).alias("held_out"))
+    return lm.fit_and_score(docs, ~F.col("held_out"))
+
+
 @query()
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
