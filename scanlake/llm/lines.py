@@ -92,10 +92,10 @@ def _lower(least: np.ndarray, owners: list[int], parts: list[str]) -> None:
     """Lowers the minima of the owners by the shingles of their parts."""
     sizes = np.array([len(p) for p in parts])
     h = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    factor = MIX
+    factor = int(MIX)
     for step in (1, 2, 4):
-        h = h[:-step] * factor + h[step:]
-        factor = factor * factor
+        h = h[:-step] * np.uint64(factor) + h[step:]
+        factor = factor * factor % 2**64
     inside = np.ones(len(h), bool)
     for back in range(1, SHINGLE):
         ends = np.cumsum(sizes)[:-1] - back
