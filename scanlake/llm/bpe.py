@@ -31,17 +31,20 @@ from scanlake.llm.common import append, text_bytes
 LONG = 192
 WORDS_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE, CACHE, TOKENS_AT_ONCE = 30_000, 400_000, 2_000_000, 250_000, 400_000
 
+#: ``start`` has running positions with a gap behind each word, so that neighbours are found by one join:
+#: a token ends where the next begins. ``made`` is the merged rank, then a place for the position, then the length.
 SHORT_WORDS = """
 WITH RECURSIVE step AS (
-  SELECT word, pos, tok, 0 AS round FROM start
+  SELECT word, pos, pos + 1 AS upto, tok, 0 AS round FROM start
   UNION ALL (
-    WITH cur AS (
-      SELECT *, lead(tok) OVER w AS nxt, lead(pos) OVER w AS npos FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), best AS (
-      SELECT word, min({'m': m, 'pos': pos, 'npos': npos}) AS b FROM cur JOIN merges ON tok = l AND nxt = r GROUP BY word
+    WITH best AS (
+      SELECT a.word, min(made | (a.pos << 8)) AS b
+      FROM step a JOIN step z ON a.upto = z.pos JOIN packed ON pair = ((a.tok << 24) | z.tok) GROUP BY a.word
+    ), pick AS (
+      SELECT word, b >> 40 AS m, (b >> 8) & 4294967295 AS here, b & 255 AS size FROM best
     )
-    SELECT cur.word, cur.pos, CASE WHEN cur.pos = b.pos THEN b.m ELSE tok END, round + 1
-    FROM cur JOIN best USING (word) WHERE cur.pos <> b.npos
+    SELECT word, pos, CASE WHEN pos = here THEN here + size ELSE upto END, CASE WHEN pos = here THEN m ELSE tok END, round + 1
+    FROM step JOIN pick USING (word) WHERE pos <= here OR pos >= here + size
   )
 )
 SELECT word, list(tok ORDER BY pos) AS ids
@@ -57,7 +60,7 @@ WITH RECURSIVE step AS (
     ), pairs AS (
       SELECT word, pos, npos, prv, nxt2, m FROM cur JOIN merges ON tok = l AND nxt = r
     ), least AS (
-      SELECT p.*, coalesce(lag(npos) OVER w = pos, false) AS overlaps
+      SELECT p.*, coalesce(lag(npos) OVER w = pos, false) AS meets
       FROM pairs p JOIN (SELECT word, min(m) AS m FROM pairs GROUP BY word) USING (word, m)
       WINDOW w AS (PARTITION BY p.word ORDER BY pos)
     ), lower AS (
@@ -67,7 +70,7 @@ WITH RECURSIVE step AS (
         SELECT word, m, m, m FROM least
       ) made JOIN merges USING (l, r) WHERE merges.m < made.m
     ), runs AS (
-      SELECT *, sum(CASE WHEN overlaps THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY pos) AS run FROM least
+      SELECT *, sum(CASE WHEN meets THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY pos) AS run FROM least
     ), ranked AS (
       SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1 AS free,
         row_number() OVER (PARTITION BY word ORDER BY pos) = 1 AS leftmost FROM runs
@@ -104,15 +107,18 @@ class Encoder:
     """Encodes words in one task."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        if max(ranks.values()) >= 1 << 22 or max(map(len, ranks)) > 255:
+            raise ValueError("ranks of 22 bits and tokens of 255 bytes at most")
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         splits = [
-            (ranks[t[:i]], ranks[t[i:]], rank)
+            (ranks[t[:i]], ranks[t[i:]], rank, len(t))
             for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         ]
         self.db = _connection()
-        rows = np.array(splits, np.int32).reshape(-1, 3)
-        self.db.register("given", pa.table({c: pa.array(rows[:, k]) for k, c in enumerate("lrm")}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
+        rows = np.array(splits, np.int64).reshape(-1, 4)
+        self.db.register("given", pa.table({c: pa.array(rows[:, k]) for k, c in enumerate("lrms")}))
+        self.db.execute("CREATE TABLE merges AS SELECT l, r, m FROM given")
+        self.db.execute("CREATE TABLE packed AS SELECT (l << 24) | r AS pair, (m << 40) | s AS made FROM given")
         self.db.unregister("given")
         self.whole = {t: rank.to_bytes(4, "little") for t, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
@@ -145,8 +151,8 @@ class Encoder:
 
     def _encode(self, group: list[tuple[str, bytes]], query: str) -> None:
         sizes = np.array([len(raw) for _, raw in group])
-        word = np.repeat(np.arange(len(group), dtype=np.int32), sizes)
-        pos = (np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        word = np.repeat(np.arange(len(group)), sizes)
+        pos = np.arange(len(word)) + word
         tok = self.single[np.frombuffer(b"".join(raw for _, raw in group), np.uint8)]
         self.db.register("start", pa.table({"word": pa.array(word), "pos": pa.array(pos), "tok": pa.array(tok)}))
         out = self.db.sql(query).to_arrow_table().combine_chunks()
