@@ -141,6 +141,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, action: str = "documents",
         return marked.where(~is_contaminated()).select(*docs.columns)
     if action != "spans":
         raise ValueError("action is documents or spans")
+    columns = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +150,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, action: str = "documents",
                 None if raw is None else without_words(raw.encode(), hit).decode() if hit else raw
                 for raw, hit in zip(batch.column(at).to_pylist(), batch.column("hit_words").to_pylist())
             ]
-            yield batch.set_column(at, text, pa.array(kept, batch.schema.field(at).type)).select(docs.columns)
+            yield batch.set_column(at, text, pa.array(kept, batch.schema.field(at).type)).select(columns)
 
     return marked.mapInArrow(scan, docs.schema)
 
