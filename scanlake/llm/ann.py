@@ -80,7 +80,8 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best rows found for each query, best first, ties to the smaller id.
 
-    Rows of the query's own id are no candidates. Queries equal in id and vector count once; a query
+    Every block gives at least ``2 * k`` candidates, or all it has, so no query gets fewer than ``k`` while there
+    are more. Rows of the query's own id are no candidates. Queries equal in id and vector count once; a query
     whose vector is null, zero or not finite has no result. ``trees``, ``bits`` and ``seed`` are the index's.
     """
     good = usable(queries, key, vector).dropDuplicates(["id", "x"])
@@ -107,7 +108,7 @@ def search(
                 forest = [np.frombuffer(row[c], t).reshape(trees, -1) for c, t in (("keys", np.uint32), ("orders", np.int32))]
                 q = np.frombuffer(row["q_vectors"]).reshape(-1, dim)
                 longer = np.concatenate([q / np.sqrt((q * q).sum(axis=1))[:, None], np.zeros((len(q), 1))], axis=1)
-                found = _ascend(*forest, _hashes(_planes(dim, trees, bits, seed), longer.astype(np.float32)), bits, want)
+                found = _ascend(*forest, _hashes(_planes(dim, trees, bits, seed), longer.astype(np.float32)), bits, want, 2 * k)
                 yield _best(found, np.frombuffer(row["q_ids"], np.int64), q, ids, x, k)
 
     met = index.join(to_each, ["dim", "block"]).mapInArrow(scan, "query_id long, q_at binary, vec_id long, score double")
@@ -115,8 +116,8 @@ def search(
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _ascend(keys: np.ndarray, orders: np.ndarray, hashes: np.ndarray, bits: int, want: float) -> Iterator[np.ndarray]:
-    """For each query the rows met, as positions in the block."""
+def _ascend(keys: np.ndarray, orders: np.ndarray, hashes: np.ndarray, bits: int, want: float, least: int) -> Iterator[np.ndarray]:
+    """For each query the rows met, as positions in the block; at least ``least`` of them, if there are as many."""
     trees, n = keys.shape
     low = np.zeros((bits + 1, trees, hashes.shape[1]), np.int32)
     high = np.full_like(low, n)
@@ -130,10 +131,15 @@ def _ascend(keys: np.ndarray, orders: np.ndarray, hashes: np.ndarray, bits: int,
     held = (high - low).sum(axis=1)
     for query in range(hashes.shape[1]):
         length = int(np.flatnonzero(held[:, query] >= min(want, trees) * n)[-1])
-        met = np.zeros(n, bool)
-        for tree in range(trees):
-            met[orders[tree, low[length, tree, query] : high[length, tree, query]]] = True
-        yield np.flatnonzero(met)
+        while True:
+            met = np.zeros(n, bool)
+            for tree in range(trees):
+                met[orders[tree, low[length, tree, query] : high[length, tree, query]]] = True
+            rows = np.flatnonzero(met)
+            if length == 0 or len(rows) >= least:
+                break
+            length -= 1
+        yield rows
 
 
 def _best(found: Iterator[np.ndarray], q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
