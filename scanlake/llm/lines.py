@@ -162,14 +162,14 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     filled = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.collect():
         filled[r.word] = r.bits
-    held = docs.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view(np.uint8), bitorder="little").astype(bool))
+    held = docs.sparkSession.sparkContext.broadcast(filled.view(np.uint8))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for batch in batches:
             lines = {compared(line) for raw in batch.column(0) for line in (raw.as_py() or "").split("\n")} - {""}
             some = [(line_hash(x), x) for x in lines]
-            some = [s for s in some if bits[s[0] % FILTER_BITS]]
+            some = [s for s in some if bits[s[0] % FILTER_BITS >> 3] >> (s[0] & 7) & 1]
             yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in some], t) for k, t in enumerate((pa.int64(), pa.string()))], names=["line", "compared"])
 
     found = docs.select(text).mapInArrow(scan, "line long, compared string")
