@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,10 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only when unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only when unset in local mode.
+
+    Elsewhere a folder of one machine would lose what the others write, so an unset folder is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
@@ -32,6 +36,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="scanlake-checkpoint-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -53,3 +60,25 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder for a table written in rounds."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per Spark application.
+
+    Functions that run in Python workers are found by name there, whatever folder a worker starts in.
+    """
+    if _SHIPPED.get("application") == spark.sparkContext.applicationId:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="scanlake-package-"), "scanlake.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED["application"] = spark.sparkContext.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
