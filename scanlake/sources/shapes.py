@@ -16,8 +16,8 @@ from scanlake.operators.timeline import number_rows
 BLOCK = 10 * 86400.0
 """Seconds per timeline block for the sparse fixture feeds (hours between samples)."""
 
-FOLD_BLOCK = 40 * 86400.0
-"""Seconds per fold block: at a few samples a day a block of 40 days is still a small task."""
+FOLD_BLOCK = 6 * 86400.0
+"""Seconds per fold block: a drive of 30 days hands its state on five times or so."""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.col("l_suppkey").alias("scan_id"),
             (
-                ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 100
+                ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey")) * 100
                 + F.col("l_quantity").cast("bigint")
             ).alias("point_idx"),
             (F.col("l_partkey") % 16).cast("int").alias("ring"),
@@ -76,10 +76,10 @@ def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyframe_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every point, spread over ten keyframes of the vehicle that has the scan's number."""
+    """Every point, spread over forty keyframes of the vehicle that has the scan's number."""
     return points(spark, sf_dir).select(
         F.col("scan_id").alias("vehicle_id"),
-        F.floor(F.col("t_rel") * 100.0 + 1e-9).cast("bigint").alias("kf_id"),
+        F.floor(F.col("t_rel") * 400.0 + 1e-9).cast("bigint").alias("kf_id"),
         "point_idx", "ring", "x", "y", "z", "intensity",
     )
 
@@ -98,7 +98,7 @@ def ground_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
         c.alias("query_id"),
-        (c % 10).alias("tile_id"),
+        F.floor(c / 15).cast("bigint").alias("tile_id"),
         (((c * 37) % 8000 - 4000).cast("double") / 100.0 + 0.0013).alias("qx"),
         (((c * 53) % 8000 - 4000).cast("double") / 100.0 + 0.0017).alias("qy"),
         ((c % 629 - 314).cast("double") / 100.0).alias("qyaw"),
@@ -121,7 +121,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "points": (
         (),
         """SELECT l_suppkey AS scan_id,
-       ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS point_idx,
+       ((l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS point_idx,
        CAST(l_partkey % 16 AS INTEGER) AS ring,
        CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 8000 - 4000 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.0037 AS DOUBLE) AS x,
        CAST((CAST(round(l_extendedprice) AS BIGINT) * 37) % 8000 - 4000 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.0041 AS DOUBLE) AS y,
@@ -150,7 +150,7 @@ FROM poses WHERE source = 'front'""",
     ),
     "keyframe_points": (
         ("points",),
-        """SELECT scan_id AS vehicle_id, CAST(floor(t_rel * 100 + CAST(0.000000001 AS DOUBLE)) AS BIGINT) AS kf_id,
+        """SELECT scan_id AS vehicle_id, CAST(floor(t_rel * 400 + CAST(0.000000001 AS DOUBLE)) AS BIGINT) AS kf_id,
        point_idx, ring, x, y, z, intensity
 FROM points""",
     ),
@@ -160,7 +160,7 @@ FROM points""",
     ),
     "ground_queries": (
         (),
-        """SELECT c_custkey AS query_id, c_custkey % 10 AS tile_id,
+        """SELECT c_custkey AS query_id, c_custkey // 15 AS tile_id,
        CAST((c_custkey * 37) % 8000 - 4000 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.0013 AS DOUBLE) AS qx,
        CAST((c_custkey * 53) % 8000 - 4000 AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.0017 AS DOUBLE) AS qy,
        CAST(c_custkey % 629 - 314 AS DOUBLE) / CAST(100 AS DOUBLE) AS qyaw
