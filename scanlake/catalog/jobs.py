@@ -161,7 +161,7 @@ def _quick(poses):
 
 @query("smooth")
 def smooth(spark, d):
-    out = fusion.smooth(_quick(fx.poses(spark, d)), VS, fusion.SmoothOptions(max_dt=2.0), width=HOUR)
+    out = fusion.smooth(_quick(fx.poses(spark, d)), VS, fusion.SmoothOptions(max_dt=2.0), width=12.0)
     return out.select("vehicle_id", "source", "pose_id", *[F.round(f"s_{f}", 4).alias(f) for f in XYZ])
 
 

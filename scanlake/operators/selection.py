@@ -170,7 +170,7 @@ def chained_fold(
     every key in parallel, starting from the states of round r - 1, so the number of rounds is
     the longest drive over ``width`` and does not depend on the number of rows or vehicles. Each
     round's result is a table in the shared checkpoint folder, so a lost executor repeats one
-    round only. When every key fits one block it is a single lazy pass.
+    round only.
 
     ``fold(rows, state)`` gets the block's rows sorted by time as pandas (``_t`` in seconds) and
     the entering state, and returns rows with ``out_fields`` added plus the leaving state.
@@ -197,12 +197,6 @@ def chained_fold(
         out, leaving = fold(pdf.sort_values("_t", kind="stable").reset_index(drop=True), state)
         return out, leaving
 
-    if rounds == 1:
-        def once(pdf: pd.DataFrame) -> pd.DataFrame:
-            return run(pdf, None)[0][names]
-
-        return blocked.groupBy(*keys).applyInPandas(once, schema)
-
     source = scratch_table(spark, "fold-in")
     blocked.join(numbered, [*keys, "_block"]).write.partitionBy("_round").parquet(source)
     staged = spark.read.parquet(source)
