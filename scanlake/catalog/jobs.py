@@ -223,7 +223,7 @@ ORACLES["mine_loops_by_scan"] = ORACLES["best_loop"].replace(
 @query("verify_loops")
 def verify(spark, d):
     kf, kp = fx.keyframes(spark, d), fx.keyframe_points(spark, d)
-    candidates = kf.where("kf_id < 10").select("vehicle_id", "kf_id", (F.col("kf_id") - 3).alias("loop_id")).where("loop_id >= 0")
+    candidates = mine_loops(kf, kp, V, 10.0, 5 * DAY, 2, 0.6).select("vehicle_id", "kf_id", "loop_id").distinct()
     out = verify_loops(
         candidates, kf, kp, V, neighbours=1, leaf=1.0, min_source=10, min_target=30, max_fitness=100.0, cells=[8.0, 16.0, 32.0], rounds=1
     )
