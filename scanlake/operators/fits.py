@@ -79,13 +79,14 @@ def fpfh(
 ) -> DataFrame:
     """Fast point feature histograms as sparse rows (point, bin 0..32, value).
 
-    Pair angles over the k neighbours give a simplified histogram per point (percentages per
-    angle), which is then summed over the neighbours with weight 1/distance.
+    Pair angles over the neighbours (k with the point itself) give a simplified histogram per point
+    (percentages per angle), which is then summed over the neighbours with weight 1/distance. The
+    source of a pair is the end whose normal is nearer to the line between both.
     """
     keys = list(keys)
     nrm = [f"n{c}" for c in XYZ]
     pairs = knn_self(
-        with_normals, keys, k + 1, point_id, cells, max_d=max_d, values=nrm
+        with_normals, keys, k, point_id, cells, max_d=max_d, values=nrm
     ).where((F.col("d2") > 0) & (F.col(f"n_{point_id}") != F.col(point_id)))
     src = with_normals.select(*keys, point_id, *XYZ, *nrm)
     both = pairs.join(src, [*keys, point_id])
@@ -93,6 +94,9 @@ def fpfh(
     u = [F.col(c) for c in nrm]
     away = [(F.col(f"n_{c}") - F.col(c)) / d for c in XYZ]
     n_t = [F.col(f"n_{c}") for c in nrm]
+    turned = F.abs(dot3(u, away)) < F.abs(dot3(n_t, away))
+    u, n_t = ([F.when(turned, b).otherwise(a) for a, b in zip(*sides)] for sides in ((u, n_t), (n_t, u)))
+    away = [F.when(turned, -c).otherwise(c) for c in away]
     v = cross3(away, u)
     length = norm3(*v)
     v = [c / F.when(length > 0, length) for c in v]

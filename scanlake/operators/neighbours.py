@@ -317,7 +317,9 @@ def crop_patch(
 def newest(keyframes: DataFrame, keys: Sequence[str] = ("vehicle_id",), prefix: str = "c_") -> DataFrame:
     """The latest keyframe per vehicle, its columns with a prefix."""
     cols = [c for c in keyframes.columns if c not in keys]
-    return keyframes.groupBy(*keys).agg(*[F.max_by(c, "kf_id").alias(prefix + c) for c in cols])
+    rest = [c for c in cols if c != "kf_id"]
+    latest = keyframes.groupBy(*keys).agg(F.max(F.struct("kf_id", *rest)).alias("_latest"))
+    return latest.select(*keys, *[F.col(f"_latest.{c}").alias(prefix + c) for c in cols])
 
 
 def near_keyframes(

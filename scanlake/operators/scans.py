@@ -164,9 +164,11 @@ def scan_motion(
         .where(F.abs(F.col("_t") - F.col("_st")) <= tolerance)
         .groupBy(*keys, "scan_id")
         .agg(
-            *[F.min_by(c, "_t").alias(f"a_{c}") for c in fields],
-            *[F.max_by(c, "_t").alias(f"b_{c}") for c in fields],
-            (F.max("_t") - F.min("_t")).alias("odom_dt"),
+            F.min(F.struct("_t", *fields)).alias("_a"), F.max(F.struct("_t", *fields)).alias("_b"),
+        )
+        .select(
+            *keys, "scan_id", (F.col("_b._t") - F.col("_a._t")).alias("odom_dt"),
+            *[F.col(f"_{end}.{c}").alias(f"{end}_{c}") for end in "ab" for c in fields],
         )
     )
     motion = between(

@@ -73,15 +73,18 @@ def with_previous(
     prefix: str = "prev_",
     width: float = HOUR,
 ) -> DataFrame:
-    """The ``columns`` of the preceding row in time, per key; null on the first row."""
+    """The ``columns`` of the preceding row in time, per key; null on the first row.
+
+    Rows of one time are ordered by ``columns``, so a row's values are always those of one row.
+    """
     blocked = df.withColumn("_block", block_of(ts, width))
-    in_block = Window.partitionBy(*keys, "_block").orderBy(ts)
+    in_block = Window.partitionBy(*keys, "_block").orderBy(ts, *columns)
     over_blocks = Window.partitionBy(*keys).orderBy("_block")
     tails = blocked.groupBy(*keys, "_block").agg(
-        *[F.max_by(c, ts).alias(f"_last_{c}") for c in columns]
+        F.max(F.struct(F.col(ts).alias("_at"), *[F.col(c).alias(f"_{c}") for c in columns])).alias("_last")
     )
-    heads = tails.select(
-        *keys, "_block", *[F.lag(f"_last_{c}").over(over_blocks).alias(f"_head_{c}") for c in columns]
+    heads = tails.select(*keys, "_block", F.lag("_last").over(over_blocks).alias("_head")).select(
+        *keys, "_block", *[F.col(f"_head._{c}").alias(f"_head_{c}") for c in columns]
     )
     first = F.col("_row") == 1
     return (
