@@ -35,7 +35,7 @@ def interleave(
     its own. Columns called ``shard`` or ``slot`` are replaced; an empty table stays empty.
     """
     total = rows.count()
-    buckets = max(8, -(-total // bucket_rows))
+    buckets = max(64, -(-total // bucket_rows))
     rows = rows.drop("shard", "slot").withColumns(
         {"_s": F.struct(F.col(stratum).isNull().alias("none"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("name"))}
     )
