@@ -5,11 +5,11 @@ MinHash signature of its character shingles, cut into bands; lines that agree in
 candidates, whose shingle sets are then compared exactly. Lines linked over any number of steps form
 a component, and of a component one line, the first by document and position, is kept.
 
-Within a band not all pairs are compared. The first line of a band is compared with all others, then
-the second with those not yet in its component; after ``pivots`` such rounds the pairs left between
-different components of a band are compared, all of them. Pairs inside a component would add nothing,
-so a band of thousands of variants of one line costs a row for each, and no link between
-components is lost.
+All lines of a band are compared, but no pair of them is ever a row. The lines of a band come together with
+their texts; a band of many is dealt into blocks of bounded size by a hash, and each pair of
+blocks is one row of one task. There the sets are bit rows, intersections are counted for a line against
+all others at once, and what leaves the task is a star per component found. Bands of the same lines, as
+near copies have many, are looked at once.
 
 Texts are not shuffled but for candidates: bands and positions are rows of numbers, and the texts of
 candidates are picked by a second scan that knows them by a bit array of fixed size (which lets
@@ -21,6 +21,7 @@ one; among 6 billion distinct lines one such pair is expected.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanlake.llm.common import components
+from scanlake.llm.common import components, forest, in_batches
 from scanlake.session import cut
 
 SHINGLE = 8
@@ -38,6 +39,8 @@ SHINGLE = 8
 BANDS, ROWS = 16, 4
 FILTER_BITS = 1 << 24
 PIECE = 200_000
+#: A block of lines to be compared holds about as many lines or characters.
+BLOCK_LINES, BLOCK_CHARS = 1024, 512_000
 _RANDOM = np.random.default_rng(12)
 MULTIPLY = (_RANDOM.integers(0, 2**31, BANDS * ROWS, np.int64) * 2 + 1).astype(np.uint32)
 ADD = _RANDOM.integers(0, 2**32, BANDS * ROWS, np.int64).astype(np.uint32)
@@ -152,7 +155,7 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 names=schema.names,
             )
 
-    return docs.select(key, text).mapInArrow(scan, schema)
+    return docs.select(key, text).transform(in_batches, scan, schema)
 
 
 def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -172,55 +175,89 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
             some = [s for s in some if bits[s[0] % FILTER_BITS >> 3] >> (s[0] & 7) & 1]
             yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in some], t) for k, t in enumerate((pa.int64(), pa.string()))], names=["line", "compared"])
 
-    found = docs.select(text).mapInArrow(scan, "line long, compared string")
+    found = docs.select(text).transform(in_batches, scan, "line long, compared string")
     return found.join(wanted, "line", "left_semi").dropDuplicates(["line"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` of line hashes whose shingle sets are similar enough."""
-    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("compared").alias("text_a")), "a").join(
-        texts.select(F.col("line").alias("b"), F.col("compared").alias("text_b")), "b"
-    )
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [jaccard(x, y) >= threshold for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(scan, "a long, b long")
-
+def block_links(texts: list[str], sides: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of lines whose shingle sets are similar enough, exactly: as one star per component.
 
-def line_groups(lines: DataFrame, docs: DataFrame, text: str = "text", threshold: float = 0.8, pivots: int = 2) -> DataFrame:
+    ``sides`` has the block of each line; with two blocks, only lines of different ones are compared.
+    Sets are bit rows over the shingles that more than one line has, which is all that intersections need.
+    """
+    sets = [shingles(t) for t in texts]
+    often = Counter(x for s in sets for x in s)
+    number = {x: k for k, x in enumerate(x for x, n in often.items() if n > 1)}
+    rows = np.zeros((len(sets), (len(number) + 63) // 64 * 8), np.uint8)
+    flags = np.zeros(rows.shape[1] * 8, np.uint8)
+    for k, s in enumerate(sets):
+        ids = [number[x] for x in s if x in number]
+        flags[ids] = 1
+        rows[k] = np.packbits(flags)
+        flags[ids] = 0
+    bits, sizes, side = rows.view(np.uint64), np.array([len(s) for s in sets]), np.array(sides)
+    across = len(set(sides)) > 1
+    i_all, j_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(len(sets) - 1):
+        both = np.bitwise_count(bits[k] & bits[k + 1 :]).sum(axis=1, dtype=np.int64)
+        near = both >= threshold * (sizes[k] + sizes[k + 1 :] - both)
+        if across:
+            near &= side[k + 1 :] != side[k]
+        found = np.flatnonzero(near) + k + 1
+        i_all.append(np.full(len(found), k))
+        j_all.append(found)
+    label = forest(len(sets), np.concatenate(i_all), np.concatenate(j_all))
+    leaves = np.flatnonzero(label != np.arange(len(label)))
+    return label[leaves], leaves
+
+
+def line_groups(lines: DataFrame, docs: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
     """``line, root`` for the lines of ``line_table`` that are linked to another; ``root`` names the component."""
-    banded = lines.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("band"), "line").distinct()
+    banded = lines.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("band"), "line")
     of_band = Window.partitionBy("band")
     members = cut(
         banded.withColumns({"low": F.min("line").over(of_band), "high": F.max("line").over(of_band)})
         .where(F.col("low") < F.col("high"))
-        .withColumn("place", F.row_number().over(of_band.orderBy("line")))
-        .select("band", "line", "place")
+        .select("band", "line")
+        .distinct()
     )
     texts = cut(_texts(docs, text, members.select("line").distinct()))
-    links, roots = None, members.select("line", F.col("line").alias("root")).limit(0)
-    for place in range(1, pivots + 2):
-        labelled = members.join(roots.withColumnRenamed("root", "r"), "line", "left").select(
-            "band", "line", "place", F.coalesce("r", "line").alias("root")
-        )
-        if place > 1:
-            unsettled = labelled.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-            labelled = labelled.join(unsettled, "band")
-        left = labelled.where(F.col("place") == place if place <= pivots else F.col("place") > pivots)
-        pairs = (
-            left.select("band", F.col("line").alias("a"), F.col("place").alias("p"), F.col("root").alias("ra"))
-            .join(labelled.select("band", F.col("line").alias("b"), F.col("place").alias("q"), F.col("root").alias("rb")), "band")
-            .where((F.col("p") < F.col("q")) & (F.col("ra") != F.col("rb")))
-            .select("a", "b")
-            .distinct()
-        )
-        found = cut(_verified(pairs, texts, threshold))
-        links = found if links is None else links.union(found)
-        roots = components(links).select(F.col("vertex").alias("line"), "root")
-    return roots
+    # Bands of the same lines need one look.
+    cost = F.greatest(F.length("compared"), F.lit(BLOCK_CHARS // BLOCK_LINES))
+    h = F.xxhash64("line").cast("decimal(20,0)")
+    bands = (
+        members.join(texts.select("line", cost.alias("cost")), "line")
+        .groupBy("band")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h"), F.min("line").alias("low"), F.sum("cost").alias("cost"))
+        .groupBy("n", "h", "low")
+        .agg(F.min("band").alias("band"), F.ceil(F.first("cost") / BLOCK_CHARS).alias("blocks"))
+        .select("band", "blocks")
+    )
+    own = F.pmod(F.xxhash64("line", F.lit(7)), F.col("blocks"))
+    partners = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("x"), F.greatest(k, "own").alias("y")))
+    met = (
+        members.join(bands, "band")
+        .withColumn("own", own)
+        .withColumn("at", F.explode(partners))
+        .join(texts, "line")
+        .groupBy("band", "at")
+        .agg(F.collect_list(F.struct("line", "own", "compared")).alias("some"))
+        .select("some")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for some in batch.column(0):
+                rows = some.as_py()
+                line = np.array([r["line"] for r in rows])
+                i, j = block_links([r["compared"] for r in rows], [r["own"] for r in rows], threshold)
+                a.append(line[i])
+                b.append(line[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+    links = met.transform(in_batches, compare, "a long, b long")
+    return components(links).select(F.col("vertex").alias("line"), "root")
 
 
 def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
