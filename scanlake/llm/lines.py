@@ -41,6 +41,8 @@ FILTER_BITS = 1 << 24
 PIECE = 200_000
 #: A block of lines to be compared holds about as many lines or characters.
 BLOCK_LINES, BLOCK_CHARS = 1024, 512_000
+#: So many lines are compared pair by pair; bit rows pay for more.
+FEW = 6
 _RANDOM = np.random.default_rng(12)
 MULTIPLY = (_RANDOM.integers(0, 2**31, BANDS * ROWS, np.int64) * 2 + 1).astype(np.uint32)
 ADD = _RANDOM.integers(0, 2**32, BANDS * ROWS, np.int64).astype(np.uint32)
@@ -180,13 +182,22 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def block_links(texts: list[str], sides: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of lines whose shingle sets are similar enough, exactly: as one star per component.
+    """Positions of lines whose shingle sets are similar enough, exactly; of many lines one star per component.
 
     ``sides`` has the block of each line; with two blocks, only lines of different ones are compared.
     Sets are bit rows over the shingles that more than one line has, which is all that intersections need.
     """
     sets = [shingles(t) for t in texts]
-    often = Counter(x for s in sets for x in s)
+    if len(sets) <= FEW:
+        near = [
+            (i, j) for j in range(len(sets)) for i in range(j)
+            if min(len(sets[i]), len(sets[j])) >= threshold * max(len(sets[i]), len(sets[j]))
+            and (both := len(sets[i] & sets[j])) >= threshold * (len(sets[i]) + len(sets[j]) - both)
+        ]
+        return np.array([i for i, _ in near], np.int64), np.array([j for _, j in near], np.int64)
+    often: Counter[str] = Counter()
+    for s in sets:
+        often.update(s)
     number = {x: k for k, x in enumerate(x for x, n in often.items() if n > 1)}
     rows = np.zeros((len(sets), (len(number) + 63) // 64 * 8), np.uint8)
     flags = np.zeros(rows.shape[1] * 8, np.uint8)
