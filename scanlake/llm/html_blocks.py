@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanlake.llm.common import append
+from scanlake.llm.common import append, in_batches
 
 PATH_DIM, WORD_DIM = 256, 24
 DIM = 2 * PATH_DIM + WORD_DIM + 6
@@ -307,9 +307,14 @@ def _variant(rng: random.Random, blocks: list) -> list:
 
 
 def train(pages: DataFrame, html: str = "html", sample: int = 200, longest: int = 60_000, variants: int = 4, epochs: int = 10, seed: int = 0) -> Labeller:
-    """A labeller fitted to at most ``sample`` pages of up to ``longest`` characters, the least by a hash of the page."""
+    """A labeller fitted to at most ``sample`` pages of up to ``longest`` characters, picked by a hash of the page.
+
+    A share that should hold twice the sample is taken first, so what reaches the driver is bounded, too.
+    """
     some = pages.where(F.col(html).isNotNull() & (F.length(html) <= longest)).select(F.col(html).alias("html"))
-    chosen = [r.html for r in some.orderBy(F.xxhash64("html"), "html").limit(sample).collect()]
+    share = 2.0 * sample / max(1, some.count())
+    few = some.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < F.lit(share * 1_000_000))
+    chosen = [r.html for r in few.orderBy(F.xxhash64("html"), "html").limit(sample).collect()]
     rng = random.Random(seed)
     paths: dict = {}
     data: list[tuple[np.ndarray, np.ndarray]] = []
@@ -373,4 +378,4 @@ def extract(pages: DataFrame, model: Labeller, html: str = "html", name: str = "
             yield append(batch.select([c for c in batch.schema.names if c not in gone]), **{name: pa.array(texts, pa.string())})
 
     fields = [f for f in pages.schema if f.name not in gone]
-    return pages.mapInArrow(scan, T.StructType([*fields, T.StructField(name, T.StringType())]))
+    return pages.transform(in_batches, scan, T.StructType([*fields, T.StructField(name, T.StringType())]))
