@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanlake.llm.common import in_batches
 from scanlake.session import cut
 
 BLOCK = "dim int, block long, ids binary, vectors binary, keys binary, orders binary"
@@ -111,7 +112,7 @@ def search(
                 found = _ascend(*forest, _hashes(_planes(dim, trees, bits, seed), longer.astype(np.float32)), bits, want, 2 * k)
                 yield _best(found, np.frombuffer(row["q_ids"], np.int64), q, ids, x, k)
 
-    met = index.join(to_each, ["dim", "block"]).mapInArrow(scan, "query_id long, q_at binary, vec_id long, score double")
+    met = index.join(to_each, ["dim", "block"]).transform(in_batches, scan, "query_id long, q_at binary, vec_id long, score double")
     order = Window.partitionBy("query_id", "q_at").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

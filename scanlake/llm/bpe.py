@@ -16,20 +16,21 @@ only the leftmost is. That is what the one-at-a-time order would arrive at.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from scanlake.llm.common import append, text_bytes
+from scanlake.llm.common import append, in_batches, text_bytes
 
 #: Words of more bytes contract many pairs a round.
 LONG = 192
-WORDS_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE, CACHE, TOKENS_AT_ONCE = 30_000, 400_000, 2_000_000, 250_000, 400_000
+WORDS_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE, CACHE, TOKENS_AT_ONCE = 15_000, 200_000, 1_000_000, 150_000, 200_000
 
 #: ``start`` has running positions with a gap behind each word, so that neighbours are found by one join:
 #: a token ends where the next begins. ``made`` is the merged rank, then a place for the position, then the length.
@@ -100,7 +101,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _connection() -> duckdb.DuckDBPyConnection:
-    return duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
 
 
 class Encoder:
@@ -163,18 +164,10 @@ class Encoder:
             self.known[group[w][0]] = flat[ends[k] : ends[k + 1]].tobytes()
 
 
-def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: Sequence[str] | None = None
-) -> DataFrame:
-    """``keep`` columns (all) of ``docs`` with ``n_tokens`` and ``token_ids``, packed as unsigned 32-bit integers.
+Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    The whole text is split by ``pattern`` and each match is merged by itself. Special tokens aren't
-    looked for. A null text counts as an empty one, which has no ids. Columns ``n_tokens`` and
-    ``token_ids`` of ``docs`` are replaced.
-    """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "token_ids")]
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
 
+def _encoding(held: Broadcast, pattern: str, text: str, keep: list[str]) -> Scan:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, split = None, regex.compile(pattern).findall
         for batch in batches:
@@ -194,20 +187,13 @@ def encode(
                 batch.select(keep), n_tokens=pa.array([len(p) // 4 for p in packed], pa.int64()),
                 token_ids=pa.array(packed, pa.binary()),
             )
+        if encoder:
+            encoder.db.close()
 
-    schema = T.StructType(
-        [*(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]
-    )
-    return docs.mapInArrow(scan, schema)
+    return scan
 
 
-def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", name: str = "decoded") -> DataFrame:
-    """``rows`` with the bytes that packed ``ids`` stand for; of null or no ids, no bytes.
-
-    An id outside the vocabulary is an error.
-    """
-    held = rows.sparkSession.sparkContext.broadcast(ranks)
-
+def _decoding(held: Broadcast, ids: str, name: str) -> Scan:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         db = None
         for batch in batches:
@@ -222,9 +208,51 @@ def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", nam
                     begin, size = at + 1, 0
             kept = batch.select([c for c in batch.schema.names if c != name])
             yield append(kept, **{name: pa.array(out, pa.binary())})
+        if db:
+            db.close()
+
+    return scan
+
+
+def _encoded(docs: DataFrame, keep: list[str]) -> list[T.StructField]:
+    return [*(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())]
+
+
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """``keep`` columns (all) of ``docs`` with ``n_tokens`` and ``token_ids``, packed as unsigned 32-bit integers.
+
+    The whole text is split by ``pattern`` and each match is merged by itself. Special tokens aren't
+    looked for. A null text counts as an empty one, which has no ids. Columns ``n_tokens`` and
+    ``token_ids`` of ``docs`` are replaced.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "token_ids")]
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    return docs.transform(in_batches, _encoding(held, pattern, text, keep), T.StructType(_encoded(docs, keep)))
+
 
+def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", name: str = "decoded") -> DataFrame:
+    """``rows`` with the bytes that packed ``ids`` stand for; of null or no ids, no bytes.
+
+    An id outside the vocabulary is an error.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(ranks)
     fields = [f for f in rows.schema if f.name != name]
-    return rows.mapInArrow(scan, T.StructType([*fields, T.StructField(name, T.BinaryType())]))
+    schema = T.StructType([*fields, T.StructField(name, T.BinaryType())])
+    return rows.transform(in_batches, _decoding(held, ids, name), schema)
+
+
+def round_trip(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """``encode``, and ``decoded`` as ``decode`` gives it from the ids, in one pass of one worker per task."""
+    gone = ("n_tokens", "token_ids", "decoded")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in gone]
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    encoding, decoding = _encoding(held, pattern, text, keep), _decoding(held, "token_ids", "decoded")
+    schema = T.StructType([*_encoded(docs, keep), T.StructField("decoded", T.BinaryType())])
+    return docs.transform(in_batches, lambda batches: decoding(encoding(batches)), schema)
 
 
 def _vocabulary(ranks: dict[bytes, int]) -> duckdb.DuckDBPyConnection:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,26 @@ from pyspark.sql import functions as F
 from scanlake.session import cut
 
 
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(rows: DataFrame, scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``rows`` through ``scan``, in Arrow batches of at most ``BATCH_BYTES`` but for single larger rows.
+
+    A worker holds a batch, what is derived from it and its result at once. Batches of the session's default
+    size leave little of a small executor when several workers are at it.
+    """
+    conf = rows.sparkSession.conf
+    number, unit = re.fullmatch(r"(\d+)([kmg]?)b?", conf.get(BATCH_CONF).lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > BATCH_BYTES:
+        conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
+    return rows.mapInArrow(scan, schema)
+
+
 def text_bytes(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
     """The UTF-8 bytes of each row of a string column; of a null, none."""
     for value in batch.column(column).cast(pa.binary()):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanlake.llm.common import append, text_bytes
+from scanlake.llm.common import append, in_batches, text_bytes
 from scanlake.session import cut
 
 #: Bytes that are no part of a word become spaces, A-Z becomes a-z.
@@ -50,7 +50,7 @@ def windows(items: DataFrame, text: str, item_id: str, width: int) -> DataFrame:
                     )
 
     narrow = items.select(F.col(text), F.coalesce(F.col(item_id).cast("string"), F.lit("")))
-    return narrow.mapInArrow(scan, "window binary, item string").distinct()
+    return narrow.transform(in_batches, scan, "window binary, item string").distinct()
 
 
 def mark_contaminated(
@@ -74,7 +74,7 @@ def mark_contaminated(
     for part in range(parts):
         chosen = found.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
         held = docs.sparkSession.sparkContext.broadcast(_lookup(chosen.collect()))
-        docs = docs.mapInArrow(_scan(text, held), schema)
+        docs = docs.transform(in_batches, _scan(text, held), schema)
         if parts > 1:
             docs = cut(docs)
             held.unpersist()
@@ -152,7 +152,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, action: str = "documents",
             ]
             yield batch.set_column(at, text, pa.array(kept, batch.schema.field(at).type)).select(columns)
 
-    return marked.mapInArrow(scan, docs.schema)
+    return marked.transform(in_batches, scan, docs.schema)
 
 
 def without_words(text: bytes, hit: list[int]) -> bytes:

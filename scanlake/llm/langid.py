@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanlake.llm.common import append
+from scanlake.llm.common import append, in_batches
 from scanlake.session import cut
 
 #: Words are scored in stretches of so many bytes, which keeps products of probabilities in range.
@@ -167,6 +167,8 @@ def fit(
     pieces = Pieces(tokens, longest)
     if not names:
         return [], np.zeros((len(pieces.pieces), 0)), pieces
+    # A row per language, as many as the model itself holds.
+    sizes = F.broadcast(sizes)
     part = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / F.lit(1_000_000.0)
     chosen = labelled.join(sizes, "lang").where(part * F.col("n") < sample).select("lang", "text")
 
@@ -181,7 +183,7 @@ def fit(
                 names=["lang", "word", "n"],
             )
 
-    counted = chosen.mapInArrow(count_words, "lang string, word string, n long")
+    counted = chosen.transform(in_batches, count_words, "lang string, word string, n long")
     table = cut(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     probability = np.full((len(pieces.pieces), len(names)), 1 / len(pieces.pieces))
     for _ in range(rounds):
@@ -202,12 +204,12 @@ def fit(
                             names=["lang", "piece", "n"],
                         )
 
-        sums = table.mapInArrow(expect, "lang long, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        sums = table.transform(in_batches, expect, "lang long, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         new = np.full(probability.shape, smoothing)
         for row in sums.collect():
             new[row.piece, row.lang] += row.n
         probability = new / new.sum(axis=0)
-        held.unpersist()
+        held.destroy()
     return names, probability * pieces.gain[:, None], pieces
 
 
@@ -227,7 +229,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, Pieces], text:
             rows, sizes = [], []
             for value in batch.column(text):
                 words = words_of(value.as_py() or "")
-                rows.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
+                rows.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
                 sizes.append(len(words))
             langs, scores = ["und"] * len(rows), np.zeros(len(rows))
             if index and names:
@@ -242,7 +244,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, Pieces], text:
 
     fields = [f for f in docs.schema if f.name not in gone]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(scan, schema)
+    return docs.transform(in_batches, scan, schema)
 
 
 def keep_identified(docs: DataFrame, model, text: str = "text", least: float = 0.5) -> DataFrame:

@@ -46,8 +46,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the public ranks, and its ids decoded again."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
-    return bpe.decode(ids, ranks).select(
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]).select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanlake.llm.common import append, components, forest, text_bytes
+from scanlake.llm.common import append, components, forest, in_batches, text_bytes
 from scanlake.session import cut
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
             yield append(kept, fp=pa.array(found.view(np.int64)))
 
     docs = docs.drop("fp")
-    return docs.mapInArrow(scan, T.StructType([*docs.schema, T.StructField("fp", T.LongType())]))
+    return docs.transform(in_batches, scan, T.StructType([*docs.schema, T.StructField("fp", T.LongType())]))
 
 
 def near_links(fps: DataFrame, budget: int = 3, node_rows: int = 8192) -> DataFrame:
@@ -129,7 +129,7 @@ def _leaves(fps: DataFrame, pairs: DataFrame, depth: int, budget: int) -> DataFr
                 if len(one):
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (one, other)], names=["a", "b"])
 
-    return both.select("a", "b", "d", "left", "right").mapInArrow(scan, "a long, b long")
+    return both.select("a", "b", "d", "left", "right").transform(in_batches, scan, "a long, b long")
 
 
 def node_join(
