@@ -9,7 +9,6 @@ from scanlake.catalog.poses import DAY, V, VS
 from scanlake.catalog.registry import ORACLES, q6, query, rounded, sql_matvec, sql_rotation
 from scanlake.functions.poses import FIELDS
 from scanlake.operators import fits, fusion, registration as reg, voxels
-from scanlake.operators.timeline import HOUR
 from scanlake.plans.features import feature_job
 from scanlake.plans.loops import mine_by_descriptor, mine_loops, verify_loops
 from scanlake.plans.mapping import build_map, refine_to_map
