@@ -8,14 +8,20 @@ and ends when no word has a pair left. Each distinct word is encoded once and ke
 cache of bounded size. Decoding joins ids with the vocabulary and concatenates the bytes of each
 text in the order of position.
 
-In a word of many bytes one contraction a round would be quadratic, so for those all occurrences of the
-least pair are contracted in a round, unless one of them would make a pair of even lower rank; then
-only the leftmost is. That is what the one-at-a-time order would arrive at.
+A row of tokens is what its bytes are merged to exactly if each two neighbours are what their own bytes
+are merged to: until the first merge across a border, what lies between two borders goes its way by
+itself. So a word of many bytes is encoded in short stretches that overlap by half, and two rows that
+share a token go over into each other there. Where they don't, the last tokens are merged again together with
+the next bytes, from further back until the first of them stays as it was. In such a piece all occurrences of
+the least pair are contracted in a round, unless one of them would make a pair of even lower rank; then only the
+leftmost is. That is what the one-at-a-time order would arrive at. Of its rounds only the last is held.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import duckdb
@@ -28,9 +34,13 @@ from pyspark.sql import types as T
 
 from scanlake.llm.common import append, in_batches, text_bytes
 
-#: Words of more bytes contract many pairs a round.
-LONG = 192
+#: Words of more bytes are encoded in stretches of twice ``HALF`` bytes, so many of them at a time.
+LONG, HALF, STRETCHES = 192, 64, 4_096
+#: Stretches that don't meet make way for longer pieces, up to so many bytes more.
+FURTHEST = 1 << 16
 WORDS_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE, CACHE, TOKENS_AT_ONCE = 15_000, 200_000, 1_000_000, 150_000, 200_000
+#: All rounds of short words have at most so many rows, as a word of n bytes leaves n, n - 1, ... in its rounds.
+ROWS_AT_ONCE = 2_000_000
 
 #: ``start`` has running positions with a gap behind each word, so that neighbours are found by one join:
 #: a token ends where the next begins. ``made`` is the merged rank, then a place for the position, then the length.
@@ -51,42 +61,29 @@ WITH RECURSIVE step AS (
 SELECT word, list(tok ORDER BY pos) AS ids
 FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) GROUP BY word
 """
-LONG_WORD = """
-WITH RECURSIVE step AS (
-  SELECT word, pos, tok, 0 AS round FROM start
-  UNION ALL (
-    WITH cur AS (
-      SELECT *, lag(tok) OVER w AS prv, lead(tok) OVER w AS nxt, lead(pos) OVER w AS npos, lead(tok, 2) OVER w AS nxt2
-      FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), pairs AS (
-      SELECT word, pos, npos, prv, nxt2, m FROM cur JOIN merges ON tok = l AND nxt = r
-    ), least AS (
-      SELECT p.*, coalesce(lag(npos) OVER w = pos, false) AS meets
-      FROM pairs p JOIN (SELECT word, min(m) AS m FROM pairs GROUP BY word) USING (word, m)
-      WINDOW w AS (PARTITION BY p.word ORDER BY pos)
-    ), lower AS (
-      SELECT DISTINCT word FROM (
-        SELECT word, m, prv AS l, m AS r FROM least UNION ALL
-        SELECT word, m, m, nxt2 FROM least UNION ALL
-        SELECT word, m, m, m FROM least
-      ) made JOIN merges USING (l, r) WHERE merges.m < made.m
-    ), runs AS (
-      SELECT *, sum(CASE WHEN meets THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY pos) AS run FROM least
-    ), ranked AS (
-      SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1 AS free,
-        row_number() OVER (PARTITION BY word ORDER BY pos) = 1 AS leftmost FROM runs
-    ), pick AS (
-      SELECT ranked.word, pos, npos, m FROM ranked LEFT JOIN lower ON lower.word = ranked.word
-      WHERE CASE WHEN lower.word IS NULL THEN free ELSE leftmost END
-    )
-    SELECT cur.word, cur.pos, coalesce(a.m, tok), round + 1
-    FROM cur SEMI JOIN pick USING (word)
-    LEFT JOIN pick a ON a.word = cur.word AND a.pos = cur.pos
-    ANTI JOIN pick z ON z.word = cur.word AND z.npos = cur.pos
-  )
+LONG_ROUND = """
+WITH cur AS (
+  SELECT *, lag(tok) OVER w AS prv, lead(tok) OVER w AS nxt, lead(pos) OVER w AS npos, lead(tok, 2) OVER w AS nxt2
+  FROM step WINDOW w AS (ORDER BY pos)
+), pairs AS (
+  SELECT pos, npos, prv, nxt2, m FROM cur JOIN merges ON tok = l AND nxt = r
+), least AS (
+  SELECT *, coalesce(lag(npos) OVER (ORDER BY pos) = pos, false) AS meets FROM pairs WHERE m = (SELECT min(m) FROM pairs)
+), lower AS (
+  SELECT count(*) AS n FROM (
+    SELECT m, prv AS l, m AS r FROM least UNION ALL
+    SELECT m, m, nxt2 FROM least UNION ALL
+    SELECT m, m, m FROM least
+  ) made JOIN merges USING (l, r) WHERE merges.m < made.m
+), runs AS (
+  SELECT *, sum(CASE WHEN meets THEN 0 ELSE 1 END) OVER (ORDER BY pos) AS run FROM least
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY pos) % 2 = 1 AS free, row_number() OVER (ORDER BY pos) = 1 AS leftmost FROM runs
+), pick AS (
+  SELECT pos, npos, m FROM ranked WHERE CASE WHEN (SELECT n FROM lower) = 0 THEN free ELSE leftmost END
 )
-SELECT word, list(tok ORDER BY pos) AS ids
-FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) GROUP BY word
+SELECT cur.pos, coalesce(a.m, tok) AS tok
+FROM cur LEFT JOIN pick a ON a.pos = cur.pos ANTI JOIN pick z ON z.npos = cur.pos
 """
 DECODE = """
 SELECT doc, string_agg(piece, '' ORDER BY pos) AS text, count(*) - count(piece) AS unknown
@@ -121,6 +118,8 @@ class Encoder:
         self.db.execute("CREATE TABLE merges AS SELECT l, r, m FROM given")
         self.db.execute("CREATE TABLE packed AS SELECT (l << 24) | r AS pair, (m << 40) | s AS made FROM given")
         self.db.unregister("given")
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
         self.whole = {t: rank.to_bytes(4, "little") for t, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
 
@@ -133,35 +132,106 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in texts]
 
     def _learn(self, words: list[str]) -> None:
-        group: list[tuple[str, bytes]] = []
-        held = 0
+        short: dict[str, bytes] = {}
         for word in words:
             raw = word.encode()
             if raw in self.whole:
                 self.known[word] = self.whole[raw]
             elif len(raw) > LONG:
-                self._encode([(word, raw)], LONG_WORD)
+                self.known[word] = self._long(raw)
             else:
-                group.append((word, raw))
-                held += len(raw)
-                if len(group) >= WORDS_AT_ONCE or held >= BYTES_AT_ONCE:
-                    self._encode(group, SHORT_WORDS)
-                    group, held = [], 0
+                short[word] = raw
+        self.known.update(zip(short, (ids.tobytes() for ids in self._short(list(short.values())))))
+
+    def _short(self, words: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each word, in groups of bounded size."""
+        group: list[bytes] = []
+        held = rows = 0
+        for raw in words:
+            more = len(raw) * (len(raw) + 1) // 2
+            if group and (len(group) >= WORDS_AT_ONCE or held + len(raw) > BYTES_AT_ONCE or rows + more > ROWS_AT_ONCE):
+                yield from self._encode(group)
+                group, held, rows = [], 0, 0
+            group.append(raw)
+            held += len(raw)
+            rows += more
         if group:
-            self._encode(group, SHORT_WORDS)
+            yield from self._encode(group)
 
-    def _encode(self, group: list[tuple[str, bytes]], query: str) -> None:
-        sizes = np.array([len(raw) for _, raw in group])
+    def _encode(self, group: list[bytes]) -> list[np.ndarray]:
+        sizes = np.array([len(raw) for raw in group])
         word = np.repeat(np.arange(len(group)), sizes)
         pos = np.arange(len(word)) + word
-        tok = self.single[np.frombuffer(b"".join(raw for _, raw in group), np.uint8)]
+        tok = self.single[np.frombuffer(b"".join(group), np.uint8)]
         self.db.register("start", pa.table({"word": pa.array(word), "pos": pa.array(pos), "tok": pa.array(tok)}))
-        out = self.db.sql(query).to_arrow_table().combine_chunks()
+        out = self.db.sql(SHORT_WORDS).to_arrow_table().combine_chunks()
         self.db.unregister("start")
         ids = out.column("ids").combine_chunks()
         flat, ends = ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+        found = [flat[:0]] * len(group)
         for k, w in enumerate(out.column("word").to_pylist()):
-            self.known[group[w][0]] = flat[ends[k] : ends[k + 1]].tobytes()
+            found[w] = flat[ends[k] : ends[k + 1]]
+        return found
+
+    def _long(self, raw: bytes) -> bytes:
+        """Ids of a word of any length; ``ids`` and ``starts`` are always what the bytes up to ``done`` are merged to."""
+        ids, starts, done, further = array("I"), array("q"), 0, 0
+        count = -(-(len(raw) - HALF) // HALF)
+        for at in range(0, count, STRETCHES):
+            some = [raw[k * HALF : (k + 2) * HALF] for k in range(at, min(at + STRETCHES, count))]
+            distinct = list(dict.fromkeys(some))
+            found = dict(zip(distinct, self._short(distinct)))
+            for k, piece in enumerate(some, at):
+                begin, end = k * HALF, k * HALF + len(piece)
+                if end <= done:
+                    continue
+                own = found[piece]
+                first = (begin + np.cumsum(self.sizes[own]) - self.sizes[own]).tolist()
+                own = own.tolist()
+                index = dict(zip(zip(first, own), range(len(own))))
+                for i in range(bisect_left(starts, begin), len(starts)):
+                    if (j := index.get((starts[i], ids[i]))) is not None:
+                        break
+                else:
+                    i, j = (0, 0) if not done else (0, None)
+                if j is None:
+                    further = min(2 * further + HALF, FURTHEST)
+                    end = min(len(raw), end + further)
+                    self._append(raw, ids, starts, end)
+                else:
+                    further = 0
+                    del ids[i:], starts[i:]
+                    ids.extend(own[j:])
+                    starts.extend(first[j:])
+                done = end
+        return np.array(ids, "<u4").tobytes()
+
+    def _append(self, raw: bytes, ids: array, starts: array, end: int) -> None:
+        """Goes on to ``end`` by merging the last tokens again with the bytes that follow."""
+        back = 8
+        while True:
+            at = max(0, len(ids) - back)
+            new = self._rounds(raw[starts[at] : end])
+            if not at or new[0] == ids[at]:
+                break
+            back *= 8
+        first = starts[at] + np.cumsum(self.sizes[new]) - self.sizes[new]
+        del ids[at:], starts[at:]
+        ids.extend(new.tolist())
+        starts.extend(first.tolist())
+
+    def _rounds(self, raw: bytes) -> np.ndarray:
+        """Ids of a word, of which each round replaces the one before."""
+        tok = self.single[np.frombuffer(raw, np.uint8)]
+        self.db.register("given", pa.table({"pos": pa.array(np.arange(len(tok))), "tok": pa.array(tok)}))
+        self.db.execute("CREATE OR REPLACE TEMP TABLE step AS SELECT * FROM given")
+        self.db.unregister("given")
+        left = len(tok)
+        while True:
+            (now,) = self.db.execute(f"CREATE OR REPLACE TEMP TABLE step AS {LONG_ROUND}").fetchone()
+            if now == left:
+                return self.db.execute("SELECT tok FROM step ORDER BY pos").fetchnumpy()["tok"].astype("<u4")
+            left = now
 
 
 Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -200,12 +270,17 @@ def _decoding(held: Broadcast, ids: str, name: str) -> Scan:
             db = db or _vocabulary(held.value)
             packed = list(text_bytes(batch, ids))
             out = [b""] * len(packed)
-            begin, size = 0, 0
+            some: list[tuple[int, bytes]] = []
+            size = 0
             for at, value in enumerate(packed):
-                size += len(value) // 4
-                if size > TOKENS_AT_ONCE or at == len(packed) - 1:
-                    _decode(db, packed, begin, at + 1, out)
-                    begin, size = at + 1, 0
+                for begin in range(0, len(value), 4 * TOKENS_AT_ONCE):
+                    part = value[begin : begin + 4 * TOKENS_AT_ONCE]
+                    if size + len(part) > 4 * TOKENS_AT_ONCE:
+                        _decode(db, some, out)
+                        some, size = [], 0
+                    some.append((at, part))
+                    size += len(part)
+            _decode(db, some, out)
             kept = batch.select([c for c in batch.schema.names if c != name])
             yield append(kept, **{name: pa.array(out, pa.binary())})
         if db:
@@ -265,13 +340,16 @@ def _vocabulary(ranks: dict[bytes, int]) -> duckdb.DuckDBPyConnection:
     return db
 
 
-def _decode(db: duckdb.DuckDBPyConnection, packed: list[bytes], begin: int, end: int, out: list[bytes]) -> None:
-    sizes = np.array([len(p) // 4 for p in packed[begin:end]])
-    tok = np.frombuffer(b"".join(packed[begin:end]), "<u4")
-    doc = np.repeat(np.arange(begin, end), sizes)
+def _decode(db: duckdb.DuckDBPyConnection, some: list[tuple[int, bytes]], out: list[bytes]) -> None:
+    """Adds to the texts of ``out`` what the next ids of each stand for."""
+    if not some:
+        return
+    sizes = np.array([len(p) // 4 for _, p in some])
+    tok = np.frombuffer(b"".join(p for _, p in some), "<u4")
+    doc = np.repeat([at for at, _ in some], sizes)
     db.register("given", pa.table({"doc": pa.array(doc), "pos": pa.array(np.arange(len(tok))), "tok": pa.array(tok)}))
     for at, text, unknown in db.execute(DECODE).fetchall():
         if unknown:
             raise ValueError(f"{unknown} ids are not in the vocabulary")
-        out[at] = text.encode("latin-1")
+        out[at] += text.encode("latin-1")
     db.unregister("given")

@@ -64,3 +64,25 @@ def test_unknown_ids_are_an_error(spark, ranks):
     bad = spark.createDataFrame([(bytes([255, 255, 255, 0]),)], "token_ids binary")
     with pytest.raises(Exception, match="not in the vocabulary"):
         bpe.decode(bad, ranks).collect()
+
+
+def test_stretches_that_do_not_meet(ranks, library, monkeypatch):
+    """With short stretches most words need longer pieces, and tokens longer than a stretch come up."""
+    monkeypatch.setattr(bpe, "HALF", 4)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list(letters), 1500)) for letters in ("ab", "etaoinshr", "=-", "日本", "  ")]
+    words += [prose(8, 300).replace(" ", ""), "abcdefg" * 100, "a" * 777, " " * 1001, "=" * 999, "日" * 500]
+    pieces, append = [], bpe.Encoder._append
+    monkeypatch.setattr(bpe.Encoder, "_append", lambda *args: pieces.append(1) or append(*args))
+    encoder = bpe.Encoder(ranks)
+    for word in words:
+        assert np.frombuffer(encoder.packed([[word]])[0], "<u4").tolist() == library._encode_single_piece(word)
+    assert pieces
+
+
+def test_a_match_of_ten_megabytes(spark, ranks, library):
+    rows = spark.sql("SELECT 1 AS doc_id, repeat('a', 10000000) AS text UNION ALL SELECT 2, repeat('abcdefghijk', 910000)")
+    out = {r.doc_id: r for r in bpe.round_trip(rows, ranks, public_tokenizers.PATTERN).collect()}
+    for doc, piece, times in ((1, "a", 10_000_000), (2, "abcdefghijk", 910_000)):
+        assert np.array_equal(np.frombuffer(bytes(out[doc].token_ids), "<u4"), library._encode_single_piece(piece * times))
+        assert bytes(out[doc].decoded) == (piece * times).encode()
