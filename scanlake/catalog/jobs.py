@@ -185,7 +185,7 @@ def register(spark, d):
     pairs = pts.select("scan_id").distinct().select(
         F.col("scan_id").alias("pair_id"), F.col("scan_id").alias("source_id"), (F.col("scan_id") + 1).alias("target_id")
     )
-    out = register_pairs(pts, pairs, k=10, cells=CELLS, size=8.0, rounds=2)
+    out = register_pairs(pts, pairs, k=10, cells=CELLS, size=8.0)
     return out.select("pair_id", *[F.round(c, 4).alias(c) for c in ("r00", "r01", "t0", "t1", "t2")], "rounds")
 
 
@@ -195,7 +195,7 @@ def refine(spark, d):
     guess = cloud.select("scan_id").distinct().select("scan_id", *[F.lit(0.0).alias(f) for f in FIELDS])
     edges, surfaces = cloud.where("ring < 8"), cloud.where("ring >= 8")
     out = refine_to_map(
-        edges, surfaces, edges, surfaces, guess, ["scan_id"], max_d=12.0, tolerance=1.0, rounds=2, min_matches=20
+        edges, surfaces, edges, surfaces, guess, ["scan_id"], max_d=12.0, tolerance=1.0, min_matches=20
     )
     return out.select("scan_id", "rounds", *[F.round(f, 3).alias(f) for f in FIELDS])
 
@@ -224,7 +224,7 @@ def verify(spark, d):
     kf, kp = fx.keyframes(spark, d), fx.keyframe_points(spark, d)
     candidates = mine_loops(kf, kp, V, 10.0, 5 * DAY, 2, 0.6).select("vehicle_id", "kf_id", "loop_id").distinct()
     out = verify_loops(
-        candidates, kf, kp, V, neighbours=1, leaf=1.0, min_source=10, min_target=30, max_fitness=100.0, cells=[8.0, 16.0, 32.0], rounds=1
+        candidates, kf, kp, V, leaf=1.0, min_source=10, min_target=30, max_fitness=100.0, cells=[8.0, 16.0, 32.0]
     )
     return out.select("vehicle_id", "from_id", "to_id", F.round("var0", 3).alias("fitness"))
 
@@ -250,7 +250,7 @@ def whole_map(spark, d):
 @query("settle")
 def settled(spark, d):
     out = settle(
-        fx.ground_queries(spark, d), fx.ground(spark, d), fx.WHEELS, com_z=0.5, max_iters=2, radius=6.0, min_neighbours=3,
+        fx.ground_queries(spark, d), fx.ground(spark, d), fx.WHEELS, com_z=0.5, radius=6.0, min_neighbours=3,
         fit=(8.0, 3.0, 5),
     )
     return out.select("query_id", *[F.round(c, 4).alias(c) for c in ("z", "roll", "pitch")], "reason")
@@ -266,7 +266,7 @@ def priors(spark, d):
     seen = kp.select("vehicle_id", "kf_id", F.col("point_idx").alias("point_id"), *XYZ)
     patches = seen.withColumnRenamed("kf_id", "prior_id")
     out = associate_priors(
-        ahead, kf, patches, seen, radius=4.0, max_fitness=200.0, max_z=10.0, max_angle=3.0, cells=[8.0, 16.0, 32.0], rounds=1
+        ahead, kf, patches, seen, radius=4.0, max_fitness=200.0, max_z=10.0, max_angle=3.0, cells=[8.0, 16.0, 32.0]
     )
     return out.select("vehicle_id", "from_id", "to_id", *[F.round(c, 3).alias(c) for c in ("x", "y", "z", "var0")])
 
