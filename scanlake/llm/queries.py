@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlake.llm import ann, bpe, decontamination, html_blocks, langid, lines, lm, sharding, simhash, url_rules
+from scanlake.llm import (
+    ann, bpe, decontamination, hard_negatives, html_blocks, langid, lines, lm, sharding, simhash, url_rules,
+    word_bpe,
+)
 from scanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +164,45 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         decontamination.is_contaminated().alias("contaminated"),
     )
+
+
+@query()
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the public tokenizer of words, and its ids decoded again."""
+    tokenizer = word_bpe.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    encoded = word_bpe.encode(table(spark, sf_dir, "documents"), tokenizer, keep=["doc_id"])
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    digests = encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "token_ids")
+    return word_bpe.decode(digests, tokenizer).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query(
+    """
+    WITH r AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), s AS (
+      SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+    ), p AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+      FROM s WHERE same
+    ), n AS (
+      SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+      WHERE place <= 5
+    )
+    SELECT * FROM n WHERE rank <= 5
+    """
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hardest rows of other labels below each of an anchor's nearest rows of its own."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
