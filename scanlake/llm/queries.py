@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlake.llm import (
-    ann, bpe, decontamination, hard_negatives, html_blocks, langid, lines, lm, sharding, simhash, url_rules,
+    ann, bpe, conversation_trie, decontamination, hard_negatives, html_blocks, langid, lines, lm, sharding, simhash, url_rules,
     word_bpe,
 )
 from scanlake.llm.common import table
@@ -178,6 +178,16 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    turns = conversation_trie.read_turns(table(spark, sf_dir, "conversations"))
+    nodes = conversation_trie.build(*conversation_trie.borrow_heads(turns))
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
 @query(
     """
     WITH r AS (
