@@ -178,7 +178,52 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE t AS (
+      SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, s) - 1 AS p, s, w
+      FROM (
+        SELECT conv_id AS c, turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w,
+          md5(concat(strlen(role), ':', role, strlen(text), ':', text)) AS s
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+      )
+    ), crc AS (
+      SELECT c, 0 AS bit, 4294967295 AS v FROM (SELECT DISTINCT c FROM t)
+      UNION ALL
+      SELECT c, bit + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END
+      FROM (
+        SELECT c, bit, CASE WHEN bit % 8 = 0 THEN xor(v, CAST(ascii(substr(CAST(c AS VARCHAR), bit // 8 + 1, 1)) AS BIGINT)) ELSE v END AS x
+        FROM crc WHERE bit < 8 * length(CAST(c AS VARCHAR))
+      )
+    ), ids AS (
+      SELECT c, xor(v, 4294967295) % 4 AS h FROM crc WHERE bit = 8 * length(CAST(c AS VARCHAR))
+    ), rebuilt AS (
+      SELECT ids.c, p, s, w FROM ids JOIN t ON t.c = ids.c - ids.c % 20 AND p < h
+      UNION ALL
+      SELECT c, p, s, w FROM ids JOIN t USING (c) WHERE p >= h
+    ), told AS (
+      SELECT c, coalesce(ss, []) AS ss, coalesce(ws, []) AS ws
+      FROM ids LEFT JOIN (SELECT c, list(s ORDER BY p) AS ss, list(w ORDER BY p) AS ws FROM rebuilt GROUP BY c) USING (c)
+    ), m AS (
+      SELECT c, d, len(ss) AS size, md5(array_to_string(ss[1:d], '')) AS node, md5(array_to_string(ss[1:d - 1], '')) AS parent, ws[d] AS w
+      FROM (SELECT *, unnest(range(0, len(ss) + 1)) AS d FROM told)
+    ), v AS (
+      SELECT node, any_value(d) AS d, any_value(parent) AS parent, min(c) AS c, count(*) AS n, coalesce(any_value(w), 0) AS w FROM m GROUP BY node
+    ), k AS (
+      SELECT parent AS node, count(*) AS k FROM v WHERE d > 0 GROUP BY parent
+    ), below AS (
+      SELECT a.node, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * v.w) AS saved
+      FROM v LEFT JOIN k USING (node) JOIN m a ON a.c = v.c AND a.d <= v.d GROUP BY a.node
+    ), e AS (
+      SELECT node, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM m WHERE d = size GROUP BY node
+    )
+    SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, CASE WHEN v.d > 0 THEN p.c END AS parent_conv_id, CAST(v.n AS BIGINT) AS n_convs,
+      CAST(coalesce(k, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+      sha256(coalesce(ids, '')) AS ends_sha256
+    FROM v LEFT JOIN v p ON p.node = v.parent AND p.d = v.d - 1 LEFT JOIN k ON k.node = v.node JOIN below ON below.node = v.node
+      LEFT JOIN e ON e.node = v.node
+    """
+)
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of the rebuilt conversations."""
     turns = conversation_trie.read_turns(table(spark, sf_dir, "conversations"))
