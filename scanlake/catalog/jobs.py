@@ -256,6 +256,27 @@ def settled(spark, d):
     return out.select("query_id", *[F.round(c, 4).alias(c) for c in ("z", "roll", "pitch")], "reason")
 
 
+_PLANE = "(0.05*qx - 0.03*qy + CAST(tile_id % 7 AS DOUBLE) / 10)"
+
+
+@query(
+    "settle_on_plane",
+    f"""SELECT query_id, reason, {q6('z')} AS z, {q6('roll')} AS roll, {q6('pitch')} AS pitch
+FROM (SELECT query_id, 'none' AS reason, {_PLANE} + 0.5*sqrt(1 + 0.05*0.05 + 0.03*0.03) - CAST(1 AS DOUBLE)/80 AS z,
+    -asin((0.05*sin(qyaw) + 0.03*cos(qyaw)) / sqrt(1 + 0.05*0.05 + 0.03*0.03)) AS roll, atan2(-0.05*cos(qyaw) + 0.03*sin(qyaw), CAST(1 AS DOUBLE)) AS pitch
+  FROM ground_queries)""",
+    ("ground_queries",),
+)
+def settled_on_plane(spark, d):
+    """Every tile's points moved onto a slope, on which the vehicle's rest is known."""
+    slope = 0.05 * F.col("x") - 0.03 * F.col("y") + (F.col("tile_id") % 7).cast("double") / 10
+    ground = fx.ground(spark, d).withColumn("z", slope)
+    out = settle(
+        fx.ground_queries(spark, d), ground, fx.WHEELS, com_z=0.5, radius=6.0, min_neighbours=3, fit=(200.0, 3.0, 5)
+    )
+    return rounded(out, ["query_id", "reason"], ["z", "roll", "pitch"])
+
+
 @query("associate_priors")
 def priors(spark, d):
     kf, kp = fx.keyframes(spark, d), fx.keyframe_points(spark, d)

@@ -285,6 +285,27 @@ def radius_xy(
     ).drop("w")
 
 
+def patches_xy(
+    queries: DataFrame, ground: DataFrame, keys: Sequence[str], query_id: str, point_id: str, radius: str = "reach"
+) -> DataFrame:
+    """All ground points within each query's own ``radius`` of its ``x, y``, equal points once, with how many they are.
+
+    A query looks in cells of the power of two above its radius; ground is offered in the sizes that its key's queries
+    ask for. Columns: keys, query id, smallest point id, ``x, y, z, n``.
+    """
+    keys = list(keys)
+    size = F.pow(F.lit(2.0), F.col("_level").cast("double"))
+    asked = queries.select(*keys, F.col(query_id).alias("_q"), F.col("x").alias("_q0"), F.col("y").alias("_q1"), F.col(radius).alias("_r"))
+    asked = asked.withColumn("_level", F.ceil(F.log2(F.greatest("_r", F.lit(1e-3)))).cast("int"))
+    single = ground.groupBy(*keys, *XYZ).agg(F.min(point_id).alias(point_id), F.count(F.lit(1)).alias("n"))
+    offered = single.join(asked.select(*keys, "_level").distinct(), keys)
+    offered = offered.withColumns({"_c0": F.floor(F.col("x") / size), "_c1": F.floor(F.col("y") / size)})
+    probes = _probe(asked.withColumns({"_c0": F.floor(F.col("_q0") / size), "_c1": F.floor(F.col("_q1") / size)}), ["_c0", "_c1"])
+    gap = [F.col("_q0") - F.col("x"), F.col("_q1") - F.col("y")]
+    found = probes.join(offered.hint("merge"), [*keys, "_level", "_c0", "_c1"]).where(F.sqrt(gap[0] * gap[0] + gap[1] * gap[1]) <= F.col("_r"))
+    return found.select(*keys, F.col("_q").alias(query_id), point_id, *XYZ, "n")
+
+
 def snap_nearest(
     thinned: DataFrame, original: DataFrame, keys: Sequence[str], thin_id: str, original_id: str,
     cells: Sequence[float] = (2.0, 4.0, 8.0, 16.0),

@@ -136,10 +136,11 @@ def attitude_gate(
 ) -> DataFrame:
     """Column ``ok`` and the first ``reason`` that failed, for settled attitudes.
 
-    Needs ``z, roll, pitch, distances`` and ``end_reason``; running out of rounds is a failure.
+    Needs ``z, roll, pitch, distances`` and ``end_reason``; running out of rounds is a failure, and so are no distances.
     """
     reason = (
-        F.when(~F.col("z").between(float(z_min), float(z_max)), "z")
+        F.when(F.col("distances").isNull(), "ground")
+        .when(~F.col("z").between(float(z_min), float(z_max)), "z")
         .when((F.abs("roll") > float(roll)) | (F.abs("pitch") > float(pitch)), "tilt")
         .when(~F.forall("distances", lambda v: F.abs(v) <= float(wheel_distance)), "wheels")
         .when(F.col("end_reason") == "max_iters", "max_iters")

@@ -8,113 +8,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scanlake.functions.geometry import cross3, dot3, matvec
-from scanlake.operators import terrain
-from scanlake.operators.neighbours import nearest_xy
-from scanlake.operators.registration import rotation_exp
-from scanlake.session import cut
+from scanlake.operators import contact, terrain
+from scanlake.operators.neighbours import nearest_xy, patches_xy
+from scanlake.operators.runs import map_runs
 
-ROT = [f"r{i}{j}" for i in range(3) for j in range(3)]
-BEST = [f"best_{c}" for c in ("z", *ROT)]
-TRIAL = [f"try_{c}" for c in ("z", *ROT)]
+RESULT = "x double, y double, z double, roll double, pitch double, yaw double, cost double, rounds int, end_reason string, distances array<double>"
 
 
-def _contact(
-    state: DataFrame, ground: DataFrame, keys: list[str], wheels, query_id: str, point_id: str, com_z: float,
-    k_spring: float, g: float, fit: tuple[float, float, int], cells: Sequence[float],
-) -> DataFrame:
-    """Residual ``f0..f2`` and Jacobian ``j00..j22`` of every trial pose, summed over its wheels."""
-    r = [[F.col(f"try_r{i}{j}") for j in range(3)] for i in range(3)]
-    spread = state.select(*keys, query_id, "qx", "qy", *TRIAL).withColumn("_w", F.explode(terrain.wheel_points(wheels, com_z)))
-    local = [F.col("_w.wx"), F.col("_w.wy"), F.col("_w.wz")]
-    arm = matvec(r, local)
-    placed = spread.select(
-        *keys, query_id, (F.col(query_id) * len(wheels) + F.col("_w.wheel")).alias("wheel_id"),
-        local[0].alias("wx"), local[1].alias("wy"),
-        *[v.alias(f"a{c}") for v, c in zip(arm, "xyz")],
-        (arm[0] + F.col("qx")).alias("x"), (arm[1] + F.col("qy")).alias("y"), (arm[2] + F.col("try_z")).alias("z"),
-        *[F.col(f"try_r{i}2").alias(f"b{c}") for i, c in enumerate("xyz")],
-    )
-    placed = cut(placed)
-    radius, outliers, least = fit
-    plane = terrain.surface_z(placed, ground, keys, "wheel_id", point_id, radius, outliers, least).withColumnRenamed("z", "_pz")
-    near = nearest_xy(placed, ground, keys, "wheel_id", point_id, cells)
-    on_plane = F.col("_pz").isNotNull()
-    joined = placed.join(near, [*keys, "wheel_id"], "left").join(plane, [*keys, "wheel_id"], "left")
-    foot = [
-        F.when(on_plane, F.lit(0.0)).otherwise(F.col("x") - F.coalesce("n_x", F.lit(0.0))),
-        F.when(on_plane, F.lit(0.0)).otherwise(F.col("y") - F.coalesce("n_y", F.lit(0.0))),
-        F.col("z") - F.coalesce("_pz", "n_z", F.lit(0.0)),
-    ]
-    staged = joined.select(
-        *keys, query_id, "wx", "wy", "ax", "ay", "az", "bx", "by", "bz", *[v.alias(f"g{c}") for v, c in zip(foot, "xyz")]
-    )
-    a, b, gap = ([F.col(p + c) for c in "xyz"] for p in "abg")
-    axes = [[F.lit(1.0 if i == k else 0.0) for i in range(3)] for k in range(2)]
-    depth = dot3(gap, b)
-    slopes = [b[2]] + [dot3(cross3(e, a), b) + dot3(gap, cross3(e, b)) for e in axes]
-    pressed = depth < 0
-    force = F.when(pressed, k_spring * depth).otherwise(0.0)
-    lever = [F.lit(1.0), F.col("wy"), -F.col("wx")]
-    pulls = [F.when(pressed, k_spring * s).otherwise(0.0) for s in slopes]
-    sums = staged.groupBy(*keys, query_id).agg(
-        *[F.sum(v * force).alias(f"f{i}") for i, v in enumerate(lever)],
-        *[F.sum(v * p).alias(f"j{i}{k}") for i, v in enumerate(lever) for k, p in enumerate(pulls)],
-        *[F.first(f"b{c}").alias(f"n{c}") for c in "xyz"],
-    )
-    tilt = [cross3(e, [F.col(f"n{c}") for c in "xyz"])[2] for e in axes]
-    return sums.withColumns(
-        {"f0": F.col("f0") + g * F.col("nz"), "j01": F.col("j01") + g * tilt[0], "j02": F.col("j02") + g * tilt[1]}
-    ).drop("nx", "ny", "nz")
-
-
-def _fixed_yaw(r: np.ndarray, yaw: float) -> np.ndarray:
-    turn = yaw - np.arctan2(r[1, 0], r[0, 0])
-    return rotation_exp(np.array([0.0, 0.0, turn])) @ r
-
-
-def _advance(columns: list[str], tol_cost: float, tol_step: float):
-    """Accepts or rejects each trial pose and proposes the next one."""
-    jac = [f"j{i}{k}" for i in range(3) for k in range(3)]
-    kept = ["f0", "f1", "f2", *jac]
-
-    def run(batches):
-        for pdf in batches:
-            rows = pdf.to_dict("records")
-            for one in rows:
-                f = np.array([one[f"f{i}"] for i in range(3)])
-                cost = float(f @ f)
-                first = one["rounds"] == 0
-                accepted = first or cost < one["cost"]
-                if accepted:
-                    settled = not first and abs(one["last_cost"] - cost) < tol_cost and one["step"] < tol_step
-                    one["lam"] = one["lam"] if first else max(one["lam"] / 2, 1e-8)
-                    one["last_cost"] = np.inf if first else cost
-                    one["cost"] = cost
-                    one["at"] = [one[c] for c in TRIAL]
-                    one["system"] = [one[c] for c in kept]
-                    if settled:
-                        one["settled"], one["end_reason"] = True, "converged"
-                else:
-                    one["lam"] *= 5
-                    one["last_cost"] = one["cost"]
-                if cost < one["best_cost"]:
-                    one["best_cost"] = cost
-                    for b, t in zip(BEST, TRIAL):
-                        one[b] = one[t]
-                system = np.asarray(one["system"], dtype=float)
-                residual, j = system[:3], system[3:].reshape(3, 3)
-                d = np.linalg.lstsq(j.T @ j + one["lam"] * np.eye(3), -j.T @ residual, rcond=None)[0]
-                at = np.asarray(one["at"], dtype=float)
-                turned = rotation_exp(np.array([d[1], 0, 0])) @ rotation_exp(np.array([0, d[2], 0])) @ at[1:].reshape(3, 3)
-                for c, v in zip(TRIAL, [at[0] + d[0], *_fixed_yaw(turned, one["qyaw"]).reshape(-1)]):
-                    one[c] = float(v)
-                one["step"] = float(np.linalg.norm(d))
-                one["rounds"] += 1
-            yield pd.DataFrame(rows, columns=[*pdf.columns])[columns]
-
-    return run
+def _start_height(patches: contact.Patches, places: np.ndarray, radius: float, least: int, rise: float) -> np.ndarray:
+    """The lowest mean ground height around the points nearest to the wheels, plus ``rise``; 0 without ground."""
+    nearest = patches.nearest(patches.distances(places[..., :2]))
+    around = np.nan_to_num(nearest)
+    mean = patches.mean_height(patches.distances(around[..., :2]), radius, least)
+    lowest = np.where(np.isnan(mean), nearest[..., 2], mean).min(axis=1)
+    return np.where(np.isnan(lowest), 0.0, lowest + rise)
 
 
 def settle(
@@ -139,44 +48,45 @@ def settle(
 ) -> DataFrame:
     """Height, roll and pitch of every query (``qx``, ``qy``, ``qyaw``) at rest on the ground.
 
-    Springs under the wheels balance the weight; the yaw stays fixed. All queries advance
-    together, one ground lookup and one aggregate per round, and settled ones leave. The pose with
-    the lowest cost is returned with its wheel distances and the gate's verdict; ``limits`` are
-    lowest z, highest z, roll, pitch and wheel distance.
+    Springs under the wheels balance the weight; the yaw stays fixed. However a vehicle tilts, its wheels stay
+    within the length of its longest arm, and the nearest ground point of each within that length, twice, plus the
+    distance of the query's own. So each query's patch of that radius, or of arm and fit radius, is looked up once and
+    answers every later question exactly as the whole map would. All queries of a task then advance together, to the
+    last round, without another lookup.
+
+    The pose with the lowest cost is returned with its wheel distances and the gate's verdict; ``limits`` are
+    lowest z, highest z, roll, pitch and wheel distance. A query on a tile without ground has null distances and the
+    reason ``ground``.
     """
     keys = list(keys)
-    start = terrain.initial_z(queries, ground, keys, wheels, query_id, point_id, radius, min_neighbours, com_z, cells=cells)
-    c, s = F.cos("qyaw"), F.sin("qyaw")
-    level = [c, -s, F.lit(0.0), s, c, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
-    state = start.select(
-        *keys, query_id, "qx", "qy", "qyaw",
-        *[v.alias(n) for v, n in zip([F.col("z0"), *level], TRIAL)],
-        *[v.alias(n) for v, n in zip([F.col("z0"), *level], BEST)],
-        F.lit(float("inf")).alias("best_cost"), F.lit(float("inf")).alias("cost"), F.lit(float("inf")).alias("last_cost"),
-        F.lit(0.0).alias("step"), F.lit(float(damping)).alias("lam"), F.lit(0).alias("rounds"),
-        F.lit(False).alias("settled"), F.lit("max_iters").alias("end_reason"),
-        F.lit(None).cast("array<double>").alias("at"), F.lit(None).cast("array<double>").alias("system"),
-    )
-    schema = state.schema
-    done = None
-    for _ in range(max_iters + 1):
-        forces = _contact(state, ground, keys, wheels, query_id, point_id, com_z, k_spring, g, fit, cells)
-        joined = state.join(forces, [*keys, query_id])
-        stepped = cut(joined.mapInPandas(_advance(state.columns, tol_cost, tol_step), schema))
-        left = stepped.where("settled")
-        done = left if done is None else done.unionByName(left)
-        state = stepped.where("not settled")
-        if state.isEmpty():
-            break
-    rest = done.unionByName(state)
-    r = [[F.col(f"best_r{i}{j}") for j in range(3)] for i in range(3)]
-    cy, sy = F.cos("qyaw"), F.sin("qyaw")
-    tilt = [[cy * r[0][j] + sy * r[1][j] for j in range(3)], None, r[2]]
-    posed = rest.select(
-        *keys, query_id, F.col("qx").alias("x"), F.col("qy").alias("y"), F.col("best_z").alias("z"),
-        F.atan2(tilt[2][1], tilt[2][2]).alias("roll"), F.atan2(-tilt[2][0], tilt[0][0]).alias("pitch"),
-        F.col("qyaw").alias("yaw"), F.col("best_cost").alias("cost"), "end_reason",
-    )
-    posed = cut(posed)
-    distances = terrain.wheel_distances(posed, ground, keys, wheels, query_id, point_id, com_z, cells)
-    return terrain.attitude_gate(posed.join(distances, [*keys, query_id]), *limits)
+    at = [*keys, query_id]
+    local = np.array([(x, y, -float(com_z)) for x, y in wheels], float)
+    arm = float(np.sqrt((local**2).sum(axis=1)).max())
+    asked = queries.select(*at, F.col("qx").alias("x"), F.col("qy").alias("y"), "qyaw")
+    near = nearest_xy(asked, ground, keys, query_id, point_id, cells).select(*at, F.sqrt("d2").alias("_d"))
+    reach = F.greatest(F.lit(arm + fit[0]), 2 * arm + F.col("_d") + float(radius)) * (1 + 1e-9)
+    patches = patches_xy(asked.join(near.withColumn("reach", reach), at), ground, keys, query_id, point_id)
+    rows = asked.withColumnsRenamed({"x": "qx", "y": "qy"}).join(patches, at, "left")
+
+    def solve(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        weight = np.nan_to_num(pdf["n"].to_numpy(float))
+        held = contact.Patches(starts, pdf[["x", "y", "z"]].to_numpy(float), weight)
+        one = pdf.iloc[starts]
+        xy, yaw = one[["qx", "qy"]].to_numpy(float), one["qyaw"].to_numpy(float)
+        flat = local * [1.0, 1.0, 0.0]
+        _, places = contact.wheel_places(contact.turns(2, yaw), np.column_stack([xy, 0 * yaw]), flat)
+        height = _start_height(held, places, radius, min_neighbours, float(com_z) - 1.0)
+        found = contact.rest(held, xy, yaw, height, local, k_spring, g, fit, max_iters, damping, tol_cost, tol_step)
+        rotation = found["rotation"]
+        _, places = contact.wheel_places(rotation, np.column_stack([xy, found["z"]]), local)
+        gaps = ((places - held.nearest(held.distances(places[..., :2]))) * rotation[:, None, :, 2]).sum(axis=-1)
+        level = contact.turns(2, -yaw) @ rotation
+        return one[at].assign(
+            x=xy[:, 0], y=xy[:, 1], z=found["z"], roll=np.arctan2(level[:, 2, 1], level[:, 2, 2]),
+            pitch=np.arctan2(-level[:, 2, 0], level[:, 0, 0]), yaw=yaw, cost=found["cost"], rounds=found["rounds"],
+            end_reason=np.where(found["settled"], "converged", "max_iters"),
+            distances=[None if np.isnan(d).any() else d.tolist() for d in gaps],
+        )
+
+    schema = T.StructType([*(queries.schema[c] for c in at), *T.StructType.fromDDL(RESULT)])
+    return terrain.attitude_gate(map_runs(rows, at, [point_id], solve, schema), *limits)
