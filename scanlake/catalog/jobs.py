@@ -9,13 +9,14 @@ from scanlake.catalog.poses import DAY, V, VS
 from scanlake.catalog.registry import ORACLES, q6, query, rounded, sql_matvec, sql_rotation
 from scanlake.functions.poses import FIELDS
 from scanlake.operators import fits, fusion, registration as reg, voxels
+from scanlake.plans.alignment import align_clouds
 from scanlake.plans.features import feature_job
 from scanlake.plans.loops import mine_by_descriptor, mine_loops, verify_loops
 from scanlake.plans.mapping import build_map, refine_to_map
 from scanlake.plans.priors import associate_priors
 from scanlake.plans.registration import register_pairs
 from scanlake.plans.terrain import settle
-from scanlake.session import scratch_table
+from scanlake.session import cut, scratch_table
 from scanlake.sources import shapes as fx
 from scanlake.streaming import feeds
 
@@ -222,11 +223,30 @@ ORACLES["mine_loops_by_scan"] = ORACLES["best_loop"].replace(
 @query("verify_loops")
 def verify(spark, d):
     kf, kp = fx.keyframes(spark, d), fx.keyframe_points(spark, d)
-    candidates = mine_loops(kf, kp, V, 10.0, 5 * DAY, 2, 0.6).select("vehicle_id", "kf_id", "loop_id").distinct()
-    out = verify_loops(
-        candidates, kf, kp, V, leaf=1.0, min_source=10, min_target=30, max_fitness=100.0, cells=[8.0, 16.0, 32.0]
-    )
-    return out.select("vehicle_id", "from_id", "to_id", F.round("var0", 3).alias("fitness"))
+    candidates = cut(mine_loops(kf, kp, V, 10.0, 5 * DAY, 2, 0.6))
+    options = {"leaf": 1.0, "min_source": 6, "min_target": 60, "size": 4.0}
+    by_place = verify_loops(candidates.where("kind = 'radius'"), kf, kp, V, max_d=20.0, **options)
+    by_sight = verify_loops(candidates.where("kind = 'descriptor'"), kf, kp, V, max_d=150.0, frame="base", **options)
+    out = by_place.unionByName(by_sight)
+    return out.select("vehicle_id", "from_id", "to_id", "robust", F.round("var0", 3).alias("fitness"))
+
+
+@query(
+    "align_clouds",
+    f"""SELECT DISTINCT vehicle_id, kf_id, true AS converged, {q6('cos(CAST(0.01 AS DOUBLE))')} AS r00, {q6('sin(CAST(0.01 AS DOUBLE))')} AS r01,
+  {q6('-0.3*cos(CAST(0.01 AS DOUBLE)) + 0.2*sin(CAST(0.01 AS DOUBLE))')} AS tx, {q6('0.3*sin(CAST(0.01 AS DOUBLE)) + 0.2*cos(CAST(0.01 AS DOUBLE))')} AS ty,
+  CAST(-0.1 AS DOUBLE) AS tz, CAST(0 AS DOUBLE) AS fitness
+FROM keyframes""",
+    ("keyframes",),
+)
+def aligned(spark, d):
+    """Every keyframe's cloud, turned and shifted a little, is brought back onto it."""
+    cloud = fx.keyframe_points(spark, d).select("vehicle_id", "kf_id", F.col("point_idx").alias("point_id"), *XYZ)
+    c, s = F.cos(F.lit(0.01)), F.sin(F.lit(0.01))
+    moved = {"x": c * F.col("x") - s * F.col("y") + 0.3, "y": s * F.col("x") + c * F.col("y") - 0.2, "z": F.col("z") + 0.1}
+    both = ["vehicle_id", "kf_id"]
+    out = align_clouds(cloud.select(*both).distinct(), cloud.withColumns(moved), both, cloud, both, size=4.0)
+    return rounded(out, [*both, "converged"], ["r00", "r01", "tx", "ty", "tz", "fitness"])
 
 
 _MOVE = sql_matvec(sql_rotation("k.roll", "k.pitch", "k.yaw"), ["p.x", "p.y", "p.z"])
@@ -287,7 +307,7 @@ def priors(spark, d):
     seen = kp.select("vehicle_id", "kf_id", F.col("point_idx").alias("point_id"), *XYZ)
     patches = seen.withColumnRenamed("kf_id", "prior_id")
     out = associate_priors(
-        ahead, kf, patches, seen, radius=4.0, max_fitness=200.0, max_z=10.0, max_angle=3.0, cells=[8.0, 16.0, 32.0]
+        ahead, kf, patches, seen, radius=4.0, max_fitness=200.0, max_z=10.0, max_angle=3.0, size=4.0
     )
     return out.select("vehicle_id", "from_id", "to_id", *[F.round(c, 3).alias(c) for c in ("x", "y", "z", "var0")])
 

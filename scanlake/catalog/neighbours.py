@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanlake.catalog.registry import q6, q6s, query, r6, rounded, sql_matvec, sql_rotation
 from scanlake.functions.matrices import nearest_psd
 from scanlake.operators import fits, neighbours as nb, terrain, voxels
-from scanlake.operators.scans import min_count, transform_points
+from scanlake.operators.scans import transform_points
 from scanlake.sources import shapes as fx
 
 XYZ = ["x", "y", "z"]
@@ -359,13 +359,12 @@ _KR = sql_rotation("roll", "pitch", "yaw")
 @query(
     "rigid_align",
     f"""SELECT vehicle_id, kf_id, {', '.join(f'round({m}, 5) + CAST(0 AS DOUBLE) AS r{i // 3}{i % 3}' for i, m in enumerate(_KR))},
- {', '.join(f'round({c}, 5) + CAST(0 AS DOUBLE) AS t{c}' for c in XYZ)} FROM keyframes
- JOIN (SELECT vehicle_id, kf_id FROM keyframe_points GROUP BY 1, 2 HAVING count(*) >= 6) USING (vehicle_id, kf_id)""",
-    ("keyframe_points", "keyframes"),
+ {', '.join(f'round({c}, 5) + CAST(0 AS DOUBLE) AS t{c}' for c in XYZ)} FROM keyframes""",
+    ("keyframes",),
 )
 def rigid_align(spark, d):
-    spanning = min_count(_aligned_pairs(spark, d), ["vehicle_id", "kf_id"], 6)
-    out = fits.rigid_align(spanning, ["vehicle_id", "kf_id"])
+    """The transform that a keyframe's cloud was moved by is that keyframe's pose, for all keyframes."""
+    out = fits.rigid_align(_aligned_pairs(spark, d), ["vehicle_id", "kf_id"])
     names = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["tx", "ty", "tz"]
     return out.select("vehicle_id", "kf_id", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in names])
 

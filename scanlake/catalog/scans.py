@@ -298,10 +298,10 @@ def choose_noise(spark, d):
 @query(
     "min_count",
     """SELECT vehicle_id, kf_id, point_idx FROM keyframe_points JOIN
-(SELECT vehicle_id, kf_id FROM keyframe_points GROUP BY 1, 2 HAVING count(*) >= 60) USING (vehicle_id, kf_id)""",
+(SELECT vehicle_id, kf_id FROM keyframe_points GROUP BY 1, 2 HAVING count(*) >= 10) USING (vehicle_id, kf_id)""",
     ("keyframe_points",),
 )
 def min_count(spark, d):
-    return scans.min_count(fx.keyframe_points(spark, d), ["vehicle_id", "kf_id"], 60).select(
+    return scans.min_count(fx.keyframe_points(spark, d), ["vehicle_id", "kf_id"], 10).select(
         "vehicle_id", "kf_id", "point_idx"
     )

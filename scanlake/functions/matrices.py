@@ -81,14 +81,16 @@ def regularise3(method: str):
 
 def _rigid_from_cross(cross: pd.Series) -> pd.Series:
     h = stack(cross, 3, 3)
-    u, _, vt = np.linalg.svd(h)
+    u, size, vt = np.linalg.svd(h)
     v = vt.transpose(0, 2, 1)
     sign = np.sign(np.linalg.det(v @ u.transpose(0, 2, 1)))
     v[:, :, 2] *= np.where(sign < 0, -1.0, 1.0)[:, None]
-    return pd.Series(list((v @ u.transpose(0, 2, 1)).reshape(-1, 9)))
+    found = list((v @ u.transpose(0, 2, 1)).reshape(-1, 9))
+    return pd.Series([None if flat else r for r, flat in zip(found, size[:, 1] <= 1e-9 * size[:, 0])], dtype=object)
 
 
 def rotation_from_cross(cross: Column) -> Column:
     """Row-major rotation that best turns the source onto the target, from their 3x3
-    cross-covariance (source rows, target columns), reflections excluded."""
+    cross-covariance (source rows, target columns), reflections excluded. Null where all points lie on
+    a line, which leaves the turn about it open."""
     return F.pandas_udf(_rigid_from_cross, "array<double>")(cross)

@@ -251,7 +251,11 @@ def alignment_sums(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def rigid_align(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rotation ``r00..r22`` and translation ``tx, ty, tz`` that move source onto target best."""
+    """Rotation ``r00..r22`` and translation ``tx, ty, tz`` that move source onto target best.
+
+    Every key has its row; where the pairs don't determine a rotation (fewer than three, or all on a line) it and the
+    translation are null.
+    """
     sums = alignment_sums(pairs, keys)
     cross = F.array(*[F.col(f"k{a}{b}") for a in XYZ for b in XYZ])
     turned = sums.withColumn("_r", rotation_from_cross(cross))

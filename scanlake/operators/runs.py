@@ -50,14 +50,15 @@ def whole_runs(batches: Iterator[pd.DataFrame], keys: Sequence[str], rows: int =
 
 def map_runs(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], function: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
-    schema, rows: int = ROWS,
+    schema, rows: int = ROWS, unread: Sequence[str] = (),
 ) -> DataFrame:
     """``function`` on pieces of whole runs of ``df`` by ``keys``, each run in ``order``.
 
-    A run lies in one task, so it must have a bound.
+    A run lies in one task, so it must have a bound. Columns of ``order`` that the function doesn't read can be left
+    out of what it gets as ``unread``.
     """
     keys = list(keys)
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order).drop(*unread)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, starts in whole_runs(batches, keys, rows):

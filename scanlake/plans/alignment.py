@@ -1,85 +1,87 @@
-"""Point-to-point alignment of many cloud pairs in lockstep."""
+"""Point-to-point alignment of many cloud pairs."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scanlake.functions.geometry import matmul, matvec
-from scanlake.operators import fits
-from scanlake.operators.neighbours import knn_join
-from scanlake.session import cut
+from scanlake.operators import clouds
+from scanlake.operators.runs import map_runs, run_starts
 
 XYZ = ("x", "y", "z")
 NAMES = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["tx", "ty", "tz"]
 
 
-def identity_transforms(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return groups.select(
-        *keys,
-        *[F.lit(1.0 if i == j else 0.0).alias(f"r{i}{j}") for i in range(3) for j in range(3)],
-        *[F.lit(0.0).alias(f"t{c}") for c in XYZ],
-    )
-
-
-def move(cloud: DataFrame, transforms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Points moved by the transform of their key."""
-    r = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
-    moved = [v + F.col(f"t{c}") for v, c in zip(matvec(r, [F.col(c) for c in XYZ]), XYZ)]
-    return cloud.join(transforms.select(*keys, *NAMES), list(keys)).withColumns(dict(zip(XYZ, moved))).drop(*NAMES)
-
-
 def align_clouds(
+    pairs: DataFrame,
     source: DataFrame,
+    source_on: Sequence[str],
     target: DataFrame,
-    keys: Sequence[str],
-    cells: Sequence[float],
+    target_on: Sequence[str],
+    size: float = 1.0,
     max_d: float | None = None,
     rounds: int = 100,
     eps: float = 1e-6,
     point_id: str = "point_id",
+    together: int = 64,
+    yaw: str | None = None,
 ) -> DataFrame:
-    """Transform per key that brings its source onto its target, and the final ``fitness``.
+    """For each of ``pairs`` the transform that brings its source cloud onto its target cloud.
 
-    Each round pairs the moved source points with their nearest target points and aligns the
-    pairs rigidly; keys whose mean squared distance changes by less than ``eps`` stop.
-    Only the number of open keys comes to the driver.
+    ``source`` and ``target`` hold each cloud once, named by ``source_on`` and ``target_on``; pairs have both. A target
+    cloud is sent to one task with up to some ``together`` of its pairs, indexed there once by cells from ``size``
+    up, and searched in all rounds without another shuffle. Targets of many pairs go to several tasks. Clouds must
+    be bounded, as those with one point per voxel are.
+
+    In each round the moved source points meet their nearest target points and the pairs within ``max_d`` are aligned
+    rigidly, until the mean squared distance changes by less than ``eps``. ``fitness`` is that of all source points
+    at the end, without a limit; ``converged`` is false where fewer than three points came within ``max_d``. ``yaw``
+    names a column of ``pairs`` with a first turn. Pairs without points on either side give no row.
     """
-    keys = list(keys)
-    plain = cut(source.select(*keys, point_id, *XYZ))
-    goal = cut(target.select(*keys, point_id, *XYZ))
-    state = identity_transforms(plain.select(*keys).distinct(), keys).withColumns(
-        {"fitness": F.lit(None).cast("double"), "settled": F.lit(False)}
+    source_on, target_on = list(source_on), list(target_on)
+    at = list(dict.fromkeys([*target_on, *source_on]))
+    inner = [c for c in at if c not in target_on]
+    turn = [F.col(yaw).cast("double").alias("_yaw")] if yaw else [F.lit(0.0).alias("_yaw")]
+    wanted = pairs.select(*at, *turn).dropDuplicates(at)
+    parts = wanted.groupBy(*target_on).agg(F.ceil(F.count(F.lit(1)) / together).alias("_parts"))
+    dealt = wanted.join(parts, target_on).withColumn("_part", F.pmod(F.xxhash64(*at), F.col("_parts")).cast("int")).drop("_parts")
+    point = [F.col(point_id).alias("_point"), *[F.col(c).cast("double").alias(c) for c in XYZ]]
+    from_source = source.join(dealt, source_on).select(*at, "_part", F.lit(1).alias("_kind"), "_yaw", *point)
+    used = dealt.join(source.select(*source_on).distinct(), source_on, "left_semi").select(*target_on, "_part").distinct()
+    to_target = target.join(used, target_on).select(
+        *[(F.col(c) if c in target_on else F.lit(0).cast(pairs.schema[c].dataType)).alias(c) for c in at],
+        "_part", F.lit(0).alias("_kind"), F.lit(0.0).alias("_yaw"), *point,
+    )
+    schema = T.StructType(
+        [*(pairs.schema[c] for c in at), *(T.StructField(n, T.DoubleType()) for n in [*NAMES, "fitness"]),
+         T.StructField("rounds", T.IntegerType()), T.StructField("converged", T.BooleanType())]
     )
-    done = None
-    r = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
-    s = [[F.col(f"s_r{i}{j}") for j in range(3)] for i in range(3)]
-    shift = [F.col(f"t{c}") for c in XYZ]
-    for number in range(rounds):
-        moved = move(plain, state, keys)
-        near = knn_join(moved, goal, keys, 1, point_id, point_id, cells, max_d=max_d)
-        pairs = moved.join(near.select(*keys, point_id, "d2", *[f"n_{c}" for c in XYZ]), [*keys, point_id])
-        step = fits.rigid_align(pairs, keys).drop("n")
-        error = pairs.groupBy(*keys).agg(F.avg("d2").alias("s_fitness"))
-        step = step.select(*keys, *[F.col(n).alias(f"s_{n}") for n in NAMES]).join(error, keys)
-        joined = state.join(step, keys, "left")
-        turned = matmul(s, r)
-        carried = [v + F.col(f"s_t{c}") for v, c in zip(matvec(s, shift), XYZ)]
-        found = F.col("s_fitness").isNotNull()
-        new = {
-            **{f"r{i}{j}": F.when(found, turned[i][j]).otherwise(F.col(f"r{i}{j}")) for i in range(3) for j in range(3)},
-            **{f"t{c}": F.when(found, v).otherwise(F.col(f"t{c}")) for c, v in zip(XYZ, carried)},
-            "fitness": F.col("s_fitness"),
-            "settled": ~found | F.coalesce(F.abs(F.col("fitness") - F.col("s_fitness")) < eps, F.lit(False)),
-        }
-        stepped = cut(joined.select(*keys, *[v.alias(n) for n, v in new.items()]))
-        left = stepped.where("settled")
-        done = left if done is None else done.unionByName(left)
-        state = stepped.where("not settled")
-        if number + 1 < rounds and state.isEmpty():
-            break
-    final = done.unionByName(state).drop("fitness")
-    score = fits.fitness(move(plain, final, keys), goal, keys, point_id, point_id, cells, max_d)
-    return final.join(score.select(*keys, "fitness"), keys, "left")
+
+    def solve(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(pdf)))
+        goal = pdf["_kind"].to_numpy() == 0
+        xyz = pdf[list(XYZ)].to_numpy(float)
+        own = pdf[~goal]
+        both = np.isin(group[~goal], group[goal])
+        own, cloud, points = own[both], group[~goal][both], xyz[~goal][both]
+        if not len(own):
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema})
+        begin = run_starts(own.assign(_group=cloud), ["_group", *inner])
+        index = clouds.CloudIndex(group[goal], xyz[goal], size)
+        yaws = own["_yaw"].to_numpy(float)[begin]
+        first = np.zeros((len(begin), 3, 3))
+        first[:, 2, 2] = 1.0
+        first[:, 0, 0] = first[:, 1, 1] = np.cos(yaws)
+        first[:, 1, 0], first[:, 0, 1] = np.sin(yaws), -np.sin(yaws)
+        found = clouds.align(index, cloud[begin], points, begin, max_d, rounds, eps, first)
+        out = own.iloc[begin][at].reset_index(drop=True)
+        flat = np.concatenate([found["rotation"].reshape(-1, 9), found["shift"]], axis=1)
+        return out.assign(**dict(zip(NAMES, flat.T)), **{c: found[c] for c in ("fitness", "rounds", "converged")})
+
+    rows = from_source.unionByName(to_target)
+    return map_runs(rows, [*target_on, "_part"], ["_kind", *inner, "_point"], solve, schema, unread=["_point"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.functions.geometry import matmul, matvec
-from scanlake.functions.poses import FIELDS, Pose, between, from_columns
+from scanlake.functions.poses import FIELDS, Pose, between, from_columns, inverse
 from scanlake.functions.rotations import rpy_matrix
 from scanlake.operators import neighbours as nb, places
 from scanlake.operators.graph import EDGE
@@ -49,14 +49,22 @@ def mine_loops(
     """Loop candidates of all keyframes by position and by descriptor, with their ``kind``."""
     keys = list(keys)
     near = nb.loop_by_radius(keyframes, radius, min_seconds, keys).select(
-        *keys, "kf_id", "loop_id", F.lit("radius").alias("kind"), F.sqrt("d2").alias("score")
+        *keys, "kf_id", "loop_id", F.lit("radius").alias("kind"), F.sqrt("d2").alias("score"), F.lit(None).cast("double").alias("yaw")
     )
     seen = mine_by_descriptor(points, keys, "kf_id", gap, 3, threshold).select(
-        *keys, "kf_id", "loop_id", F.lit("descriptor").alias("kind"), F.col("distance").alias("score")
+        *keys, "kf_id", "loop_id", F.lit("descriptor").alias("kind"), F.col("distance").alias("score"), "yaw"
     )
     return near.unionByName(seen)
 
 
+def _submaps(wanted: DataFrame, keyframes: DataFrame, points: DataFrame, keys: list[str], name: str, n: int, leaf: float, least: int) -> DataFrame:
+    """The cloud of each keyframe in ``wanted`` (column ``name``) and of ``n`` on both sides, one point per leaf."""
+    around = nb.key_window(wanted.withColumn("kf_id", F.col(name)), keyframes, n, keys)
+    around = around.drop("kf_id").withColumnRenamed("near_id", "kf_id")
+    made = nb.assemble_submap(around, keyframes, points, leaf=leaf, keys=keys, group=[name])
+    return min_count(cut(made), [*keys, name], least).select(*keys, name, F.struct("vx", "vy", "vz").alias("point_id"), *XYZ)
+
+
 def verify_loops(
     candidates: DataFrame,
     keyframes: DataFrame,
@@ -67,46 +75,54 @@ def verify_loops(
     min_source: int = 300,
     min_target: int = 1000,
     max_fitness: float = 0.3,
-    cells: Sequence[float] = (1.0, 2.0, 4.0, 8.0, 16.0),
-    max_d: float | None = None,
+    size: float = 1.0,
+    max_d: float | None = 60.0,
     rounds: int = 100,
-    robust: bool = False,
+    frame: str = "world",
+    turned: bool = False,
 ) -> DataFrame:
     """Candidates whose clouds align: loop edges with the fitness as variance.
 
-    The current keyframe's cloud is aligned to the clouds of the keyframes around the candidate,
-    both in the world frame and reduced to one centroid per ``leaf``; pairs with small clouds are
-    left out before the first round.
+    The current keyframe's cloud (``kf_id``) is aligned to the clouds of the ``neighbours`` on both sides of the candidate
+    (``loop_id``), reduced to one centroid per ``leaf``; small clouds are left out. A candidate's cloud is made once, however
+    many pairs meet it.
+
+    ``frame`` "world" places each cloud by its own pose, and the edge leads from the corrected pose to the candidate's. "base"
+    places all clouds of a drive by the pose of its first keyframe, as loops by descriptor are checked; the edge is then
+    the correction itself undone, and robust. ``turned`` starts from the candidates' ``yaw``, if they have one.
     """
+    if frame not in ("world", "base"):
+        raise ValueError(f"unknown frame {frame!r}")
     keys = list(keys)
-    pair = [*keys, "cur_id", "loop_id"]
-    wanted = candidates.select(*keys, F.col("kf_id").alias("cur_id"), "loop_id").distinct()
-    own = wanted.withColumn("kf_id", F.col("cur_id"))
-    around = nb.key_window(wanted.withColumn("kf_id", F.col("loop_id")), keyframes, neighbours, keys)
-    around = around.drop("kf_id").withColumnRenamed("near_id", "kf_id")
-
-    def cloud(selected: DataFrame, least: int) -> DataFrame:
-        made = nb.assemble_submap(selected, keyframes, points, leaf=leaf, keys=keys, group=["cur_id", "loop_id"])
-        return min_count(cut(made), pair, least).select(*pair, F.struct("vx", "vy", "vz").alias("point_id"), *XYZ)
-
-    source, target = cloud(own, min_source), cloud(around, min_target)
-    both = source.select(*pair).distinct().join(target.select(*pair).distinct(), pair)
-    source, target = source.join(both, pair, "left_semi"), target.join(both, pair, "left_semi")
-    fitted = align_clouds(source, target, pair, cells, max_d, rounds)
-    good = fitted.where(F.col("fitness") <= max_fitness)
+    yaw = F.coalesce("yaw", F.lit(0.0)) if turned else F.lit(0.0)
+    wanted = cut(candidates.select(*keys, F.col("kf_id").alias("cur_id"), "loop_id", yaw.alias("yaw")).dropDuplicates([*keys, "cur_id", "loop_id"]))
+    placed = keyframes.select(*keys, "kf_id", *FIELDS)
+    if frame == "base":
+        base = placed.groupBy(*keys).agg(F.min_by(F.struct(*FIELDS), "kf_id").alias("_base"))
+        placed = placed.select(*keys, "kf_id").join(base, keys).select(*keys, "kf_id", *[F.col(f"_base.{f}").alias(f) for f in FIELDS])
+    source = _submaps(wanted.select(*keys, "cur_id").distinct(), placed, points, keys, "cur_id", 0, leaf, min_source)
+    target = _submaps(wanted.select(*keys, "loop_id").distinct(), placed, points, keys, "loop_id", neighbours, leaf, min_target)
+    fitted = align_clouds(
+        wanted, source, [*keys, "cur_id"], target, [*keys, "loop_id"], size, max_d, rounds, yaw="yaw"
+    )
+    good = fitted.where(F.col("converged") & (F.col("fitness") <= max_fitness))
 
     def poses(prefix: str, name: str) -> DataFrame:
         return keyframes.select(*keys, F.col("kf_id").alias(name), *[F.col(f).alias(prefix + f) for f in FIELDS])
 
-    joined = good.join(poses("a_", "cur_id"), [*keys, "cur_id"]).join(poses("b_", "loop_id"), [*keys, "loop_id"])
     r = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
-    attitude = rpy_matrix(F.col("a_roll"), F.col("a_pitch"), F.col("a_yaw"))
-    place = [v + F.col(f"t{c}") for v, c in zip(matvec(r, [F.col(f"a_{c}") for c in XYZ]), XYZ)]
-    corrected = Pose(matmul(r, attitude), place)
-    step = between(corrected, from_columns(*[F.col(f"b_{f}") for f in FIELDS])).fields()
+    shift = [F.col(f"t{c}") for c in XYZ]
+    if frame == "base":
+        joined, step = good, inverse(Pose(r, shift)).fields()
+    else:
+        joined = good.join(poses("a_", "cur_id"), [*keys, "cur_id"]).join(poses("b_", "loop_id"), [*keys, "loop_id"])
+        attitude = rpy_matrix(F.col("a_roll"), F.col("a_pitch"), F.col("a_yaw"))
+        place = [v + t for v, t in zip(matvec(r, [F.col(f"a_{c}") for c in XYZ]), shift)]
+        corrected = Pose(matmul(r, attitude), place)
+        step = between(corrected, from_columns(*[F.col(f"b_{f}") for f in FIELDS])).fields()
     edges = joined.select(
         *keys, F.lit("loop").alias("kind"), F.col("cur_id").alias("from_id"), F.col("loop_id").alias("to_id"),
-        *[step[f].alias(f) for f in FIELDS], F.lit(robust).alias("robust"),
+        *[step[f].alias(f) for f in FIELDS], F.lit(frame == "base").alias("robust"),
         *[F.col("fitness").alias(f"var{i}") for i in range(6)],
     )
     return edges.select(*keys, *EDGE)

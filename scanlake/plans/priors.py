@@ -36,7 +36,7 @@ def associate_priors(
     max_angle: float = math.radians(5.0),
     blend: float = 0.2,
     weight: float = 100.0,
-    cells: Sequence[float] = (1.0, 2.0, 4.0, 8.0, 16.0),
+    size: float = 1.0,
     rounds: int = 100,
 ) -> DataFrame:
     """Prior edges between keyframes.
@@ -45,7 +45,7 @@ def associate_priors(
     keyframe; ``prior_patches`` the ground points seen at prediction (``prior_id``, ``point_id``),
     ``ground`` those seen at each keyframe (``kf_id``, ``point_id``). A keyframe takes the first
     earlier prior near it in the plane whose patch fits its ground; roll and pitch of the driven
-    step are then blended with the predicted ones.
+    step are then blended with the predicted ones. Points further apart than ``patch_size`` don't count as paired.
     """
     keys = list(keys)
     links = keyframes.select(*keys, F.col("kf_id").alias("linked_id"), *[F.col(f).alias(f"k_{f}") for f in FIELDS])
@@ -61,11 +61,10 @@ def associate_priors(
 
     pair = [*keys, "kf_id", "prior_id"]
     half = patch_size / 2
-    source = prior_patches.where((F.abs("x") <= half) & (F.abs("y") <= half)).join(
-        pairs.select(*pair), [*keys, "prior_id"]
-    )
-    target = ground.join(pairs.select(*pair), [*keys, "kf_id"])
-    fitted = align_clouds(source, target, pair, cells, None, rounds).where(F.col("fitness") <= max_fitness)
+    source = prior_patches.where((F.abs("x") <= half) & (F.abs("y") <= half))
+    fitted = align_clouds(
+        pairs.select(*pair), source, [*keys, "prior_id"], ground, [*keys, "kf_id"], size, patch_size, rounds
+    ).where(F.col("converged") & (F.col("fitness") <= max_fitness))
 
     staged = (
         fitted.join(pairs, pair)

@@ -1,14 +1,14 @@
 """Views that shape the TPC-H-like driver tables as scans, odometry feeds and ground maps.
 
-Every view covers its whole table. Each one is a plain projection, or a join, so that no window
-or collect runs before the operator under test.
+Every view covers its whole table. Each one is a plain projection or a join, but for the numbers of keyframes and
+of their points.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanlake.operators.timeline import number_rows
@@ -76,11 +76,17 @@ def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyframe_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every point, spread over forty keyframes of the vehicle that has the scan's number."""
-    return points(spark, sf_dir).select(
-        F.col("scan_id").alias("vehicle_id"),
-        F.floor(F.col("t_rel") * 400.0 + 1e-9).cast("bigint").alias("kf_id"),
-        "point_idx", "ring", "x", "y", "z", "intensity",
+    """Every point, dealt in turn to the keyframes of the vehicle that its order's number selects.
+
+    So each keyframe of each vehicle has a cloud, and each point a keyframe.
+    """
+    feed = poses(spark, sf_dir)
+    vehicles = feed.agg(F.max("vehicle_id") + 1).first()[0]
+    sizes = feed.where(F.col("source") == "front").groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = points(spark, sf_dir).withColumn("vehicle_id", F.expr(f"point_idx div 8000000000 % {vehicles}"))
+    turn = F.row_number().over(Window.partitionBy("vehicle_id").orderBy("point_idx", "x", "y")) - 1
+    return dealt.withColumn("_turn", turn).join(sizes, "vehicle_id").select(
+        "vehicle_id", (F.col("_turn") % F.col("_n")).cast("bigint").alias("kf_id"), "point_idx", "ring", "x", "y", "z", "intensity",
     )
 
 
@@ -149,10 +155,11 @@ FROM events""",
 FROM poses WHERE source = 'front'""",
     ),
     "keyframe_points": (
-        ("points",),
-        """SELECT scan_id AS vehicle_id, CAST(floor(t_rel * 400 + CAST(0.000000001 AS DOUBLE)) AS BIGINT) AS kf_id,
+        ("points", "keyframes"),
+        """SELECT vehicle_id, (row_number() OVER (PARTITION BY vehicle_id ORDER BY point_idx, x, y) - 1) % n AS kf_id,
        point_idx, ring, x, y, z, intensity
-FROM points""",
+FROM (SELECT *, point_idx // 8000000000 % (SELECT max(vehicle_id) + 1 FROM poses) AS vehicle_id FROM points)
+JOIN (SELECT vehicle_id, count(*) AS n FROM keyframes GROUP BY 1) USING (vehicle_id)""",
     ),
     "ground": (
         ("points",),

@@ -12,18 +12,20 @@ from scanlake.operators.scans import transform_points
 
 
 def write_keyframes(
-    points: DataFrame, keyframes: DataFrame, path: str, keys: Sequence[str] = ("vehicle_id",), salt: int = 1
+    points: DataFrame, keyframes: DataFrame, path: str, keys: Sequence[str] = ("vehicle_id",)
 ) -> None:
-    """Points in their own frames below ``path/keyframes``, one folder per keyframe, and the whole
-    cloud in the world frame below ``path/global``.
+    """Points in their own frames below ``path/keyframes`` and in the world frame below ``path/global``.
 
-    Rows are brought together per keyframe first, so each folder gets few files; ``salt`` splits
-    keyframes that are too large for one task.
+    Both have a folder per drive, in which files and their row groups follow each other by keyframe, so a reader of one
+    keyframe skips the rest by its statistics. A range partitioning keeps files few and splits large drives and
+    keyframes. Points whose keyframe isn't among ``keyframes`` have no place in the world and are in neither output.
     """
     layout = [*keys, "kf_id"]
-    padded = points.withColumn("_s", F.pmod(F.hash("point_idx"), F.lit(int(salt))))
-    padded.repartition(*layout, "_s").drop("_s").write.partitionBy(*layout).parquet(f"{path}/keyframes")
-    transform_points(points, keyframes, layout).write.parquet(f"{path}/global")
+    known = points.join(keyframes.select(*layout).distinct(), layout, "left_semi")
+    for name, cloud in (("keyframes", known), ("global", transform_points(known, keyframes, layout).select(known.columns))):
+        order = [*layout, "point_idx"]
+        sorted_ = cloud.repartitionByRange(*order).sortWithinPartitions(*order)
+        sorted_.write.partitionBy(*keys).parquet(f"{path}/{name}")
 
 
 def write_trajectory(df: DataFrame, path: str, keys: Sequence[str] = ("vehicle_id",), ts: str = "ts") -> None:

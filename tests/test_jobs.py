@@ -42,7 +42,9 @@ def test_alignment_recovers_a_motion(spark):
     r, t = transform([0.1, -0.08, 0.05, 0.01, -0.01, 0.02])
     ids = np.arange(len(xyz))
     source = cloud(spark, (xyz - t) @ r, key=1, point_id=ids)
-    out = align_clouds(source, cloud(spark, xyz, key=1, point_id=ids), ["key"], [0.5, 1.0, 2.0], rounds=12).first()
+    pairs = spark.createDataFrame([(1, 1)], "key long, other long")
+    target = cloud(spark, xyz, key=1, point_id=ids)
+    out = align_clouds(pairs, source.withColumnRenamed("key", "other"), ["other"], target, ["key"], 0.5, rounds=12).first()
     got = np.array([[out[f"r{i}{j}"] for j in range(3)] for i in range(3)])
     assert np.allclose(got, r, atol=0.01)
     assert np.allclose([out["tx"], out["ty"], out["tz"]], t, atol=0.03)
@@ -102,7 +104,7 @@ def test_a_true_loop_is_verified(spark):
     kf = spark.createDataFrame(frames, "vehicle_id bigint, kf_id bigint, x double, y double, z double, roll double, pitch double, yaw double")
     kp = spark.createDataFrame(pd.concat(clouds))
     cand = spark.createDataFrame([(1, 2, 0)], "vehicle_id bigint, kf_id bigint, loop_id bigint")
-    out = verify_loops(cand, kf, kp, neighbours=1, leaf=0.2, min_source=100, min_target=100, cells=[0.5, 1.0, 2.0], rounds=15).collect()
+    out = verify_loops(cand, kf, kp, neighbours=1, leaf=0.2, min_source=100, min_target=100, size=0.5).collect()
     assert len(out) == 1
     r2, t2 = transform(poses[2])
     assert np.allclose([out[0]["x"], out[0]["y"], out[0]["z"]], -r2.T @ t2, atol=0.05)
