@@ -315,41 +315,53 @@ def priors(spark, d):
 # ---- streams ----------------------------------------------------------------------------------
 
 
-def _stream(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet")
-    live = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet")
-    return fx.shape_poses(live)
+def _collected(spark, d, transform, name, parts=3):
+    """What a query gives on a feed that arrives in parts, by time: each is added to the feed's folder and processed
+    before the next, by a query that goes on from the checkpoint."""
+    events = fx.table(spark, d, "events")
+    low, high = events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) * parts / (high - low + 1))
+    feed, path, marks = (scratch_table(spark, name + end) for end in ("-feed", "", "-marks"))
+    for number in range(parts):
+        events.where(part == number).write.mode("append").parquet(feed)
+        out = transform(fx.shape_poses(spark.readStream.schema(events.schema).parquet(feed)))
+        feeds.run_available(out, path, marks)
+    return spark.read.schema(out.schema).parquet(path)
 
 
-def _collected(spark, df, name):
-    path, marks = scratch_table(spark, name), scratch_table(spark, name + "-marks")
-    feeds.run_available(df, path, marks)
-    return spark.read.schema(df.schema).parquet(path)
+def _displaced(live):
+    live = live.withColumn("arrival", F.unix_micros("ts") / 1e6)
+    return live.withColumn("stamp", F.col("arrival") + ((F.col("pose_id") * 37) % 7 - 3) * 20000)
 
 
 @query("stream_monotonic", ORACLES["monotonic"])
 def stream_monotonic(spark, d):
-    live = _stream(spark, d).withColumn("arrival", F.unix_micros("ts") / 1e6)
-    live = live.withColumn("stamp", F.col("arrival") + ((F.col("pose_id") * 37) % 7 - 3) * 20000)
-    return _collected(spark, feeds.monotonic(live, VS, "arrival", "stamp").select("pose_id"), "monotonic")
+    def run(live):
+        return feeds.monotonic(_displaced(live), VS, "arrival", "stamp", expire=20 * DAY).select("pose_id")
+
+    return _collected(spark, d, run, "monotonic")
 
 
 @query("stream_sample_interval", ORACLES["sample_interval"])
 def stream_sample_interval(spark, d):
-    return _collected(spark, feeds.sample_interval(_stream(spark, d), V, DAY).select("pose_id"), "interval")
+    return _collected(spark, d, lambda live: feeds.sample_interval(live, V, DAY).select("pose_id"), "interval")
 
 
 @query("stream_select_keyframes", ORACLES["select_keyframes"])
 def stream_select_keyframes(spark, d):
-    live = _stream(spark, d).where("source = 'front'")
-    return _collected(spark, feeds.select_keyframes(live, V, 15.0, 2.5).select("pose_id"), "keyframes")
+    def run(live):
+        return feeds.select_keyframes(live.where("source = 'front'"), V, 15.0, 2.5, expire=20 * DAY).select("pose_id")
+
+    return _collected(spark, d, run, "keyframes")
 
 
 @query("stream_smooth")
 def stream_smooth(spark, d):
-    live = feeds.smooth(_quick(_stream(spark, d)), VS, fusion.SmoothOptions(max_dt=2.0))
-    out = live.select("vehicle_id", "source", "pose_id", *[F.round(f"s_{f}", 4).alias(f) for f in XYZ])
-    return _collected(spark, out, "smooth")
+    def run(live):
+        out = feeds.smooth(_quick(live), VS, fusion.SmoothOptions(max_dt=2.0), lateness="2 seconds")
+        return out.select("vehicle_id", "source", "pose_id", *[F.round(f"s_{f}", 4).alias(f) for f in XYZ])
+
+    return _collected(spark, d, run, "smooth")
 
 
 @query(
@@ -358,8 +370,8 @@ def stream_smooth(spark, d):
     ("poses",),
 )
 def drop_stale(spark, d):
-    live = _stream(spark, d)
-    scans = live.where("source = 'front'").select("vehicle_id", F.col("pose_id").alias("scan_id"), "ts")
-    out = feeds.drop_stale(scans, live.where("source = 'back'"), V, 21600.0, "40 days")
-    return _collected(spark, out.select("scan_id", "pose_id"), "stale")
+    def run(live):
+        scans = live.where("source = 'front'").select("vehicle_id", F.col("pose_id").alias("scan_id"), "ts")
+        return feeds.drop_stale(scans, live.where("source = 'back'"), V, 21600.0, "1 hour").select("scan_id", "pose_id")
 
+    return _collected(spark, d, run, "stale")

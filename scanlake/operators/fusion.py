@@ -10,14 +10,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.functions.poses import FIELDS
 from scanlake.operators import trajectory as tr
+from scanlake.operators.folds import Fold, chained_fold
 from scanlake.operators.registration import rotation_exp
-from scanlake.operators.selection import _matrices, chained_fold
+from scanlake.operators.selection import _matrices
 from scanlake.operators.timeline import HOUR
 
 ANGLES = slice(3, 6)
@@ -137,19 +137,17 @@ def _rpy(r: np.ndarray) -> list[float]:
 
 
 def smooth_fold(options: SmoothOptions):
-    names = [f.split()[0] for f in SMOOTH_FIELDS[:-1]]
-
-    def fold(pdf: pd.DataFrame, state):
-        r, p = _matrices(pdf[list(FIELDS)].to_numpy(dtype=float))
+    def run(times: np.ndarray, rows: np.ndarray, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        r, p = _matrices(rows)
         kf = PoseFilter(options, state)
-        out, used = np.full((len(pdf), 12), np.nan), np.zeros(len(pdf), dtype=bool)
-        for i, t in enumerate(pdf["_t"].to_numpy()):
-            used[i] = kf.take(t, p[i], r[i])
-            if used[i]:
-                out[i] = [*kf.p, *_rpy(kf.r), *kf.x[0], *kf.x[1]]
-        return pdf.assign(**dict(zip(names, out.T)), used=used), kf.packed()
+        out = np.full((len(rows), 13), np.nan)
+        for i, t in enumerate(times.tolist()):
+            out[i, 12] = kf.take(t, p[i], r[i])
+            if out[i, 12]:
+                out[i, :12] = [*kf.p, *_rpy(kf.r), *kf.x[0], *kf.x[1]]
+        return out, kf.packed()
 
-    return fold
+    return Fold(FIELDS, SMOOTH_FIELDS, run)
 
 
 def smooth(
@@ -162,7 +160,7 @@ def smooth(
     """
     cut = tr.segments(poses, keys, options.max_dt, ts, width)
     grouped = cut.withColumn("_group", F.floor(F.col("segment") / SEGMENTS_PER_GROUP))
-    out = chained_fold(grouped, [*keys, "_group"], ts, width, smooth_fold(options), SMOOTH_FIELDS)
+    out = chained_fold(grouped, [*keys, "_group"], ts, width, smooth_fold(options))
     return out.where("used").drop("used", "_group")
 
 
@@ -223,17 +221,15 @@ def fuse_fold(options: FuseOptions):
         keep[:, :6] -= gain
         return x, _positive(keep @ cov @ keep.T + gain @ r @ gain.T, o.floor)
 
-    def fold(pdf: pd.DataFrame, state):
-        raw = pdf[list(FIELDS)].to_numpy(dtype=float)
-        rot, pos = _matrices(raw)
-        steps, sync = pdf[STEP].to_numpy(dtype=float), pdf[SYNC].to_numpy(dtype=float)
-        dts, ages = pdf["dt"].to_numpy(dtype=float), pdf["noise"].to_numpy(dtype=float)
+    def run(times: np.ndarray, rows: np.ndarray, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        rot, pos = _matrices(rows[:, :6])
+        steps, sync, dts, ages = rows[:, 6:12], rows[:, 12:18], rows[:, 18], rows[:, 19]
         if state is None:
             p, r, x, cov, pose = pos[0], rot[0], np.zeros(12), start, _diag(o.start_pose)
         else:
             p, r, x = state[:3], state[3:12].reshape(3, 3), state[12:24]
             cov, pose = state[24:168].reshape(12, 12), state[168:].reshape(6, 6)
-        out = np.empty((len(pdf), 7))
+        out = np.empty((len(rows), 7))
         for i, dt in enumerate(dts):
             if np.isfinite(dt) and np.isfinite(steps[i]).all():
                 a = o.control
@@ -260,11 +256,9 @@ def fuse_fold(options: FuseOptions):
                 cov[:6, :6], cov[6:, 6:] = reset_step, rate_cov
                 cov = _positive(cov, o.floor)
             out[i] = [*p, *_rpy(r), np.trace(pose)]
-        names = [f.split()[0] for f in FUSE_FIELDS]
-        state = np.concatenate([p, r.reshape(-1), x, cov.reshape(-1), pose.reshape(-1)])
-        return pdf.assign(**dict(zip(names, out.T))), state
+        return out, np.concatenate([p, r.reshape(-1), x, cov.reshape(-1), pose.reshape(-1)])
 
-    return fold
+    return Fold([*FIELDS, *STEP, *SYNC, "dt", "noise"], FUSE_FIELDS, run)
 
 
 def fuse(
@@ -287,4 +281,4 @@ def fuse(
         options.age_scale, ts, width,
     ).select(*keys, ts, *SYNC, "noise")
     rows = front.join(synced, [*keys, ts], "left")
-    return chained_fold(rows, keys, ts, width, fuse_fold(options), FUSE_FIELDS).drop(*SYNC, "noise", *STEP, "dt")
+    return chained_fold(rows, keys, ts, width, fuse_fold(options)).drop(*SYNC, "noise", *STEP, "dt")

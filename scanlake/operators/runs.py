@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROWS = 100_000
@@ -48,6 +49,12 @@ def whole_runs(batches: Iterator[pd.DataFrame], keys: Sequence[str], rows: int =
         yield pdf, run_starts(pdf, keys)
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by key, over as many tasks as the session's shuffles have: small rows can stand for long work, so they aren't
+    brought together by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def map_runs(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], function: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
     schema, rows: int = ROWS, unread: Sequence[str] = (),
@@ -58,10 +65,58 @@ def map_runs(
     out of what it gets as ``unread``.
     """
     keys = list(keys)
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order).drop(*unread)
+    dealt = _dealt(df, keys).sortWithinPartitions(*keys, *order).drop(*unread)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, starts in whole_runs(batches, keys, rows):
             yield function(pdf, starts)
 
     return dealt.mapInPandas(scan, schema)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal numbers for equal values, nulls included."""
+    return column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+
+
+def table_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int = ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """As ``whole_runs``, on Arrow tables, which keep integers and nulls as they are."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for key in keys:
+            values = _codes(table.column(key))
+            new[1:] |= values[1:] != values[:-1]
+        return table, np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            table, starts = joined()
+            last = int(starts[-1])
+            if last:
+                yield table.slice(0, last), starts[:-1]
+            held, size = table.slice(last).to_batches(), table.num_rows - last
+    if held:
+        yield joined()
+
+
+def map_table_runs(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], function: Callable[[pa.Table, np.ndarray], pa.Table],
+    schema, rows: int = ROWS,
+) -> DataFrame:
+    """As ``map_runs``, on Arrow tables."""
+    keys = list(keys)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in table_runs(batches, keys, rows):
+            yield from function(table, starts).to_batches()
+
+    return _dealt(df, keys).sortWithinPartitions(*keys, *order).mapInArrow(scan, schema)

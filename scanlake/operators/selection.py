@@ -1,24 +1,26 @@
 """Ordered selections that depend on what was picked before: features, samplers, keyframes.
 
-Picks inside a scan run per scan (a range image bounds its size). Selections along a drive are
-folds that carry a small state from row to row; they run block by block, see ``chained_fold``.
+Picks inside a scan run per scan (a range image bounds its size). Selections along a drive run block by
+block: the sampler follows pointers, keyframes are a fold (``operators.folds``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanlake.functions.poses import FIELDS
+from scanlake.operators.folds import Fold, chained_fold
 from scanlake.operators.images import sectors
+from scanlake.operators.runs import map_table_runs
 from scanlake.operators.timeline import HOUR, block_of, seconds
-from scanlake.session import scratch_table
 
-Fold = Callable[[pd.DataFrame, np.ndarray | None], tuple[pd.DataFrame, np.ndarray]]
 
 
 # ---- picks inside a scan ------------------------------------------------------------------------
@@ -158,92 +160,83 @@ def pick_classes(
     ).where("in_sector").drop("in_sector")
 
 
-# ---- folds along a drive ------------------------------------------------------------------------
+# ---- selections along a drive -----------------------------------------------------------------
 
 
-def chained_fold(
-    df: DataFrame, keys: Sequence[str], ts: str, width: float, fold: Fold, out_fields: Sequence[str]
-) -> DataFrame:
-    """A fold in time order per key whose tasks hold one block of one key at a time.
-
-    The state that leaves a block is a short array of doubles. Round r folds the r-th block of
-    every key in parallel, starting from the states of round r - 1, so the number of rounds is
-    the longest drive over ``width`` and does not depend on the number of rows or vehicles. Each
-    round's result is a table in the shared checkpoint folder, so a lost executor repeats one
-    round only.
-
-    ``fold(rows, state)`` gets the block's rows sorted by time as pandas (``_t`` in seconds) and
-    the entering state, and returns rows with ``out_fields`` added plus the leaving state.
-    """
-    keys = list(keys)
-    spark = df.sparkSession
-    fields = [c for c in df.columns]
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in fields), *out_fields])
-    names = [*fields, *(f.split()[0] for f in out_fields)]
-    blocked = df.withColumn("_t", seconds(ts)).withColumn("_block", block_of(ts, width))
-    blocks = blocked.select(*keys, "_block").distinct()
-    order = Window.partitionBy(*keys).orderBy("_block")
-    numbered = blocks.withColumns(
-        {"_round": F.row_number().over(order) - 1, "_more": F.lead("_block").over(order).isNotNull()}
-    )
-    rounds = (numbered.agg(F.max("_round")).first()[0] or 0) + 1
-
-    def run(pdf: pd.DataFrame, last_column: str | None) -> pd.DataFrame:
-        state = None
-        if last_column:
-            first = pdf[last_column].iloc[0]
-            state = None if first is None else np.asarray(first, dtype=float)
-        out, leaving = fold(pdf.sort_values("_t", kind="stable").reset_index(drop=True), state)
-        return out, leaving
-
-    source = scratch_table(spark, "fold-in")
-    blocked.join(numbered, [*keys, "_block"]).write.partitionBy("_round").parquet(source)
-    staged = spark.read.parquet(source)
-    target = scratch_table(spark, "fold-out")
-
-    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, leaving = run(pdf, "_state")
-        out = out[names].assign(_leaving=None)
-        if not pdf["_more"].iloc[0]:
-            return out
-        end = pdf.iloc[[-1]][keys].copy()
-        end["_leaving"] = [list(map(float, leaving))]
-        return pd.concat([out, end], ignore_index=True)[[*names, "_leaving"]].astype(object)
-
-    states = None
-    for r in range(rounds):
-        rows = staged.where(F.col("_round") == r).drop("_round", "_block")
-        if states is None:
-            rows = rows.withColumn("_state", F.lit(None).cast("array<double>"))
-        else:
-            rows = rows.join(states, keys, "left")
-        path = f"{target}/round={r}"
-        rows.groupBy(*keys).applyInPandas(chained, schema + ", _leaving array<double>").write.parquet(path)
-        states = (
-            spark.read.parquet(path).where("_leaving is not null").select(*keys, F.col("_leaving").alias("_state"))
-        )
-    return spark.read.parquet(target).where("_leaving is null").select(*names)
+def _next_at(t: np.ndarray, starts: np.ndarray, wanted: np.ndarray, side: str) -> np.ndarray:
+    """For each row the first row of its run at or (side "right") after its ``wanted`` time, or the number of rows."""
+    found = np.empty(len(t), np.int64)
+    for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(t)]):
+        at = begin + np.searchsorted(t[begin:end], wanted[begin:end], side)
+        found[begin:end] = np.where(at < end, at, len(t))
+    return np.maximum(found, np.arange(len(t)) + 1)
 
 
 def sample_interval(
     df: DataFrame, keys: Sequence[str], dt: float, ts: str = "ts", width: float = HOUR, strict: bool = False
 ) -> DataFrame:
-    """Rows at least ``dt`` seconds (``strict``: more than) after the last kept one, from the first."""
+    """Rows at least ``dt`` seconds (``strict``: more than) after the last kept one, from the first; one of equal times.
 
-    def fold(pdf: pd.DataFrame, state):
-        t = pdf["_t"].to_numpy()
-        keep = np.zeros(len(t), dtype=bool)
-        last = -np.inf if state is None else state[0]
-        side = "right" if strict else "left"
-        i = int(np.searchsorted(t, last + dt, side=side))
-        while i < len(t):
-            keep[i] = True
-            last = t[i]
-            i = max(i + 1, int(np.searchsorted(t, last + dt, side=side)))
-        return pdf.assign(kept=keep), np.array([last])
-
-    return chained_fold(df, keys, ts, width, fold, ["kept boolean"]).where("kept").drop("kept")
+    Each row points to the row that would be kept after it. In every block of time the pointers are doubled until
+    they lead to the last row kept in the block, for the few rows by which a block can be entered: those within ``dt`` of
+    its begin, and the first one behind. Only these ways through the blocks are followed from a key's first
+    row, and so each block learns where it is entered, whatever its width. Blocks are at least 16 ``dt`` wide.
+    """
+    if dt <= 0 and not strict:
+        return df
+    keys, side, width = list(keys), "right" if strict else "left", max(width, 16 * dt)
+    at, columns = [*keys, "_block"], list(df.columns)
+    blocked = df.withColumns({"_t": seconds(ts), "_block": block_of(ts, width)})
+
+    def through(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        t, n = table.column("_t").to_numpy(), table.num_rows
+        jump = _next_at(t, starts, t + dt, side)
+        last = np.where(jump < n, np.minimum(jump, n - 1), np.arange(n))
+        while True:
+            further = last[last]
+            if (further == last).all():
+                break
+            last = further
+        begin = table.column("_block").to_numpy() * width
+        entry = t < begin + dt
+        behind = _next_at(t, starts, begin + dt, "left")[starts]
+        entry[starts] = True
+        entry[behind[behind < n]] = True
+        rows = pa.array(np.flatnonzero(entry))
+        found = table.select(at).take(rows).append_column("_in", pa.array(t[entry]))
+        return found.append_column("_out", pa.array(t[last[entry]]))
+
+    def follow(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        t = table.column("_in").to_numpy()
+        after = _next_at(t, starts, table.column("_out").to_numpy() + dt, side).tolist()
+        met = []
+        for begin in starts.tolist():
+            here = begin
+            while here < len(after):
+                met.append(here)
+                here = after[here]
+        return table.select([*at, "_in"]).take(pa.array(met, pa.int64()))
+
+    def keep(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        t = table.column("_t").to_numpy()
+        after = _next_at(t, starts, t + dt, side).tolist()
+        first = _next_at(t, starts, table.column("_in").to_numpy(), "left")[starts]
+        entered = np.where(t[starts] >= table.column("_in").to_numpy()[starts], starts, first)
+        met = []
+        for here in entered.tolist():
+            while here < len(after):
+                met.append(here)
+                here = after[here]
+        return table.select(columns).take(pa.array(met, pa.int64()))
+
+    fields = [blocked.schema[c] for c in at]
+    ways = map_table_runs(
+        blocked.select(*at, "_t"), at, ["_t"], through,
+        T.StructType([*fields, T.StructField("_in", T.DoubleType()), T.StructField("_out", T.DoubleType())]),
+    )
+    entries = map_table_runs(ways, keys, ["_in"], follow, T.StructType([*fields, T.StructField("_in", T.DoubleType())]))
+    ties = [c.name for c in df.schema.fields if isinstance(c.dataType, T.AtomicType) and c.name not in keys]
+    return map_table_runs(blocked.join(entries, at), at, ["_t", *ties], keep, df.schema)
 
 
 def _matrices(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,10 +251,10 @@ def _matrices(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def moved_enough(rows: np.ndarray, last: np.ndarray, distance: float, angle: float) -> np.ndarray:
-    """Which poses differ from ``last`` by a rotation angle or by the distance."""
+    """Which poses differ from ``last``, one for all or one each, by a rotation angle or by the distance."""
     r, t = _matrices(rows)
-    r0, t0 = _matrices(last[None, :])
-    rel = r0[0].T @ r
+    r0, t0 = _matrices(np.atleast_2d(last))
+    rel = r0.transpose(0, 2, 1) @ r
     roll = np.arctan2(rel[:, 2, 1], rel[:, 2, 2])
     pitch = np.arcsin(np.clip(-rel[:, 2, 0], -1, 1))
     yaw = np.arctan2(rel[:, 1, 0], rel[:, 0, 0])
@@ -272,29 +265,42 @@ def moved_enough(rows: np.ndarray, last: np.ndarray, distance: float, angle: flo
 def keyframe_fold(distance: float, angle: float) -> Fold:
     """Keeps the first pose and then each one that moved enough from the last kept one."""
 
-    def fold(pdf: pd.DataFrame, state):
-        rows = pdf[list(FIELDS)].to_numpy(dtype=float)
-        keep = np.zeros(len(rows), dtype=bool)
+    def run(t: np.ndarray, rows: np.ndarray, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.zeros((len(rows), 1))
         i, last = 0, state
         if last is None:
-            keep[0], last, i = True, rows[0], 1
+            keep[0], last, i = 1.0, rows[0], 1
         span = 16
         while i < len(rows):
             hit = np.flatnonzero(moved_enough(rows[i : i + span], last, distance, angle))
             if len(hit):
                 i += int(hit[0])
-                keep[i], last = True, rows[i]
+                keep[i], last = 1.0, rows[i]
                 i, span = i + 1, 16
             else:
                 i, span = i + span, min(span * 2, 4096)
-        return pdf.assign(kept=keep), np.asarray(last)
-
-    return fold
+        return keep, last
+
+    def many(t: np.ndarray, rows: np.ndarray, starts: np.ndarray, states: list[np.ndarray | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The j-th rows of all runs at once."""
+        keep = np.zeros((len(rows), 1))
+        sizes = np.diff(starts, append=len(rows))
+        last = np.array([np.full(6, np.nan) if s is None else s for s in states]).reshape(-1, 6)
+        known = np.array([s is not None for s in states], bool)
+        for j in range(int(sizes.max(initial=0))):
+            runs = np.flatnonzero(sizes > j)
+            here = rows[starts[runs] + j]
+            taken = ~known[runs]
+            taken[~taken] = moved_enough(here[~taken], last[runs[~taken]], distance, angle)
+            keep[starts[runs] + j, 0] = taken
+            last[runs[taken]], known[runs] = here[taken], True
+        return keep, list(last)
+
+    return Fold(FIELDS, ["kept boolean"], run, many, forgets=True)
 
 
 def select_keyframes(
     df: DataFrame, keys: Sequence[str], distance: float = 1.0, angle: float = 0.2, ts: str = "ts", width: float = HOUR
 ) -> DataFrame:
     """Poses that moved by ``distance`` or turned by ``angle`` since the last kept one, and the first."""
-    out = chained_fold(df, keys, ts, width, keyframe_fold(distance, angle), ["kept boolean"])
-    return out.where("kept").drop("kept")
+    return chained_fold(df, keys, ts, width, keyframe_fold(distance, angle)).where("kept").drop("kept")

@@ -1,4 +1,4 @@
-"""Structured Streaming on pose feeds: late samples, stale samples, folds with keyed state."""
+"""Structured Streaming on pose feeds: late samples, stale samples, folds with keyed state that expires."""
 
 from __future__ import annotations
 
@@ -6,91 +6,129 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from scanlake.operators.fusion import SMOOTH_FIELDS, SmoothOptions, smooth_fold
-from scanlake.operators.selection import Fold, keyframe_fold
+from scanlake.operators.folds import Fold
+from scanlake.operators.fusion import SmoothOptions, smooth_fold
+from scanlake.operators.selection import keyframe_fold
 from scanlake.operators.timeline import seconds
 
-STATE = "state array<double>"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Folding(StatefulProcessor):
+    """Keeps a fold's state per key, and a timer that drops it once the key has been silent for long."""
+
+    def __init__(self, fold: Fold, fields: list[str], order: list[str], expire: float):
+        self.fold, self.fields, self.order, self.expire = fold, fields, order, expire
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "state array<double>")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        some = pd.concat(list(rows), ignore_index=True)
+        some.columns = [*self.fields, "_t"]
+        some = some.sort_values(self.order, kind="stable").reset_index(drop=True)
+        before = np.asarray(self.state.get()[0], float) if self.state.exists() else None
+        out, after = self.fold.run(some["_t"].to_numpy(float), some[list(self.fold.inputs)].to_numpy(float), before)
+        self.state.update(([float(v) for v in after],))
+        latest = int(some["_t"].max() * 1000)
+        if self.timer.exists():
+            set_for = self.timer.get()[0]
+            latest = max(latest, set_for - int(self.expire * 1000))
+            self.handle.deleteTimer(set_for)
+        at = max(latest + int(self.expire * 1000), timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+        yield some[self.fields].assign(**dict(zip(self.fold.names, self.fold.columns(out))))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        self.timer.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def stream_fold(
-    df: DataFrame, keys: Sequence[str], ts: str, fold: Fold, out_fields: Sequence[str], order: str | None = None
+    df: DataFrame, keys: Sequence[str], ts: str, fold: Fold, lateness: str, expire: float, order: Sequence[str] = ()
 ) -> DataFrame:
     """A fold over a live feed, keyed by ``keys``.
 
-    ``fold`` is the function that the batch operators use, so both give the same rows: within a
-    trigger the key's rows are put in time order (or by ``order``) and the state that the fold
-    leaves is kept in the state store until the next trigger.
+    ``fold`` is the one that the batch operators use, so both give the same rows: within a trigger the key's rows
+    are put in time order (or by ``order``) and the state that the fold leaves is kept for the next. Samples that come
+    later than ``lateness`` behind the newest one of the feed are dropped by the watermark, for what followed them has
+    been decided. A key's state goes when the watermark passes ``expire`` seconds after its last sample; should the key come
+    back, it starts anew.
     """
-    keys = list(keys)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in types.items()), *out_fields])
-    names = [*df.columns, *(f.split()[0] for f in out_fields)]
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows = rows.sort_values(order or "_t", kind="stable").reset_index(drop=True)
-        before = np.asarray(state.get[0], dtype=float) if state.exists else None
-        out, after = fold(rows, before)
-        state.update((list(map(float, after)),))
-        yield out[names]
-
+    types = T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(fold.outputs)).fields])
+    processor = _Folding(fold, df.columns, [*(order or ["_t"]), *fold.inputs], expire)
     return (
-        df.withColumn("_t", seconds(ts))
-        .groupBy(*keys)
-        .applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+        df.withWatermark(ts, lateness).withColumn("_t", seconds(ts)).groupBy(*keys)
+        .transformWithStateInPandas(processor, types, "Append", "EventTime")
     )
 
 
 def _latest_fold(stamp: str, slack: float) -> Fold:
-    def fold(pdf: pd.DataFrame, state):
-        values = pdf[stamp].to_numpy(dtype=float)
+    def run(t: np.ndarray, values: np.ndarray, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         start = -np.inf if state is None else state[0]
-        before = np.maximum.accumulate(np.concatenate([[start], values]))
-        return pdf.assign(kept=values > before[:-1] + slack), np.array([before[-1]])
+        before = np.maximum.accumulate(np.concatenate([[start], values[:, 0]]))
+        return (values > before[:-1, None] + slack).astype(float), before[-1:]
+
+    return Fold([stamp], ["kept boolean"], run)
+
+
+def _interval_fold(dt: float) -> Fold:
+    def run(t: np.ndarray, values: np.ndarray, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        keep, last = np.zeros((len(t), 1)), -np.inf if state is None else float(state[0])
+        at = int(np.searchsorted(t, last + dt))
+        while at < len(t):
+            keep[at], last = 1.0, float(t[at])
+            at = max(at + 1, int(np.searchsorted(t, last + dt)))
+        return keep, np.array([last])
 
-    return fold
+    return Fold([], ["kept boolean"], run)
+
+
+HOUR, DAY = "1 hour", 86400.0
 
 
 def monotonic(
-    df: DataFrame, keys: Sequence[str], arrival: str, stamp: str, ts: str = "ts", slack: float = 0.0
+    df: DataFrame, keys: Sequence[str], arrival: str, stamp: str, ts: str = "ts", slack: float = 0.0,
+    lateness: str = HOUR, expire: float = DAY,
 ) -> DataFrame:
     """Samples of a live feed that are later than all earlier arrivals of their key."""
-    out = stream_fold(df, keys, ts, _latest_fold(stamp, slack), ["kept boolean"], arrival)
+    out = stream_fold(df, keys, ts, _latest_fold(stamp, slack), lateness, expire, [arrival])
     return out.where("kept").drop("kept")
 
 
-def _interval_fold(dt: float) -> Fold:
-    def fold(pdf: pd.DataFrame, state):
-        keep, last = [], -np.inf if state is None else state[0]
-        for t in pdf["_t"].to_numpy():
-            keep.append(t - last >= dt)
-            last = t if keep[-1] else last
-        return pdf.assign(kept=keep), np.array([last])
-
-    return fold
-
-
-def sample_interval(df: DataFrame, keys: Sequence[str], dt: float, ts: str = "ts") -> DataFrame:
-    """Minimum-interval sampling of a live feed."""
-    return stream_fold(df, keys, ts, _interval_fold(dt), ["kept boolean"]).where("kept").drop("kept")
+def sample_interval(
+    df: DataFrame, keys: Sequence[str], dt: float, ts: str = "ts", lateness: str = HOUR, expire: float = DAY
+) -> DataFrame:
+    """Minimum-interval sampling of a live feed. ``expire`` is at least ``dt``, or rows would be kept too soon."""
+    return stream_fold(df, keys, ts, _interval_fold(dt), lateness, max(expire, dt)).where("kept").drop("kept")
 
 
 def select_keyframes(
-    df: DataFrame, keys: Sequence[str], distance: float = 1.0, angle: float = 0.2, ts: str = "ts"
+    df: DataFrame, keys: Sequence[str], distance: float = 1.0, angle: float = 0.2, ts: str = "ts", lateness: str = HOUR,
+    expire: float = DAY,
 ) -> DataFrame:
     """Keyframe selection on a live feed."""
-    out = stream_fold(df, keys, ts, keyframe_fold(distance, angle), ["kept boolean"])
-    return out.where("kept").drop("kept")
+    return stream_fold(df, keys, ts, keyframe_fold(distance, angle), lateness, expire).where("kept").drop("kept")
 
 
-def smooth(df: DataFrame, keys: Sequence[str], options: SmoothOptions = SmoothOptions(), ts: str = "ts") -> DataFrame:
-    """Pose smoothing of a live feed."""
-    return stream_fold(df, keys, ts, smooth_fold(options), SMOOTH_FIELDS).where("used").drop("used")
+def smooth(
+    df: DataFrame, keys: Sequence[str], options: SmoothOptions = SmoothOptions(), ts: str = "ts", lateness: str = HOUR
+) -> DataFrame:
+    """Pose smoothing of a live feed. A key's state goes after a gap that would make the filter start anew."""
+    return stream_fold(df, keys, ts, smooth_fold(options), lateness, options.max_dt).where("used").drop("used")
 
 
 def drop_stale(
@@ -114,10 +152,20 @@ def drop_stale(
     return a.join(right, on).drop(*[f"_l_{k}" for k in keys])
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Processes everything a stream has now into Parquet and stops."""
-    query = (
-        df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+def run_available(df: DataFrame, path: str, checkpoint: str) -> list[dict]:
+    """Processes everything a stream has now into Parquet and stops; the progress of its triggers.
+
+    Keyed state with timers needs the RocksDB store, which is set while the query is started.
+    """
+    spark: SparkSession = df.sparkSession
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        query = (
+            df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(STORE, before)
     query.awaitTermination()
+    return list(query.recentProgress)
