@@ -38,7 +38,7 @@ from scanlake.llm.common import append, in_batches, text_bytes
 LONG, HALF, STRETCHES = 192, 64, 4_096
 #: Stretches that don't meet make way for longer pieces, up to so many bytes more.
 FURTHEST = 1 << 16
-WORDS_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE, CACHE, TOKENS_AT_ONCE = 15_000, 200_000, 1_000_000, 150_000, 200_000
+WORDS_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE, CACHE, TOKENS_AT_ONCE = 15_000, 200_000, 1_000_000, 400_000, 200_000
 #: All rounds of short words have at most so many rows, as a word of n bytes leaves n, n - 1, ... in its rounds.
 ROWS_AT_ONCE = 2_000_000
 
