@@ -21,11 +21,11 @@ one; among 6 billion distinct lines one such pair is expected.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +43,8 @@ PIECE = 200_000
 BLOCK_LINES, BLOCK_CHARS = 1024, 512_000
 #: So many lines are compared pair by pair; bit rows pay for more.
 FEW = 6
+#: Few lines of fewer characters altogether are compared as sets of strings, others as sorted numbers.
+SHORT = 800
 _RANDOM = np.random.default_rng(12)
 MULTIPLY = (_RANDOM.integers(0, 2**31, BANDS * ROWS, np.int64) * 2 + 1).astype(np.uint32)
 ADD = _RANDOM.integers(0, 2**32, BANDS * ROWS, np.int64).astype(np.uint32)
@@ -181,32 +183,82 @@ def _texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "line", "left_semi").dropDuplicates(["line"])
 
 
+def _shingle_numbers(texts: list[str]) -> list[np.ndarray] | None:
+    """Each line's distinct shingles as sorted 64-bit numbers that are equal exactly where the shingles are.
+
+    A shingle is eight characters in eight bytes: their Latin-1 codes, or else numbers from 1 among the characters of all the
+    lines. A shorter line is filled with zeros. None if the lines have more than 255 different characters.
+    """
+    joined = "".join(texts)
+    try:
+        small = np.frombuffer(joined.encode("latin-1"), np.uint8) if "\0" not in joined else None
+    except UnicodeEncodeError:
+        small = None
+    if small is None:
+        known, small = np.unique(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        if len(known) > 255:
+            return None
+        small = (small + 1).astype(np.uint8)
+    found, begin = [], 0
+    for text in texts:
+        line = small[begin : begin + len(text)]
+        begin += len(text)
+        if len(line) < SHINGLE:
+            line = np.concatenate([line, np.zeros(SHINGLE - len(line), np.uint8)])
+        numbers = np.lib.stride_tricks.sliding_window_view(line, SHINGLE).copy().view(np.uint64).ravel()
+        numbers.sort()
+        found.append(numbers[np.concatenate([[True], numbers[1:] != numbers[:-1]])])
+    return found
+
+
+def _pairs_of_few(sets: list[set[str]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    near = [
+        (i, j) for j in range(len(sets)) for i in range(j)
+        if min(len(sets[i]), len(sets[j])) >= threshold * max(len(sets[i]), len(sets[j]))
+        and (both := len(sets[i] & sets[j])) >= threshold * (len(sets[i]) + len(sets[j]) - both)
+    ]
+    return np.array([i for i, _ in near], np.int64), np.array([j for _, j in near], np.int64)
+
+
 def block_links(texts: list[str], sides: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of lines whose shingle sets are similar enough, exactly; of many lines one star per component.
 
     ``sides`` has the block of each line; with two blocks, only lines of different ones are compared.
     Sets are bit rows over the shingles that more than one line has, which is all that intersections need.
     """
-    sets = [shingles(t) for t in texts]
+    if len(texts) <= FEW and sum(map(len, texts)) < SHORT:
+        return _pairs_of_few([shingles(t) for t in texts], threshold)
+    sets = _shingle_numbers(texts)
+    if sets is None:
+        every = [shingles(t) for t in texts]
+        number = {x: k for k, x in enumerate(set().union(*every))}
+        sets = [np.array(sorted(map(number.__getitem__, s)), np.uint64) for s in every]
+    sizes = np.array([len(s) for s in sets])
     if len(sets) <= FEW:
-        near = [
-            (i, j) for j in range(len(sets)) for i in range(j)
-            if min(len(sets[i]), len(sets[j])) >= threshold * max(len(sets[i]), len(sets[j]))
-            and (both := len(sets[i] & sets[j])) >= threshold * (len(sets[i]) + len(sets[j]) - both)
-        ]
+        near = []
+        for j in range(len(sets)):
+            for i in range(j):
+                if min(sizes[i], sizes[j]) >= threshold * max(sizes[i], sizes[j]):
+                    merged = np.concatenate([sets[i], sets[j]])
+                    merged.sort()
+                    both = int((merged[1:] == merged[:-1]).sum())
+                    if both >= threshold * (sizes[i] + sizes[j] - both):
+                        near.append((i, j))
         return np.array([i for i, _ in near], np.int64), np.array([j for _, j in near], np.int64)
-    often: Counter[str] = Counter()
-    for s in sets:
-        often.update(s)
-    number = {x: k for k, x in enumerate(x for x, n in often.items() if n > 1)}
-    rows = np.zeros((len(sets), (len(number) + 63) // 64 * 8), np.uint8)
+    _, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = counts > 1
+    number = np.cumsum(often) - 1
+    rows = np.zeros((len(sets), (int(often.sum()) + 63) // 64 * 8), np.uint8)
     flags = np.zeros(rows.shape[1] * 8, np.uint8)
-    for k, s in enumerate(sets):
-        ids = [number[x] for x in s if x in number]
+    begin = 0
+    for k, size in enumerate(sizes.tolist()):
+        ids = which[begin : begin + size]
+        ids = number[ids[often[ids]]]
+        begin += size
         flags[ids] = 1
         rows[k] = np.packbits(flags)
         flags[ids] = 0
-    bits, sizes, side = rows.view(np.uint64), np.array([len(s) for s in sets]), np.array(sides)
+    bits, side = rows.view(np.uint64), np.array(sides)
     across = len(set(sides)) > 1
     i_all, j_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(len(sets) - 1):
@@ -259,12 +311,12 @@ def line_groups(lines: DataFrame, docs: DataFrame, text: str = "text", threshold
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for some in batch.column(0):
-                rows = some.as_py()
-                line = np.array([r["line"] for r in rows])
-                i, j = block_links([r["compared"] for r in rows], [r["own"] for r in rows], threshold)
-                a.append(line[i])
-                b.append(line[j])
+            rows, bounds = batch.column(0).flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(0)).to_numpy())]).tolist()
+            lines, own, texts_ = rows.field("line").to_numpy(), rows.field("own").to_pylist(), rows.field("compared")
+            for low, high in zip(bounds, bounds[1:]):
+                i, j = block_links(texts_.slice(low, high - low).to_pylist(), own[low:high], threshold)
+                a.append(lines[low:high][i])
+                b.append(lines[low:high][j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
 
     links = met.transform(in_batches, compare, "a long, b long")
