@@ -125,6 +125,26 @@ def weighted_neighbours(spark, d):
     return rounded(out, ["scan_id", "point_idx", "n"], ["w", "mx", "my", "mz", *COV])
 
 
+_OWN = {f"c{a}{b}": f"(0.1 + ring * 0.01 * {i + 1})" for i, (a, b) in enumerate(fits.PAIRS)}
+
+
+@query(
+    "weighted_covariances",
+    f"""WITH j AS (SELECT a.scan_id, a.point_idx, b.x, b.y, b.z, b.ring, greatest(least(1 - sqrt({_d2('a', 'b')})/4, CAST(1 AS DOUBLE)), CAST(0.001 AS DOUBLE)) AS w
+  FROM points a JOIN points b ON a.scan_id = b.scan_id AND {_d2('a', 'b')} <= 16)
+SELECT scan_id, point_idx, count(*) AS n, {', '.join(f'{q6(f"sum(w*{c})/sum(w)")} AS m{c}' for c in XYZ)}, {', '.join(f'{q6(f"sum(w*{v})/sum(w)")} AS {c}' for c, v in _OWN.items())}
+FROM j GROUP BY 1, 2""",
+    ("points",),
+)
+def weighted_covariances(spark, d):
+    """Every point has a covariance of its own, here made from its ring."""
+    pts = fx.points(spark, d).select("scan_id", "point_idx", "ring", *XYZ)
+    own = pts.select("*", *[F.expr(v.replace("0.1 +", "0.1D +").replace("0.01", "0.01D")).alias(c) for c, v in _OWN.items()])
+    pairs = nb.radius_join(pts, own, ["scan_id"], 4.0, "point_idx", "point_idx", values=list(_OWN))
+    out = nb.weighted_covariances(pairs, ["scan_id", "point_idx"])
+    return rounded(out, ["scan_id", "point_idx", "n"], ["mx", "my", "mz", *_OWN])
+
+
 _NEWEST = "c AS (SELECT vehicle_id, arg_max(x, kf_id) AS cx, arg_max(y, kf_id) AS cy, arg_max(z, kf_id) AS cz, max(t) AS ct, max(kf_id) AS ck FROM keyframes GROUP BY 1)"
 
 
@@ -317,17 +337,17 @@ def fpfh(spark, d):
 
 @query(
     "nearest_psd",
-    """SELECT pose_id, true AS symmetric, true AS nonnegative FROM poses""",
+    f"""WITH e AS (SELECT pose_id, x AS a, (z + y)/2 AS b, yaw AS c, (x + yaw)/2 AS mid, sqrt((x - yaw)*(x - yaw)/4 + (z + y)*(z + y)/4) AS r FROM poses),
+f AS (SELECT *, greatest(mid + r, 1e-9) AS hi, greatest(mid - r, 1e-9) AS lo FROM e),
+g AS (SELECT *, CASE WHEN r > 0 THEN (hi - lo)/(2*r) ELSE 0 END AS g FROM f)
+SELECT pose_id, {q6('g*(a - mid + r) + lo')} AS m00, {q6('g*b')} AS m01, {q6('g*b')} AS m10, {q6('g*(c - mid + r) + lo')} AS m11 FROM g""",
     ("poses",),
 )
 def nearest_psd_query(spark, d):
+    """A 2x2 matrix, made symmetric, with its eigenvalues raised: M = g (S - low I) + low' I in closed form."""
     pair = F.array(F.col("x"), F.col("z"), F.col("y"), F.col("yaw"))
     fixed = fx.poses(spark, d).select("pose_id", nearest_psd(2)(pair).alias("m"))
-    m = [F.get("m", i) for i in range(4)]
-    return fixed.select(
-        "pose_id", (F.abs(m[1] - m[2]) < 1e-9).alias("symmetric"),
-        (m[0] * m[3] - m[1] * m[2] > -1e-6).alias("nonnegative"),
-    )
+    return fixed.select("pose_id", *[r6(F.get("m", i)).alias(n) for i, n in enumerate(("m00", "m01", "m10", "m11"))])
 
 
 def _aligned_pairs(spark, d):

@@ -11,9 +11,14 @@ from scanlake.functions import geometry as g
 from scanlake.functions import rotations as rot
 from scanlake.functions.angles import azimuth360, deg2rad, rad2deg, wrap_angle
 from scanlake.functions.poses import FIELDS, between, compose, from_columns, inverse
+from scanlake.functions.rotations import boxminus, boxplus, rpy_quat
+from scanlake.functions.vectors import covariance_block
 from scanlake.operators import timeline as tl
 from scanlake.operators import trajectory as tr
+from scanlake.session import scratch_table
 from scanlake.sources import shapes as fx
+from scanlake.sources.readers import read_poses
+from scanlake.sources.sinks import write_poses
 
 XYZ = ["x", "y", "z"]
 STEP = ["d" + f for f in FIELDS]
@@ -556,6 +561,94 @@ def forecast_distance(spark, d):
     return rounded(out, ["pose_id"], ["horizon", "fx"])
 
 
+@query(
+    "forecast_local",
+    f"""WITH s AS (SELECT *, {', '.join(f'{v} AS m{k}' for k, v in zip(range(9), sql_matmul(sql_rotation('roll', 'pitch', 'yaw'), sql_rotation('atan2(sin(1.5*pitch), cos(1.5*pitch))', 'atan2(sin(3*roll), cos(3*roll))', 'atan2(sin(1.5*yaw), cos(1.5*yaw))'))))},
+  {', '.join(f'{v} AS p{c}' for c, v in zip(XYZ, sql_matvec(sql_rotation('roll', 'pitch', 'yaw'), ['(1.5*roll*100)', '(1.5*pitch*100)', '(1.5*yaw/10)'])))} FROM poses)
+SELECT pose_id, {', '.join(f'{q6(f"{c} + p{c}")} AS f_{c}' for c in XYZ)}, {', '.join(f'{q6(v)} AS f_{f}' for f, v in zip(FIELDS[3:], sql_rpy([f'm{k}' for k in range(9)])))} FROM s""",
+    ("poses",),
+)
+def forecast_local(spark, d):
+    """The full pose 1.5 s ahead by rates in the own frame."""
+    state = _states(spark, d).withColumns({"wroll": F.col("pitch"), "wpitch": F.col("roll") * 2, "wyaw": F.col("yaw")})
+    return rounded(tr.forecast_local(state, F.lit(1.5)), ["pose_id"], ["f_" + f for f in FIELDS])
+
+
+_TURNED = {"wx": "pitch * 4", "wy": "roll * 6", "wz": "yaw / 5", "bx": "roll", "by": "pitch / 2", "bz": "0.05D"}
+
+
+def _path_sql(dt: float, n: int, distance: float | None) -> str:
+    """The steps one by one: place by the polynomial, attitude by the quaternion of each step's mean rate."""
+    u = [f"(({w}) + (k + 0.5)*{dt}*({b}))*{dt}" for w, b in (("pitch*4", "roll"), ("roll*6", "pitch/2"), ("yaw/5", "0.05"))]
+    place = [
+        f"{c} + (k+1)*{dt}*({v}) + 0.5*((k+1)*{dt})*((k+1)*{dt})*({a})"
+        for c, v, a in (("x", "roll*100", "pitch"), ("y", "pitch*100", "roll"), ("z", "yaw/10", "0.1"))
+    ]
+    half = [f"{f}/2" for f in FIELDS[3:]]
+    (cr, cp, cy), (sr, sp, sy) = ([f"{f}({h})" for h in half] for f in ("cos", "sin"))
+    start = [f"{sr}*{cp}*{cy} - {cr}*{sp}*{sy}", f"{cr}*{sp}*{cy} + {sr}*{cp}*{sy}", f"{cr}*{cp}*{sy} - {sr}*{sp}*{cy}", f"{cr}*{cp}*{cy} + {sr}*{sp}*{sy}"]
+    stop = "" if distance is None else f" AND gone < {distance} AND moved >= 1e-12"
+    return f"""WITH RECURSIVE s(pose_id, k, x, y, z, roll, pitch, yaw, px, py, pz, qx, qy, qz, qw, gone) AS (
+SELECT pose_id, 0, x, y, z, roll, pitch, yaw, x, y, z, {', '.join(start)}, CAST(0 AS DOUBLE) FROM poses
+UNION ALL SELECT pose_id, k + 1, x, y, z, roll, pitch, yaw, nx, ny, nz,
+  qw*ex + qx*ew + qy*ez - qz*ey, qw*ey - qx*ez + qy*ew + qz*ex, qw*ez + qx*ey - qy*ex + qz*ew, qw*ew - qx*ex - qy*ey - qz*ez, gone + moved
+FROM (SELECT *, ux*f AS ex, uy*f AS ey, uz*f AS ez, cos(th/2) AS ew, sqrt((nx-px)*(nx-px) + (ny-py)*(ny-py) + (nz-pz)*(nz-pz)) AS moved
+  FROM (SELECT *, CASE WHEN th < 1e-10 THEN 0.5 ELSE sin(th/2)/th END AS f
+    FROM (SELECT *, sqrt(ux*ux + uy*uy + uz*uz) AS th
+      FROM (SELECT *, {', '.join(f'{v} AS u{c}' for c, v in zip(XYZ, u))}, {', '.join(f'{v} AS n{c}' for c, v in zip(XYZ, place))} FROM s))))
+WHERE k < {n}{stop})
+SELECT pose_id, CAST(k AS INTEGER) AS k, {', '.join(f'{q6(f"p{c}")} AS f{c}' for c in XYZ)}, {q6('atan2(2*(qy*qz + qw*qx), 1 - 2*(qx*qx + qy*qy))')} AS froll,
+  {q6('asin(greatest(-1, least(1, 2*(qw*qy - qx*qz))))')} AS fpitch, {q6('atan2(2*(qx*qy + qw*qz), 1 - 2*(qy*qy + qz*qz))')} AS fyaw, {q6('gone')} AS gone FROM s WHERE k > 0"""
+
+
+def _path(spark, d, dt, n, distance=None):
+    state = _states(spark, d).withColumns({c: F.expr(v) for c, v in _TURNED.items()})
+    out = tr.forecast_path(state, dt, n, distance)
+    return rounded(out, ["pose_id", "k"], ["fx", "fy", "fz", "froll", "fpitch", "fyaw", "gone"])
+
+
+@query("forecast_path", _path_sql(0.2, 10, None), ("poses",))
+def forecast_path(spark, d):
+    """Full poses of ten steps at constant acceleration."""
+    return _path(spark, d, 0.2, 10)
+
+
+@query("forecast_until", _path_sql(0.1, 60, 8.0), ("poses",))
+def forecast_until(spark, d):
+    """Full poses until the way is 8 m long."""
+    return _path(spark, d, 0.1, 60, 8.0)
+
+
+@query("pose_gap", f"SELECT pose_id, {q6('pitch * 4')} AS gx, {q6('roll * 6')} AS gy, {q6('yaw / 5')} AS gz FROM poses", ("poses",))
+def pose_gap(spark, d):
+    """The rotation vector between an attitude and the one it was turned to."""
+    own = rpy_quat(*[F.col(f) for f in FIELDS[3:]])
+    turned = boxplus(own, [F.expr(_TURNED[w]) for w in ("wx", "wy", "wz")])
+    gap = boxminus(turned, own)
+    return fx.poses(spark, d).select("pose_id", *[r6(v).alias(c) for v, c in zip(gap, ("gx", "gy", "gz"))])
+
+
+@query(
+    "covariance_block",
+    f"SELECT pose_id, {', '.join(q6(v) + f' AS b{k}' for k, v in enumerate(['pitch', 'z', 'yaw + 2', 'x + 2']))} FROM poses",
+    ("poses",),
+)
+def covariance_block_query(spark, d):
+    """Rows 1 and 2 of a 3x3 covariance, columns 2 and 0."""
+    whole = F.array(*[F.col(f) for f in ("x", "y", "roll")], F.col("z"), F.col("y"), F.col("pitch"), F.col("x") + 2, F.col("roll"), F.col("yaw") + 2)
+    block = covariance_block(whole, 3, [1, 2], [2, 0])
+    return fx.poses(spark, d).select("pose_id", *[r6(F.get(block, k)).alias(f"b{k}") for k in range(4)])
+
+
+@query("read_pose_feed", f"SELECT pose_id, vehicle_id, source, t, {q6s(FIELDS)} FROM poses", ("poses",))
+def read_back_poses(spark, d):
+    """All samples, written in folders per day and read back."""
+    path = scratch_table(spark, "poses")
+    write_poses(fx.poses(spark, d), path)
+    back = read_poses(spark, path).withColumn("t", tl.seconds("ts"))
+    return rounded(back, ["pose_id", "vehicle_id", "source", "t"], list(FIELDS))
+
+
 _NX = ", ".join(f"lead({f}) OVER w AS f{f}" for f in FIELDS)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanlake.catalog.registry import q6, q6s, query, r6, rounded, sql_matvec, sql_rotation
+from scanlake.catalog.registry import ORACLES, q6, q6s, query, r6, rounded, sql_matvec, sql_rotation
 from scanlake.functions.angles import clamp
 from scanlake.operators import images, scans, voxels
-from scanlake.sources import readers, shapes as fx
+from scanlake.session import scratch_table
+from scanlake.sources import readers, shapes as fx, sinks
 
 XYZ = ["x", "y", "z"]
 DAY = 86400.0
@@ -31,7 +32,10 @@ def flagship(spark, d):
     ("points",),
 )
 def read_points(spark, d):
-    return rounded(fx.points(spark, d), ["scan_id", "point_idx", "ring"], [*XYZ, "intensity", "t_rel"])
+    """All points, written in folders of scans and read back."""
+    path = scratch_table(spark, "points")
+    sinks.write_points(fx.points(spark, d), path)
+    return rounded(readers.read_points(spark, path), ["scan_id", "point_idx", "ring"], [*XYZ, "intensity", "t_rel"])
 
 
 @query(
@@ -295,6 +299,18 @@ def choose_noise(spark, d):
     return out.select("pose_id", *[r6(F.get("noise", i)).alias(f"noise{i}") for i in range(6)])
 
 
+@query(
+    "export_keyframes",
+    ORACLES["transform_points"],
+)
+def export_keyframes(spark, d):
+    """The exported cloud in the world frame, read back."""
+    path = scratch_table(spark, "keyframes")
+    sinks.write_keyframes(fx.keyframe_points(spark, d), fx.keyframes(spark, d), path)
+    back = spark.read.parquet(f"{path}/global").withColumn("vehicle_id", F.col("vehicle_id").cast("bigint"))
+    return rounded(back, ["vehicle_id", "kf_id", "point_idx"], XYZ)
+
+
 @query(
     "min_count",
     """SELECT vehicle_id, kf_id, point_idx FROM keyframe_points JOIN

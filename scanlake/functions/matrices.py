@@ -94,3 +94,28 @@ def rotation_from_cross(cross: Column) -> Column:
     cross-covariance (source rows, target columns), reflections excluded. Null where all points lie on
     a line, which leaves the turn about it open."""
     return F.pandas_udf(_rigid_from_cross, "array<double>")(cross)
+
+
+def rpy_matrices(angles: np.ndarray) -> np.ndarray:
+    """Rotations ``[row, 3, 3]`` of rows of roll, pitch, yaw."""
+    (cr, cp, cy), (sr, sp, sy) = np.cos(angles.T), np.sin(angles.T)
+    return np.stack(
+        [
+            np.stack([cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr], axis=1),
+            np.stack([sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr], axis=1),
+            np.stack([-sp, cp * sr, cp * cr], axis=1),
+        ],
+        axis=1,
+    )
+
+
+def rotation_exps(w: np.ndarray) -> np.ndarray:
+    """Rotations ``[row, 3, 3]`` of rows of rotation vectors."""
+    angle = np.sqrt((w * w).sum(axis=1))
+    safe = np.where(angle < 1e-10, 1.0, angle)
+    first = np.where(angle < 1e-10, 1.0, np.sin(safe) / safe)[:, None, None]
+    second = np.where(angle < 1e-10, 0.5, (1 - np.cos(safe)) / (safe * safe))[:, None, None]
+    cross = np.zeros((len(w), 3, 3))
+    cross[:, 2, 1], cross[:, 0, 2], cross[:, 1, 0] = w.T
+    cross -= cross.transpose(0, 2, 1)
+    return np.eye(3) + first * cross + second * (cross @ cross)

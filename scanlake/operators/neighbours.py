@@ -266,6 +266,14 @@ def weighted_neighbours(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def weighted_covariances(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Weighted mean of the neighbours' places and of their own covariances ``n_cxx..n_czz`` in ``radius_join`` pairs."""
+    w = F.col("w")
+    names = [*XYZ, *(f"c{a}{b}" for i, a in enumerate(XYZ) for b in XYZ[i:])]
+    sums = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), *[F.sum(w * F.col(f"n_{c}")).alias(c) for c in names])
+    return sums.select(*keys, "n", "w", *[(F.col(c) / F.col("w")).alias(f"m{c}" if c in XYZ else c) for c in names])
+
+
 def nearest_xy(
     queries: DataFrame, ground: DataFrame, keys: Sequence[str], query_id: str, point_id: str,
     cells: Sequence[float] = (2.0, 4.0, 8.0, 16.0),

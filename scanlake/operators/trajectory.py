@@ -6,15 +6,18 @@ Ordered steps go through the block-wise timeline helpers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanlake.functions.angles import wrap_angle
 from scanlake.functions.geometry import dist3, norm3
+from scanlake.functions.matrices import rotation_exps, rpy_matrices
 from scanlake.functions.poses import FIELDS, between, compose, from_columns, inverse
 from scanlake.operators.timeline import (
     HOUR, asof_join, block_of, last_known, number_rows, running_sum, seconds, with_previous,
@@ -267,6 +270,68 @@ def forecast_distance(
     return df.withColumn("horizon", horizon).withColumns(out)
 
 
+def forecast_local(df: DataFrame, ahead: Column) -> DataFrame:
+    """Full pose ``f_x..f_yaw`` after ``ahead`` seconds at the constant rates ``vx..vz, wroll..wyaw`` of the own frame.
+
+    The step is what the rates make of the time, angles wrapped, taken in the frame of the pose.
+    """
+    t = F.greatest(ahead, F.lit(0.0))
+    move = [t * F.col(f"v{c}") for c in XYZ]
+    turn = [wrap_angle(t * F.col(f"w{f}")) for f in FIELDS[3:]]
+    found = compose(_pose(), from_columns(*move, *turn)).fields()
+    return df.withColumns({f"f_{f}": v for f, v in found.items()})
+
+
+def forecast_path(df: DataFrame, dt: float, n: int, distance: float | None = None) -> DataFrame:
+    """The pose after each of up to ``n`` steps of ``dt`` at constant acceleration, a row per step ``k`` from 1.
+
+    Rows have ``x..yaw``, world velocity ``vx, vy, vz`` and acceleration ``ax, ay, az``, body turn rate ``wx, wy, wz`` and its
+    growth ``bx, by, bz``. In each step the attitude is turned on its right by the exponential of the step's mean rate.
+    Gives ``fx..fyaw`` and ``gone``, the length of the way so far. With ``distance`` the path ends with the step that
+    reaches it, or where a step doesn't move.
+    """
+    names = ["k", "fx", "fy", "fz", "froll", "fpitch", "fyaw", "gone"]
+    schema = T.StructType([*df.schema.fields, T.StructField("k", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in names[1:])])
+    reach = np.inf if distance is None else float(distance)
+
+    def paths(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def columns(*wanted: str) -> np.ndarray:
+            return np.column_stack([batch.column(c).cast(pa.float64()).fill_null(float("nan")).to_numpy() for c in wanted])
+
+        place, v, a = columns("x", "y", "z"), columns("vx", "vy", "vz"), columns("ax", "ay", "az")
+        turn, growth = columns("wx", "wy", "wz"), columns("bx", "by", "bz")
+        rotation = rpy_matrices(columns("roll", "pitch", "yaw"))
+        here, gone, going = place.copy(), np.zeros(len(place)), np.arange(len(place))
+        found: list[tuple] = []
+        for k in range(1, int(n) + 1):
+            t = k * float(dt)
+            new = place[going] + t * v[going] + 0.5 * t * t * a[going]
+            moved = np.sqrt(((new - here[going]) ** 2).sum(axis=1))
+            if distance is not None:
+                on = (gone[going] < reach) & (moved >= 1e-12)
+                going, new, moved = going[on], new[on], moved[on]
+            if not len(going):
+                break
+            rotation[going] = rotation[going] @ rotation_exps((turn[going] + (k - 0.5) * float(dt) * growth[going]) * float(dt))
+            here[going], gone[going] = new, gone[going] + moved
+            r = rotation[going]
+            angles = [np.arctan2(r[:, 2, 1], r[:, 2, 2]), np.arcsin(np.clip(-r[:, 2, 0], -1, 1)), np.arctan2(r[:, 1, 0], r[:, 0, 0])]
+            found.append((going, np.full(len(going), k), *new.T, *angles, gone[going]))
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 9
+        order = np.lexsort((cols[1], cols[0]))
+        rows = batch.take(pa.array(cols[0][order].astype(np.int64)))
+        added = [pa.array(cols[1][order], pa.int32()), *(pa.array(c[order].astype(float)) for c in cols[2:])]
+        return pa.RecordBatch.from_arrays([*rows.columns, *added], names=[*rows.schema.names, *names])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = max(1, 200_000 // max(1, int(n)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, some):
+                yield paths(batch.slice(at, some))
+
+    return df.mapInArrow(scan, schema)
+
+
 def to_local(df: DataFrame, future: str = "f_") -> DataFrame:
     """The pose with prefix ``future`` seen from the row's own pose, as ``l..`` columns."""
     local = between(_pose(), _pose(future)).fields()

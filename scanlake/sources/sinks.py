@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanlake.operators.graph import graph_lines, trajectory_lines
 from scanlake.operators.scans import transform_points
+from scanlake.sources.readers import DAY_FOLDER, POINT_SCHEMA, POSE_SCHEMA, SCAN_FOLDER, SCANS
 
 
 def write_keyframes(
@@ -28,6 +29,20 @@ def write_keyframes(
         sorted_.write.partitionBy(*keys).parquet(f"{path}/{name}")
 
 
+def write_points(points: DataFrame, path: str) -> None:
+    """Points in folders of ``SCANS`` scans, each sorted by scan, over as few files as their size asks for."""
+    placed = points.select(POINT_SCHEMA.names).withColumn(SCAN_FOLDER, F.floor(F.col("scan_id") / SCANS))
+    order = [SCAN_FOLDER, "scan_id", "point_idx"]
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(SCAN_FOLDER).parquet(path)
+
+
+def write_poses(poses: DataFrame, path: str) -> None:
+    """Odometry samples in a folder per day, sorted by vehicle and time."""
+    placed = poses.select(POSE_SCHEMA.names).withColumn(DAY_FOLDER, F.to_date("ts"))
+    order = [DAY_FOLDER, "vehicle_id", "ts"]
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(DAY_FOLDER).parquet(path)
+
+
 def write_trajectory(df: DataFrame, path: str, keys: Sequence[str] = ("vehicle_id",), ts: str = "ts") -> None:
     """Trajectory text in time order, one folder per vehicle.
 
