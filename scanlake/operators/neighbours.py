@@ -73,7 +73,7 @@ def knn_join(
 
     ``cells`` are growing cell sizes, each at most twice and at least 1.75 times the one before.
     With ``max_d`` only neighbours nearer than that count and the last size must reach it; without
-    it a query that no size settles looks at all points of its key. Ties go to the lower point id.
+    it a query that no size settles goes down from the whole extent to the cells in its reach. Ties go to the lower point id.
     ``exclude_self`` leaves out the point whose id equals the query's. ``complete`` drops queries
     with fewer than ``k`` neighbours. ``older_than`` = (column, gap) admits, for ``k`` = 1, only
     points whose column lies more than ``gap`` below the query's.
@@ -107,14 +107,17 @@ def knn_join(
     )
     q_dims = [F.col(f"_q{i}") for i in range(len(dims))]
 
-    def ranked(probes: DataFrame, on: list[str]) -> DataFrame:
+    def gridded_at(size: float) -> DataFrame:
+        return single.withColumns({g: F.floor(F.col(d) / F.lit(size)) for g, d in zip(grid, dims)})
+
+    def ranked(probes: DataFrame, on: list[str], against: DataFrame | None = None) -> DataFrame:
         d2 = sum(
             ((a - F.col(d)) * (a - F.col(d)) for a, d in zip(q_dims[1:], dims[1:])),
             (q_dims[0] - F.col(dims[0])) * (q_dims[0] - F.col(dims[0])),
         )
         # a merge join shuffles the multiplied probes by cell, so that their work is spread even
         # when both inputs are small enough to sit in one partition
-        right = (offered if "_level" in on else single).hint("merge")
+        right = (offered if against is None else against).hint("merge")
         pairs = probes.join(right, on).withColumn("d2", d2)
         if max_d is not None:
             pairs = pairs.where(F.col("d2") < float(max_d) ** 2)
@@ -167,6 +170,7 @@ def knn_join(
     started = asked.join(started, [*keys, "_q"], "left").withColumns(
         {"_level": F.coalesce("_level", F.lit(last)), "_sure": F.coalesce("_sure", F.lit(last))}
     )
+    started = cut(started)
 
     def size_at(level: Column) -> Column:
         return F.element_at(F.array(*[F.lit(float(s)) for s in cells]), F.least(level, F.lit(top - 1)) + 1)
@@ -193,11 +197,64 @@ def knn_join(
     )
     if max_d is None:
         never = started.where(F.col("_level") >= top).select(*asked.columns, "_level")
-        rest = again.where(F.col("_level") >= top).unionByName(never)
-        result = result.unionByName(ranked(rest.drop("_level"), keys), allowMissingColumns=True)
+        rest = cut(again.where(F.col("_level") >= top).unionByName(never).drop("_level"))
+        if not rest.isEmpty():
+            met = _cells_in_reach(rest, single, keys, dims, q_dims, need, float(cells[0]), older_than)
+            result = result.unionByName(ranked(met, [*keys, *grid], gridded_at(float(cells[0]))), allowMissingColumns=True)
     return final(result)
 
 
+def _cells_in_reach(
+    asked: DataFrame, points: DataFrame, keys: list[str], dims: list[str], q_dims: list[Column], need: int, size: float,
+    older_than: tuple[str, float] | None,
+) -> DataFrame:
+    """``asked``, once for each finest cell that can hold one of its ``need`` nearest points.
+
+    Cells are rolled up, two by two each way, until one cell spans all, each with the box and the number of its
+    points. From there the search goes down: a query keeps the cells whose box is no further than the distance within
+    which boxes with enough points lie wholly, and meets only the parts of those. So a query far from all points
+    meets few cells a level, not all points of its key.
+    """
+    grid = [f"_c{i}" for i in range(len(dims))]
+    at = [*keys, *grid]
+    age = [F.min(older_than[0]).alias("_young"), F.max(older_than[0]).alias("_old")] if older_than else []
+    fine = points.withColumns({g: F.floor(F.col(d) / F.lit(size)) for g, d in zip(grid, dims)}).groupBy(*at)
+    box = [x for d in dims for x in (F.min(d).alias(f"_lo_{d}"), F.max(d).alias(f"_hi_{d}"))]
+    levels = [cut(fine.agg(F.count(F.lit(1)).alias("_n"), *box, *age))]
+    again = [x for d in dims for x in (F.min(f"_lo_{d}").alias(f"_lo_{d}"), F.max(f"_hi_{d}").alias(f"_hi_{d}"))]
+    again += [F.min("_young").alias("_young"), F.max("_old").alias("_old")] if older_than else []
+    span = levels[0].agg(*[(F.max(g) - F.min(g)).alias(g) for g in grid]).first()
+    for _ in range(max(int(v or 0) for v in span).bit_length()):
+        halved = levels[-1].withColumns({g: F.floor(F.col(g) / 2) for g in grid})
+        levels.append(halved.groupBy(*at).agg(F.sum("_n").alias("_n"), *again))
+
+    def squared(gaps: list[Column]) -> Column:
+        return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+
+    def kept(met: DataFrame) -> DataFrame:
+        low = squared([F.greatest(F.col(f"_lo_{d}") - q, q - F.col(f"_hi_{d}"), F.lit(0.0)) for q, d in zip(q_dims, dims)])
+        high = squared([F.greatest(q - F.col(f"_lo_{d}"), F.col(f"_hi_{d}") - q) for q, d in zip(q_dims, dims)])
+        held: Column = F.col("_n")
+        if older_than:
+            limit = F.col("_qage") - float(older_than[1])
+            met = met.where(F.col("_young") < limit)
+            held = F.when(F.col("_old") < limit, held).otherwise(0)
+        met = met.withColumns({"_near": low, "_far": high}).withColumn("_held", held)
+        nearer = Window.partitionBy(*keys, "_q").orderBy("_far").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = met.withColumn("_upto", F.sum("_held").over(nearer))
+        reach = F.min(F.when(F.col("_upto") >= need, F.col("_far"))).over(Window.partitionBy(*keys, "_q"))
+        return whole.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * (1 + 1e-12)))
+
+    top = levels.pop()
+    met = kept(asked.join(top, keys)).select(*asked.columns, *grid)
+    while levels:
+        finer = levels.pop()
+        parts = finer.withColumns({f"_p{i}": F.floor(F.col(g) / 2) for i, g in enumerate(grid)})
+        above = met.withColumnsRenamed({g: f"_p{i}" for i, g in enumerate(grid)})
+        met = kept(above.join(parts, [*keys, *(f"_p{i}" for i in range(len(grid)))])).select(*asked.columns, *grid)
+    return met
+
+
 def knn_self(
     df: DataFrame, keys: Sequence[str], k: int, point_id: str, cells: Sequence[float], **options
 ) -> DataFrame:
