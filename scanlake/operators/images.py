@@ -24,14 +24,16 @@ def first_hit(
     maximum: float = 100.0,
     rate: int = 1,
 ) -> DataFrame:
-    """The range image as sparse rows (scan, ring, column): the first point to hit a pixel wins."""
+    """The range image as sparse rows (scan, ring, column): the first point to hit a pixel wins.
+
+    Every direction has a column from 0 to ``horizon - 1``, so columns need no check, which would compute them twice.
+    """
     rng = norm3(F.col("x"), F.col("y"), F.col("z"))
     col = image_column(F.col("x"), F.col("y"), horizon)
     kept = (
         points.where(rng.between(minimum, maximum))
         .where(F.col("ring").between(0, n_rings - 1) & (F.col("ring") % rate == 0))
         .withColumns({"rng": rng, "col": col})
-        .where(F.col("col").between(0, horizon - 1))
     )
     values = [c for c in kept.columns if c not in ("scan_id", "ring", "col", "point_idx")]
     return kept.groupBy("scan_id", "ring", "col").agg(
