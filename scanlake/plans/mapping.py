@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from scanlake.functions.poses import FIELDS
 from scanlake.operators import fits, neighbours as nb
 from scanlake.operators.scans import transform_points
 from scanlake.operators.voxels import voxel_downsample
-from scanlake.session import cut
+from scanlake.session import Rounds
 
 XYZ = ("x", "y", "z")
 UNKNOWNS = ("roll", "pitch", "yaw", "x", "y", "z")
@@ -27,32 +25,36 @@ def _step(keys: list[str], threshold: float, min_matches: int, rot_eps: float, t
 
     def run(batches):
         for pdf in batches:
-            out = pdf[[*keys, *FIELDS, "settled", "projection", "rounds", "degenerate"]].copy()
-            for row in range(len(pdf)):
-                at, one = out.index[row], pdf.iloc[row]
-                out.loc[at, "rounds"] += 1
-                if not one["n"] >= min_matches:
-                    out.loc[at, "settled"] = True
-                    continue
-                h = np.zeros((6, 6))
+            out = pdf[[*keys, *FIELDS, "settled", "projection", "rounds", "degenerate"]].reset_index(drop=True)
+            out["rounds"] += 1
+            enough = pdf["n"].to_numpy(float) >= min_matches
+            settled, degenerate = ~enough, out["degenerate"].to_numpy(bool).copy()
+            rows = np.flatnonzero(enough)
+            if len(rows):
+                some = pdf.iloc[rows]
+                h = np.zeros((len(rows), 6, 6))
                 for i, j in upper:
-                    h[i, j] = h[j, i] = one[f"h{i}{j}"]
-                x = np.linalg.lstsq(h, np.array([one[f"g{i}"] for i in range(6)]), rcond=None)[0]
-                if one["projection"] is None:
-                    values, vectors = np.linalg.eigh(h)
-                    strong = np.logical_or.accumulate(values >= threshold)
-                    p = (vectors * strong) @ vectors.T
-                    out.loc[at, "degenerate"] = bool(not strong.all())
-                    out.at[at, "projection"] = list(p.reshape(-1))
-                else:
-                    p = np.asarray(one["projection"], dtype=float).reshape(6, 6)
-                x = p @ x
-                for name, value in zip(UNKNOWNS, x):
-                    out.loc[at, name] += value
-                turn = math.degrees(float(np.linalg.norm(x[:3])))
-                shift = 100 * float(np.linalg.norm(x[3:]))
-                out.loc[at, "settled"] = bool(turn < rot_eps and shift < trans_eps)
-            yield out
+                    h[:, i, j] = h[:, j, i] = some[f"h{i}{j}"].to_numpy(float)
+                g = some[[f"g{i}" for i in range(6)]].to_numpy(float)
+                x = (np.linalg.pinv(h, rcond=6 * np.finfo(float).eps, hermitian=True) @ g[..., None])[..., 0]
+                values, vectors = np.linalg.eigh(h)
+                strong = np.logical_or.accumulate(values >= threshold, axis=1)
+                fresh = some["projection"].isna().to_numpy()
+                p = (vectors * strong[:, None, :]) @ vectors.transpose(0, 2, 1)
+                for k in np.flatnonzero(~fresh):
+                    p[k] = np.asarray(some["projection"].iloc[k], float).reshape(6, 6)
+                degenerate[rows[fresh]] = ~strong[fresh].all(axis=1)
+                x = (p @ x[..., None])[..., 0]
+                places = np.full((len(pdf), 36), np.nan)
+                places[rows] = p.reshape(-1, 36)
+                out["projection"] = [list(v) if e else w for v, e, w in zip(places, enough, out["projection"])]
+                for k, name in enumerate(UNKNOWNS):
+                    column = out[name].to_numpy(float).copy()
+                    column[rows] += x[:, k]
+                    out[name] = column
+                turn, shift = np.degrees(np.linalg.norm(x[:, :3], axis=1)), 100 * np.linalg.norm(x[:, 3:], axis=1)
+                settled[rows] = (turn < rot_eps) & (shift < trans_eps)
+            yield out.assign(settled=settled, degenerate=degenerate)
 
     return run
 
@@ -106,18 +108,16 @@ def refine_to_map(
         attitude = poses.select(*keys, "roll", "pitch", "yaw")
         return hits.join(cloud.select(*keys, point_id, *XYZ), [*keys, point_id]).join(attitude, keys)
 
-    done = None
+    steps = Rounds(guesses.sparkSession, "refine")
     for _ in range(rounds):
         both = matched(edges, edge_map, state, False).unionByName(matched(surfaces, surface_map, state, True))
         sums = fits.normal_eq_map(both, keys)
         joined = state.join(sums.select(*keys, "n", *names), keys, "left")
-        stepped = cut(joined.mapInPandas(_step(keys, threshold, min_matches, rot_eps, trans_eps), schema))
-        left = stepped.where("settled")
-        done = left if done is None else done.unionByName(left)
+        stepped = steps.add(joined.mapInPandas(_step(keys, threshold, min_matches, rot_eps, trans_eps), schema))
         state = stepped.where("not settled")
         if state.isEmpty():
             break
-    result = done.unionByName(state).drop("projection")
+    result = steps.all().where("settled").unionByName(state).drop("projection")
     if rotation_limit is not None:
         result = result.withColumns({c: clamp(F.col(c), rotation_limit) for c in ("roll", "pitch")})
     if z_limit is not None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scanlake.operators import fits, registration as reg
 from scanlake.operators.voxels import polar_voxel_map, voxel_map
-from scanlake.session import cut
+from scanlake.session import Rounds, cut
 
 NAMES = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["t0", "t1", "t2"]
 STATE = "pair_id bigint, " + ", ".join(f"{n} double" for n in NAMES) + ", damping double, settled boolean, rounds int"
@@ -25,17 +25,14 @@ def _rows(df: pd.DataFrame) -> np.ndarray:
 def _rotate(eps: float):
     def run(batches):
         for pdf in batches:
-            out = pdf[["pair_id", *NAMES, "damping", "settled", "rounds"]].copy()
-            for row, v in zip(range(len(pdf)), _rows(pdf)):
-                v, lam, settled = reg.rotation_step(
-                    np.asarray(pdf["moments"].iloc[row], dtype=float), v.reshape(-1), float(pdf["damping"].iloc[row]), eps
-                )
-                v = v.reshape(3, 4)
-                out.loc[out.index[row], NAMES] = [*v[:, :3].reshape(-1), *v[:, 3]]
-                out.loc[out.index[row], "damping"] = lam
-                out.loc[out.index[row], "settled"] = settled
-            out["rounds"] += 1
-            yield out
+            pairs = zip(pdf["moments"], _rows(pdf), pdf["damping"].to_numpy(float).tolist())
+            found = [reg.rotation_step(np.asarray(m, float), v.reshape(-1), lam, eps) for m, v, lam in pairs]
+            flat = np.array([v for v, _, _ in found], float).reshape(-1, 3, 4)
+            moved = np.concatenate([flat[:, :, :3].reshape(-1, 9), flat[:, :, 3]], axis=1)
+            yield pd.DataFrame(moved, columns=NAMES).assign(
+                pair_id=pdf["pair_id"].to_numpy(), damping=[float(lam) for _, lam, _ in found], settled=[bool(s) for _, _, s in found],
+                rounds=pdf["rounds"].to_numpy() + 1,
+            )[["pair_id", *NAMES, "damping", "settled", "rounds"]]
 
     return run
 
@@ -83,19 +80,17 @@ def register_pairs(
         "pair_id", *[v.alias(n) for n, v in identity.items()], *[F.col(f"g{i}").alias(f"t{i}") for i in range(3)],
         F.lit(-1.0).alias("damping"), F.lit(False).alias("settled"), F.lit(0).alias("rounds"),
     )
-    done = None
+    steps = Rounds(points.sparkSession, "register")
     for _ in range(rounds):
         matches = reg.correspondences(source, target, state, ["pair_id"], size, offsets)
         moments = reg.pair_moments(matches, ["pair_id"])
         stepped = state.join(moments, "pair_id").mapInPandas(_rotate(rotation_eps), STATE)
         lost = state.join(moments, "pair_id", "left_anti").withColumn("settled", F.lit(True))
-        stepped = cut(stepped.unionByName(lost))
-        left = stepped.where("settled")
-        done = left if done is None else done.unionByName(left)
+        stepped = steps.add(stepped.unionByName(lost))
         state = stepped.where("not settled")
         if state.isEmpty():
             break
-    rotated = done.unionByName(state)
+    rotated = steps.all().where("settled").unionByName(state)
 
     matches = reg.correspondences(source, target, rotated, ["pair_id"], size, offsets)
     moments = reg.pair_moments(matches, ["pair_id"])
@@ -103,15 +98,14 @@ def register_pairs(
 
     def shift(batches):
         for pdf in batches:
-            out = pdf[["pair_id", *NAMES, "rounds"]].copy()
-            for row, v in zip(range(len(pdf)), _rows(pdf)):
-                get = lambda *names, row=row: pdf[list(names)].iloc[row].to_numpy(dtype=float)
-                t = reg.translation_solve(
-                    np.asarray(pdf["moments"].iloc[row], dtype=float), float(pdf["n"].iloc[row]), v.reshape(-1),
-                    v[:, 3], get("l0", "l1", "l2"), *get("dt", "last_dt"), strength, translation_eps,
-                )
-                out.loc[out.index[row], ["t0", "t1", "t2"]] = v[:, 3] + t
-            yield out
+            last, times = pdf[["l0", "l1", "l2"]].to_numpy(float), pdf[["dt", "last_dt"]].to_numpy(float).tolist()
+            counts = pdf["n"].to_numpy(float).tolist()
+            moved = [
+                v[:, 3] + reg.translation_solve(np.asarray(m, float), n, v.reshape(-1), v[:, 3], l, *dts, strength, translation_eps)
+                for m, n, v, l, dts in zip(pdf["moments"], counts, _rows(pdf), last, times)
+            ]
+            moved = np.array(moved, float).reshape(-1, 3)
+            yield pdf[["pair_id", *NAMES, "rounds"]].assign(t0=moved[:, 0], t1=moved[:, 1], t2=moved[:, 2])
 
     solved = rotated.join(moments, "pair_id").join(extra, "pair_id").mapInPandas(
         shift, "pair_id bigint, " + ", ".join(f"{n} double" for n in NAMES) + ", rounds int"

@@ -57,6 +57,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Tables of an iterative job, one folder a round below one path, which are read together at the end.
+
+    So the plan of the result doesn't grow with the rounds.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.written = spark, scratch_table(spark, name), 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """``df``, written as the next round and read back."""
+        path = f"{self.path}/round={self.written}"
+        df.write.parquet(path)
+        self.written, self.schema = self.written + 1, df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds."""
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/round={r}" for r in range(self.written)])
+
+
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder for a table written in rounds."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
