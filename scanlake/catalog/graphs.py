@@ -75,7 +75,15 @@ def select_keyframes(spark, d):
     return selection.select_keyframes(front, V, 15.0, 2.5, width=fx.FOLD_BLOCK).select("pose_id")
 
 
-@query("sampled_path")
+@query(
+    "sampled_path",
+    """WITH RECURSIVE k(vehicle_id, t) AS (SELECT vehicle_id, min(t) FROM poses GROUP BY 1
+UNION ALL SELECT k.vehicle_id, min(p.t) FROM k JOIN poses p ON p.vehicle_id = k.vehicle_id AND p.t > k.t + 21600 GROUP BY 1),
+thin AS (SELECT p.* FROM k JOIN poses p USING (vehicle_id, t))
+SELECT a.pose_id, string_agg(CAST(b.pose_id AS VARCHAR), ',' ORDER BY b.t) AS path FROM thin a JOIN thin b
+ON a.vehicle_id = b.vehicle_id AND b.t BETWEEN a.t - 172800 AND a.t GROUP BY 1""",
+    ("poses",),
+)
 def sampled_path(spark, d):
     """Trailing path over a thinned feed: a pose joins only when enough time passed."""
     from scanlake.operators.trajectory import recent_path
