@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanlake.operators.timeline import number_rows
+from scanlake.session import cut
 
 BLOCK = 10 * 86400.0
 """Seconds per timeline block for the sparse fixture feeds (hours between samples)."""
@@ -78,16 +79,17 @@ def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyframe_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every point, dealt in turn to the keyframes of the vehicle that its order's number selects.
 
-    So each keyframe of each vehicle has a cloud, and each point a keyframe.
+    So each keyframe of each vehicle has a cloud, and each point a keyframe. Written once, as queries read it several times.
     """
     feed = poses(spark, sf_dir)
     vehicles = feed.agg(F.max("vehicle_id") + 1).first()[0]
     sizes = feed.where(F.col("source") == "front").groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("_n"))
     dealt = points(spark, sf_dir).withColumn("vehicle_id", F.expr(f"point_idx div 8000000000 % {vehicles}"))
     turn = F.row_number().over(Window.partitionBy("vehicle_id").orderBy("point_idx", "x", "y")) - 1
-    return dealt.withColumn("_turn", turn).join(sizes, "vehicle_id").select(
+    clouds = dealt.withColumn("_turn", turn).join(sizes, "vehicle_id").select(
         "vehicle_id", (F.col("_turn") % F.col("_n")).cast("bigint").alias("kf_id"), "point_idx", "ring", "x", "y", "z", "intensity",
     )
+    return cut(clouds)
 
 
 def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
