@@ -29,8 +29,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of five-word shingles), that of the smallest id."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each group of near copies, that of the smallest id.
+
+    Documents are linked by fingerprints within 3 bits, as in ``op8_simhash``, and by 0.8 of five-word shingles.
+    """
+    return near_copies.drop_near_copies(docs, bits=3)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Words are runs of bytes between white space, in lower case (ASCII). Documents of one set of shingles
 count as one. Each distinct set has MinHash values in bands; sets that agree in a band meet, and their
 similarity is counted exactly before they are linked. As with lines, a band of many sets is dealt
-into blocks, each pair of blocks is one row of one task, and a star per component leaves it.
+into blocks, each pair of blocks is one row of one task, and a star per component leaves it. With
+``bits`` the fingerprints of ``simhash`` are joined by their trie too, and both kinds of links make one graph.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanlake.llm import simhash
 from scanlake.llm.common import append, components, forest, in_batches, text_bytes
 from scanlake.session import cut
 
@@ -59,24 +61,26 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 
 
-def _scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, text_hash, set, n, bands``: the hash and size of each row's set, and its bands."""
+def _scanned(docs: DataFrame, key: str, text: str, marked: bool = False) -> DataFrame:
+    """``key, text_hash, set, n, bands``: the hash and size of each row's set, and its bands; if ``marked`` also ``fp``, its fingerprint."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, sizes, bands = [], [], []
+            sets, sizes, bands, marks = [], [], [], []
             for raw in text_bytes(batch, text):
+                if marked:
+                    marks.append(simhash.fingerprint_of(raw))
                 found = shingles_of(raw)
                 sets.append(xxhash.xxh64_intdigest(found.tobytes(), 7))
                 sizes.append(len(found))
                 bands.append(bands_of(found))
             yield append(
                 batch.select([key, "text_hash"]), set=pa.array(np.array(sets, np.uint64).view(np.int64)), n=pa.array(sizes, pa.int64()),
-                bands=pa.array(bands, pa.list_(pa.int64())),
+                bands=pa.array(bands, pa.list_(pa.int64())), **({"fp": pa.array(np.array(marks, np.uint64).view(np.int64))} if marked else {}),
             )
 
     hashed = docs.select(key, F.xxhash64(text).alias("text_hash"), text)
-    schema = T.StructType([*hashed.schema[:2], *T._parse_datatype_string("set long, n long, bands array<long>")])
+    schema = T.StructType([*hashed.schema[:2], *T._parse_datatype_string("set long, n long, bands array<long>" + (", fp long" if marked else ""))])
     return hashed.transform(in_batches, scan, schema)
 
 
@@ -170,14 +174,30 @@ def near_links(sets: DataFrame, docs: DataFrame, text: str, threshold: float) ->
     return met.transform(in_batches, compare, "a long, b long")
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+def _fingerprint_links(narrow: DataFrame, bits: int) -> DataFrame:
+    """Links ``a, b`` between sets and fingerprints: rows hold both, and fingerprints within ``bits`` are linked."""
+    vertex = F.xxhash64(F.lit("fp"), F.col("fp"))
+    fps = cut(narrow.groupBy("fp").agg(F.min("set").alias("low"), F.max("set").alias("high")))
+    links = cut(simhash.near_links(fps.select("fp"), bits))
+    met = links.select(F.col("a").alias("fp")).union(links.select("b")).union(fps.where(F.col("low") < F.col("high")).select("fp")).distinct()
+    own = narrow.join(met, "fp", "left_semi").select(F.col("set").alias("a"), vertex.alias("b")).distinct()
+    ends = [F.xxhash64(F.lit("fp"), F.col(c)).alias(c) for c in ("a", "b")]
+    return links.select(*ends).union(own)
+
+
+def drop_near_copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, bits: int | None = None
+) -> DataFrame:
     """``docs`` with one row of each group linked over any number of steps: that of the smallest key (null keys come last).
 
-    Texts without a word are one group.
+    Texts without a word are one group. ``bits`` also links rows whose fingerprints differ in no more bits.
     """
-    narrow = cut(_scanned(docs, key, text))
+    narrow = cut(_scanned(docs, key, text, bits is not None))
     sets = cut(narrow.groupBy("set").agg(F.min(F.struct("text_hash", "n", "bands")).alias("x")).select("set", "x.*"))
-    roots = components(near_links(sets, docs, text, threshold)).select(F.col("vertex").alias("set"), "root")
+    links = near_links(sets, docs, text, threshold)
+    if bits is not None:
+        links = links.union(_fingerprint_links(narrow, bits))
+    roots = components(links).select(F.col("vertex").alias("set"), "root")
     kept = (
         narrow.drop("bands").join(roots, "set", "left")
         .groupBy(F.coalesce("root", "set").alias("group"))

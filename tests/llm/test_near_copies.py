@@ -59,3 +59,15 @@ def test_awkward_rows(spark):
     got = near_copies.drop_near_copies(awkward(spark))
     ids = sorted(r.doc_id for r in got.collect() if r.doc_id is not None)
     assert ids[:2] == [1, 3] and got.columns == awkward(spark).columns
+
+
+def test_the_pipeline_links_by_fingerprint_too(spark):
+    """Texts of one long repeated passage have one fingerprint, but few five-word shingles in common; links of both kinds chain."""
+    import corpus_pipeline
+
+    words = " ".join(f"w{k}" for k in range(41))
+    texts = [" ".join([words] * 50 + [f"{name}{k}" for k in range(60)]) for name in "ab"]
+    texts += [texts[1] + " more", "another text of a few words only"]
+    docs = spark.createDataFrame([(k + 1, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == [1, 2, 4]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == [1, 4]
