@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanlake.functions.matrices import rotation_exps
 from scanlake.functions.poses import FIELDS
 from scanlake.operators import trajectory as tr
 from scanlake.operators.folds import Fold, chained_fold
@@ -127,6 +128,97 @@ class PoseFilter:
         return True
 
 
+def _logs(r: np.ndarray) -> np.ndarray:
+    """``rotation_log`` of a stack; the few near half a turn go one by one."""
+    cos = np.clip((np.trace(r, axis1=1, axis2=2) - 1) / 2, -1.0, 1.0)
+    axis = np.stack([r[:, 2, 1] - r[:, 1, 2], r[:, 0, 2] - r[:, 2, 0], r[:, 1, 0] - r[:, 0, 1]], axis=1)
+    sin = np.linalg.norm(axis, axis=1) / 2
+    scale = np.where(sin > 1e-9, np.arctan2(sin, cos) / np.maximum(2 * sin, 1e-300), 0.5)
+    out = axis * scale[:, None]
+    for i in np.flatnonzero((sin <= 1e-9) & (cos <= 0)):
+        out[i] = rotation_log(r[i])
+    return out
+
+
+def _right_jacobians(w: np.ndarray) -> np.ndarray:
+    """``_right_jacobian`` of a stack."""
+    theta = np.linalg.norm(w, axis=1)
+    k = np.zeros((len(w), 3, 3))
+    k[:, 0, 1], k[:, 0, 2], k[:, 1, 2] = -w[:, 2], w[:, 1], -w[:, 0]
+    k -= k.transpose(0, 2, 1)
+    small = theta < 1e-8
+    safe = np.where(small, 1.0, theta)
+    first = np.where(small, 0.5, (1 - np.cos(safe)) / safe**2)
+    second = np.where(small, 0.0, (safe - np.sin(safe)) / safe**3)
+    return np.eye(3) - first[:, None, None] * k + second[:, None, None] * (k @ k)
+
+
+class PoseFilters:
+    """Many pose filters, each as ``PoseFilter``, that take a sample each at once."""
+
+    def __init__(self, options: SmoothOptions, states: Sequence[np.ndarray | None]):
+        self.o, n = options, len(states)
+        self.t = np.full(n, np.nan)
+        self.p, self.r, self.x, self.cov = np.zeros((n, 3)), np.zeros((n, 3, 3)), np.zeros((n, 4, 3)), np.zeros((n, 18, 18))
+        known = [i for i, s in enumerate(states) if s is not None]
+        if known:
+            s = np.array([states[i] for i in known], float)
+            self.t[known], self.p[known], self.r[known] = s[:, 0], s[:, 1:4], s[:, 4:13].reshape(-1, 3, 3)
+            self.x[known], self.cov[known] = s[:, 13:25].reshape(-1, 4, 3), s[:, 25:].reshape(-1, 18, 18)
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.t[:, None], self.p, *(v.reshape(len(self.t), -1) for v in (self.r, self.x, self.cov))], axis=1)
+
+    def take(self, at: np.ndarray, t: np.ndarray, p: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Feeds one sample to each of the filters ``at``; whether each was later than its last one."""
+        with np.errstate(invalid="ignore"):
+            gap = t - self.t[at]
+            new = np.isnan(self.t[at]) | (gap > self.o.max_dt)
+            on = ~new & (gap > 0)
+        begun = at[new]
+        self.t[begun], self.p[begun], self.r[begun], self.x[begun] = t[new], p[new], r[new], 0.0
+        self.cov[begun] = np.diag(np.repeat(np.square(self.o.start), 3))
+        if on.any():
+            self._step(at[on], gap[on], p[on], r[on])
+            self.t[at[on]] = t[on]
+        return new | on
+
+    def _step(self, at: np.ndarray, dt: np.ndarray, p: np.ndarray, r: np.ndarray) -> None:
+        o, n, i3 = self.o, len(at), np.eye(3)
+        x, d, dd = self.x[at], dt[:, None], dt[:, None, None]
+        v, w, a, b = (x[:, i] for i in range(4))
+        turn = (w + 0.5 * d * b) * d
+        jac = _right_jacobians(turn)
+        f = np.broadcast_to(np.eye(18), (n, 18, 18)).copy()
+        f[:, 0:3, 6:9], f[:, 0:3, 12:15] = dd * i3, 0.5 * dd * dd * i3
+        f[:, 3:6, 3:6], f[:, 3:6, 9:12], f[:, 3:6, 15:18] = rotation_exps(-turn), dd * jac, 0.5 * dd * dd * jac
+        f[:, 6:9, 12:15] = f[:, 9:12, 15:18] = dd * i3
+        prior_p = self.p[at] + (v + 0.5 * d * a) * d
+        prior_r = self.r[at] @ rotation_exps(turn)
+        prior_x = x + np.stack([a, b, np.zeros((n, 3)), np.zeros((n, 3))], axis=1) * dd
+        cov = f @ self.cov[at] @ f.transpose(0, 2, 1)
+        some = np.arange(12, 18)
+        cov[:, some, some] += np.square(d * np.repeat([o.linear_jerk, o.angular_jerk], 3))
+        noise = np.diag(np.repeat(np.square([o.position, o.rotation]), 3))
+        gain = np.linalg.solve(cov[:, :6, :6] + noise, cov[:, :6, :]).transpose(0, 2, 1)
+        moved, left = np.zeros((n, 18)), np.arange(n)
+        for _ in range(o.iterations):
+            here_p, here_r = prior_p[left] + moved[left, :3], prior_r[left] @ rotation_exps(moved[left, 3:6])
+            off = np.concatenate([p[left] - here_p, _logs(here_r.transpose(0, 2, 1) @ r[left])], axis=1)
+            after = np.einsum("nij,nj->ni", gain[left], off + moved[left, :6])
+            change = np.abs(after - moved[left]).max(axis=1)
+            moved[left] = after
+            left = left[~(change < o.limit)]
+            if not len(left):
+                break
+        self.p[at], self.r[at] = prior_p + moved[:, :3], prior_r @ rotation_exps(moved[:, 3:6])
+        self.x[at] = prior_x + moved[:, 6:].reshape(-1, 4, 3)
+        keep = np.broadcast_to(np.eye(18), (n, 18, 18)).copy()
+        keep[:, :, :6] -= gain
+        cov = keep @ cov @ keep.transpose(0, 2, 1) + gain @ noise @ gain.transpose(0, 2, 1)
+        self.cov[at] = 0.5 * (cov + cov.transpose(0, 2, 1))
+
+
 SEGMENTS_PER_GROUP = 8
 
 SMOOTH_FIELDS = [f"s_{f} double" for f in (*FIELDS, "vx", "vy", "vz", "wx", "wy", "wz")] + ["used boolean"]
@@ -147,7 +239,25 @@ def smooth_fold(options: SmoothOptions):
                 out[i, :12] = [*kf.p, *_rpy(kf.r), *kf.x[0], *kf.x[1]]
         return out, kf.packed()
 
-    return Fold(FIELDS, SMOOTH_FIELDS, run)
+    def many(times: np.ndarray, rows: np.ndarray, starts: np.ndarray, states: list[np.ndarray | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+        r, p = _matrices(rows)
+        filters = PoseFilters(options, states)
+        out = np.full((len(rows), 13), np.nan)
+        sizes = np.diff(starts, append=len(rows))
+        for i in range(int(sizes.max(initial=0))):
+            runs = np.flatnonzero(sizes > i)
+            at = starts[runs] + i
+            used = filters.take(runs, times[at], p[at], r[at])
+            out[at, 12] = used
+            at, runs = at[used], runs[used]
+            turned = filters.r[runs]
+            attitude = np.stack(
+                [np.arctan2(turned[:, 2, 1], turned[:, 2, 2]), np.arcsin(np.clip(-turned[:, 2, 0], -1, 1)), np.arctan2(turned[:, 1, 0], turned[:, 0, 0])], axis=1
+            )
+            out[at, :12] = np.concatenate([filters.p[runs], attitude, filters.x[runs, 0], filters.x[runs, 1]], axis=1)
+        return out, list(filters.packed())
+
+    return Fold(FIELDS, SMOOTH_FIELDS, run, many)
 
 
 def smooth(

@@ -145,3 +145,21 @@ def test_accumulate_calls_no_function_per_group(spark, drive):
     steps = tr.relative_pose(drive, ["vehicle_id"], width=10.0)
     plan = tr.accumulate(steps, ["vehicle_id"], "pose_id", width=10.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroups" not in plan
+
+
+def test_many_filters_at_once_are_those_one_by_one():
+    """Runs of several lengths with gaps, repeated times, half turns and states that come in."""
+    rng = np.random.default_rng(8)
+    fold = fusion.smooth_fold(fusion.SmoothOptions(max_dt=2.0))
+    sizes = np.array([1, 7, 30, 4, 12])
+    starts = np.cumsum(sizes) - sizes
+    t = np.concatenate([np.cumsum(rng.choice([0.0, 0.1, 0.5, 3.0], n)) for n in sizes])
+    rows = np.column_stack([rng.normal(0, 3, (len(t), 3)), rng.uniform(-0.5, 0.5, (len(t), 2)), rng.uniform(-3.1, 3.1, len(t))])
+    rows[9, 3:], rows[10, 3:] = [0, 0, 0], [0, 0, np.pi]
+    first = fold.run(np.array([-0.4]), rows[:1], None)[1]
+    states = [None, first, None, None, first]
+    out, after = fold.many(t, rows, starts, states)
+    for begin, size, state, left in zip(starts, sizes, states, after):
+        want, leaving = fold.run(t[begin : begin + size], rows[begin : begin + size], state)
+        assert np.allclose(out[begin : begin + size], want, atol=1e-7, equal_nan=True)
+        assert np.allclose(left, leaving, atol=1e-7)
