@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scanlake.catalog.registry import q6, query, r6, rounded
 from scanlake.functions import vectors
 from scanlake.operators import places
+from scanlake.session import cut
 from scanlake.sources import shapes as fx
 
 _DESC = """d AS (SELECT scan_id, CAST(greatest(least(ceil(sqrt(x*x + y*y) / 80 * 20), 20), 1) - 1 AS INTEGER) AS ring,
@@ -69,7 +70,7 @@ def sector_key(spark, d):
 
 
 def _candidates(spark, d):
-    sparse = descriptors(spark, d)
+    sparse = cut(descriptors(spark, d))
     return sparse, places.descriptor_knn(places.ring_key(sparse), [], 3, 3)
 
 

@@ -34,7 +34,7 @@ def mine_by_descriptor(
     sector = places.sector_key(sparse, at).select(whole.alias("item"), "key")
     other = F.struct(*[F.col(c) for c in keys], F.col(f"n_{item}").alias(item)) if keys else F.col(f"n_{item}")
     pairs = near.select(whole.alias(a), other.alias(b))
-    aligned = cut(places.align_pairs(pairs, sector, a, b, "item"))
+    aligned = places.align_pairs(pairs, sector, a, b, "item")
     scored = places.shifted_distance(aligned, named, a, b, "item")
     best = places.best_loop(scored, a, b, threshold)
     out = [F.col(f"{a}.{c}").alias(c) for c in at] if keys else [F.col(a).alias(item)]
