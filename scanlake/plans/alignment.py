@@ -49,11 +49,11 @@ def align_clouds(
     turn = [F.col(yaw).cast("double").alias("_yaw")] if yaw else [F.lit(0.0).alias("_yaw")]
     wanted = pairs.select(*at, *turn).dropDuplicates(at)
     parts = wanted.groupBy(*target_on).agg(F.ceil(F.count(F.lit(1)) / together).alias("_parts"))
-    dealt = wanted.join(parts, target_on).withColumn("_part", F.pmod(F.xxhash64(*at), F.col("_parts")).cast("int")).drop("_parts")
+    dealt = wanted.join(parts.hint("merge"), target_on).withColumn("_part", F.pmod(F.xxhash64(*at), F.col("_parts")).cast("int")).drop("_parts")
     point = [F.col(point_id).alias("_point"), *[F.col(c).cast("double").alias(c) for c in XYZ]]
-    from_source = source.join(dealt, source_on).select(*at, "_part", F.lit(1).alias("_kind"), "_yaw", *point)
-    used = dealt.join(source.select(*source_on).distinct(), source_on, "left_semi").select(*target_on, "_part").distinct()
-    to_target = target.join(used, target_on).select(
+    from_source = source.join(dealt.hint("merge"), source_on).select(*at, "_part", F.lit(1).alias("_kind"), "_yaw", *point)
+    used = dealt.join(source.select(*source_on).distinct().hint("merge"), source_on, "left_semi").select(*target_on, "_part").distinct()
+    to_target = target.join(used.hint("merge"), target_on).select(
         *[(F.col(c) if c in target_on else F.lit(0).cast(pairs.schema[c].dataType)).alias(c) for c in at],
         "_part", F.lit(0).alias("_kind"), F.lit(0.0).alias("_yaw"), *point,
     )

@@ -57,3 +57,17 @@ def test_best_shifts_in_batches_are_those_one_by_one(spark):
     rows = [(rng.integers(0, 2, 60).astype(float).tolist(), rng.integers(0, 2, 60).astype(float).tolist()) for _ in range(50)]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>")
     assert df.where(best_shift(F.col("a"), F.col("b")) != best_shifts(F.col("a"), F.col("b"))).count() == 0
+
+
+def test_multiplied_rows_are_not_broadcast(spark):
+    from scanlake.operators import neighbours as nb
+    from scanlake.session import cut
+
+    poses = ", ".join(f"cast(kf_id as double) {c}" for c in ("x", "y", "z", "roll", "pitch", "yaw"))
+    keyframes = cut(spark.range(200).select(F.lit(1).cast("long").alias("vehicle_id"), F.col("id").alias("kf_id")).selectExpr("*", *poses.split(", ")))
+    points = cut(keyframes.select("vehicle_id", "kf_id", "x", "y", "z"))
+    wanted = cut(keyframes.select("vehicle_id", "kf_id", F.col("kf_id").alias("loop_id")))
+    around = nb.key_window(wanted, keyframes, 25).drop("kf_id").withColumnRenamed("near_id", "kf_id")
+    made = nb.assemble_submap(around, keyframes, points, leaf=1.0, group=["loop_id"])
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.agg(F.sum("n")).first()[0] == around.count() == 200 * 51 - 2 * sum(range(1, 26))
