@@ -21,9 +21,10 @@ each text leaves a list, meet the table of counts in a join in which no key has
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ TAIL = CLASSES
 BUCKETS = 1 << 14
 HOT = 400_000
 CHUNK, STEP, TASK_TOKENS = 1 << 17, 1 << 13, 4_000_000
+#: Runs of at least so many gradients of one row are added up by themselves.
+LAYERS = 32
 P1, P2, P3 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
@@ -108,18 +111,17 @@ class Stream:
     """Texts of a batch as running token arrays, in chunks; each distinct token is looked at once a batch."""
 
     def __init__(self, texts: Iterator[bytes], words: Vocabulary):
-        self.index: dict[bytes, int] = {}
+        self.index: dict[bytes, int] = defaultdict(count().__next__)
         self.rows = []
-        put = self.index.setdefault
         for raw in texts:
             tokens = tokens_of(raw)
-            self.rows.append(np.fromiter((put(t, len(self.index)) for t in tokens), np.int32, len(tokens)))
+            self.rows.append(np.fromiter(map(self.index.__getitem__, tokens), np.int32, len(tokens)))
         self.distinct = list(self.index)
         self.hash = np.array([zlib.crc32(t) for t in self.distinct], np.uint32) * P1
         self.place = np.array([words.head.get(t, -1) for t in self.distinct], np.int32)
 
-    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Text of each token, head place of each token (or -1), and the four context hashes."""
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Text of each token, its place in the text, and its number in ``distinct``."""
         begin, held = 0, 0
         for at, row in enumerate(self.rows):
             held += len(row)
@@ -127,14 +129,21 @@ class Stream:
                 some = self.rows[begin : at + 1]
                 sizes = np.array([len(r) for r in some])
                 token = np.concatenate(some)
-                owner = np.repeat(np.arange(begin, at + 1), sizes)
-                where = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                h = self.hash[token]
-                before = [np.where(where >= k, np.concatenate([np.zeros(k, np.uint32), h[:-k]])[: len(h)], np.uint32(k)) for k in (1, 2, 3)]
-                context = np.stack([before[0] * P2 + P1, (before[0] * P3) ^ (before[1] * P2 + P3), before[1] * P1 + P2, before[2] * P3 + P1])
-                yield owner, self.place[token], context ^ (context >> np.uint32(15))
+                yield np.repeat(np.arange(begin, at + 1), sizes), np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes), token
                 begin, held = at + 1, 0
 
+    def context(self, where: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The four context hashes of each token."""
+        h = self.hash[token]
+        before = [np.where(where >= k, np.concatenate([np.zeros(k, np.uint32), h[:-k]])[: len(h)], np.uint32(k)) for k in (1, 2, 3)]
+        context = np.stack([before[0] * P2 + P1, (before[0] * P3) ^ (before[1] * P2 + P3), before[1] * P1 + P2, before[2] * P3 + P1])
+        return context ^ (context >> np.uint32(15))
+
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Text of each token, head place of each token (or -1), and the four context hashes."""
+        for owner, where, token in self.groups():
+            yield owner, self.place[token], self.context(where, token)
+
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h * P2) >> np.uint32(18)).astype(np.int32)
@@ -150,14 +159,30 @@ def _member_rows(context: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
     return [_bucket(context[k] ^ salt) for k in (0, 2)]
 
 
-def _log_softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, banned: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
+def _exponents(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, banned: np.ndarray) -> np.ndarray:
+    """Summed weights of each context less the largest of them, at most 0."""
+    z = np.take(weights, rows[0], axis=0)
     for r in rows[1:]:
-        z += weights[r]
+        z += np.take(weights, r, axis=0)
     z += bias
-    z = np.where(banned, np.float32(-1e30), z)
+    if banned.any():
+        z[np.broadcast_to(banned, z.shape)] = -1e30
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def _softmax(*given) -> np.ndarray:
+    z = _exponents(*given)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_softmax_at(which: np.ndarray, *given) -> np.ndarray:
+    """Of each context, the log probability of one of its choices."""
+    z = _exponents(*given)
+    own = z[np.arange(len(z)), which]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def log_probabilities(model: Model, place: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -166,27 +191,49 @@ def log_probabilities(model: Model, place: np.ndarray, context: np.ndarray) -> n
     for at in range(0, len(place), STEP):
         p, c = place[at : at + STEP], context[:, at : at + STEP]
         cls = np.where(p >= 0, p // MEMBERS, TAIL)
-        of_class = _log_softmax(model.classes, _class_rows(c), model.classes[BUCKETS], model.no_class)
-        got = of_class[np.arange(len(p)), cls].astype(float)
+        got = _log_softmax_at(cls, model.classes, _class_rows(c), model.classes[BUCKETS], model.no_class).astype(float)
         head = np.flatnonzero(p >= 0)
         if len(head):
             k = cls[head]
-            of_member = _log_softmax(model.members, _member_rows(c[:, head], k), model.members[BUCKETS + k], model.no_member[k])
-            got[head] += of_member[np.arange(len(head)), p[head] % MEMBERS]
+            biases = np.take(model.members, BUCKETS + k, axis=0)
+            got[head] += _log_softmax_at(p[head] % MEMBERS, model.members, _member_rows(c[:, head], k), biases, model.no_member[k])
         out[at : at + STEP] = got
     return out
 
 
+def _sums(rows: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and for each the sum of ``delta`` where it comes; ``delta`` holds for each len(delta) of ``rows`` again.
+
+    Runs of a row are added up in layers of first, second, ... places, the few long ones each by itself.
+    """
+    order = np.argsort(rows.astype(np.uint16) if BUCKETS + CLASSES < 1 << 16 else rows, kind="stable")
+    ordered, order = rows[order], order % len(delta)
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    sizes = np.diff(np.append(starts, len(order)))
+    by_size = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[by_size], sizes[by_size]
+    long = int(np.searchsorted(-sizes, -LAYERS))
+    out = np.take(delta, order[starts], axis=0)
+    for k in range(long):
+        out[k] = np.take(delta, order[starts[k] : starts[k] + sizes[k]], axis=0).sum(axis=0)
+    for layer in range(1, LAYERS):
+        upto = int(np.searchsorted(-sizes, -layer))
+        if upto <= long:
+            break
+        out[long:upto] += np.take(delta, order[starts[long:upto] + layer], axis=0)
+    return ordered[starts], out
+
+
 def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, delta: np.ndarray, rate: float) -> None:
     """An Adagrad step on the rows, whose gradients are summed where a row comes more than once."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    g = np.add.reduceat(delta[order % len(delta)], starts, axis=0)
-    which = ordered[starts]
-    s = squares[which] + g * g
+    which, g = _sums(rows, delta)
+    s = np.take(squares, which, axis=0)
+    s += g * g
     squares[which] = s
-    weights[which] -= rate * g / np.sqrt(s + 1e-6)
+    s += 1e-6
+    g *= rate
+    g /= np.sqrt(s, out=s)
+    weights[which] = np.take(weights, which, axis=0) - g
 
 
 def train_on(model: Model, squares: list[np.ndarray], place: np.ndarray, context: np.ndarray, rate: float) -> None:
@@ -194,13 +241,13 @@ def train_on(model: Model, squares: list[np.ndarray], place: np.ndarray, context
         p, c = place[at : at + STEP], context[:, at : at + STEP]
         cls = np.where(p >= 0, p // MEMBERS, TAIL)
         rows = _class_rows(c)
-        delta = np.exp(_log_softmax(model.classes, rows, model.classes[BUCKETS], model.no_class))
+        delta = _softmax(model.classes, rows, model.classes[BUCKETS], model.no_class)
         delta[np.arange(len(p)), cls] -= 1
         head = np.flatnonzero(p >= 0)
         if len(head):
             k = cls[head]
             m_rows = _member_rows(c[:, head], k)
-            m_delta = np.exp(_log_softmax(model.members, m_rows, model.members[BUCKETS + k], model.no_member[k]))
+            m_delta = _softmax(model.members, m_rows, np.take(model.members, BUCKETS + k, axis=0), model.no_member[k])
             m_delta[np.arange(len(head)), p[head] % MEMBERS] -= 1
             _descend(model.members, squares[1], np.concatenate([*m_rows, BUCKETS + k]), m_delta, rate)
         _descend(model.classes, squares[0], np.concatenate(rows), delta, rate)
@@ -288,23 +335,28 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: Model, t
         for batch in batches:
             stream = Stream(text_bytes(batch, text), known)
             n = batch.num_rows
-            count = np.array([known.counts.get(t, -1) for t in stream.distinct], np.int64)
-            log_count = np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.5), 0)
-            hot, is_head = count >= 0, stream.place >= 0
+            often = np.array([known.counts.get(t, -1) for t in stream.distinct], np.int64)
+            log_count = np.where(often >= 0, np.log10(np.maximum(often, 0) + 0.5), 0)
+            hot, is_head = often >= 0, stream.place >= 0
             sums = np.zeros((5, n))
-            rare: list[list[bytes]] = []
-            times: list[list[int]] = []
-            for at, row in enumerate(stream.rows):
-                sums[:4, at] = hot[row].sum(), len(row) - is_head[row].sum(), log_count[row].sum(), log_count[row[is_head[row]]].sum()
-                unique, often = np.unique(row[~hot[row]], return_counts=True)
-                rare.append([stream.distinct[k] for k in unique])
-                times.append(often.tolist())
-            for owner, place, context in stream.chunks():
-                sums[4] += np.bincount(owner, log_probabilities(weights, place, context), n)
+            rare, times, lists = [], [], np.zeros(n + 1, np.int64)
+            for owner, where, token in stream.groups():
+                own_hot, own_head = hot[token], is_head[token]
+                log = log_count[token]
+                for k, value in enumerate((own_hot, ~own_head, log, np.where(own_head, log, 0))):
+                    sums[k] += np.bincount(owner, value, n)
+                sums[4] += np.bincount(owner, log_probabilities(weights, stream.place[token], stream.context(where, token)), n)
+                pairs, repeats = np.unique(owner[~own_hot] * len(hot) + token[~own_hot], return_counts=True)
+                rare.append(pairs % len(hot))
+                times.append(repeats)
+                lists[1:] += np.bincount(pairs // len(hot), minlength=n)
+            ends = pa.array(np.cumsum(lists), pa.int32())
+            found = pa.array(stream.distinct, pa.binary()).take(pa.array(np.concatenate([*rare, np.zeros(0, np.int64)])))
             columns = [
                 pa.array(np.arange(number, number + n)), pa.array([len(r) for r in stream.rows], pa.int64()),
                 *(pa.array(sums[k].astype(np.int64)) for k in (0, 1)), *(pa.array(sums[k]) for k in (2, 3)), pa.array(sums[4] / np.log(10)),
-                pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())),
+                pa.ListArray.from_arrays(ends, found),
+                pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*times, np.zeros(0, np.int64)]), pa.int32())),
             ]
             number += n
             kept = [batch.column(f.name) for f in own]

@@ -1,6 +1,7 @@
 """Counts and base scores by hand, the model as a distribution, and held-out gain."""
 
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -84,3 +85,33 @@ def test_awkward_rows(spark):
     unlearned = lm.fit_and_score(rows, F.lit(False)).toPandas()
     assert len(unlearned) == rows.count() and (unlearned.n_known == 0).all() and (unlearned.train_tokens == 0).all()
     assert lm.fit_and_score(empty(spark), F.lit(True)).count() == 0
+
+
+def test_sums_of_rows(monkeypatch):
+    """Against one addition at a time, with short and long runs; and in far less time than segments of sorted rows take."""
+    rng = np.random.default_rng(1)
+    delta = rng.standard_normal((8192, 33)).astype(np.float32)
+    rows = np.concatenate([(rng.zipf(1.3, 8192) % lm.BUCKETS), *rng.integers(0, lm.BUCKETS, (3, 8192))])
+    want = np.zeros((lm.BUCKETS, 33))
+    np.add.at(want, rows, np.tile(delta, (4, 1)))
+    for layers in (1, 2, lm.LAYERS, 1 << 20):
+        monkeypatch.setattr(lm, "LAYERS", layers)
+        which, sums = lm._sums(rows, delta)
+        assert sorted(which) == sorted(set(rows.tolist())) and np.allclose(sums, want[which], atol=1e-3)
+    monkeypatch.undo()
+
+    def segments():
+        order = np.argsort(rows, kind="stable")
+        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        np.add.reduceat(delta[order % len(delta)], starts, axis=0)
+
+    def seconds(run):
+        times = []
+        for _ in range(7):
+            begun = time.process_time()
+            run()
+            times.append(time.process_time() - begun)
+        return min(times)
+
+    weights, squares = np.zeros((2, lm.BUCKETS, 33), np.float32)
+    assert seconds(lambda: lm._descend(weights, squares, rows, delta, 0.1)) < seconds(segments)
