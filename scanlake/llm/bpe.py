@@ -5,7 +5,7 @@ table (left token, right token, merged token: every split of a vocabulary entry
 Matches of the split pattern become rows of (word, position, token), one byte each. A recursive
 query joins neighbours with the merge table, contracts in every word the leftmost pair of least rank,
 and ends when no word has a pair left. Each distinct word is encoded once and kept for the task in a
-cache of bounded size. Decoding joins ids with the vocabulary and concatenates the bytes of each
+cache of bounded size, which when full goes on with the words of the texts at hand. Decoding joins ids with the vocabulary and concatenates the bytes of each
 text in the order of position.
 
 A row of tokens is what its bytes are merged to exactly if each two neighbours are what their own bytes
@@ -38,9 +38,11 @@ from scanlake.llm.common import append, in_batches, text_bytes
 LONG, HALF, STRETCHES = 192, 64, 4_096
 #: Stretches that don't meet make way for longer pieces, up to so many bytes more.
 FURTHEST = 1 << 16
-WORDS_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE, CACHE, TOKENS_AT_ONCE = 15_000, 200_000, 1_000_000, 400_000, 200_000
+WORDS_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE, CACHE, TOKENS_AT_ONCE = 5_000, 100_000, 1_000_000, 150_000, 100_000
+#: Rows leave the encoder in batches of about so many bytes of text and the columns kept with it.
+BATCH_BYTES = 1 << 20
 #: All rounds of short words have at most so many rows, as a word of n bytes leaves n, n - 1, ... in its rounds.
-ROWS_AT_ONCE = 2_000_000
+ROWS_AT_ONCE = 500_000
 
 #: ``start`` has running positions with a gap behind each word, so that neighbours are found by one join:
 #: a token ends where the next begins. ``made`` is the merged rank, then a place for the position, then the length.
@@ -108,35 +110,36 @@ class Encoder:
         if max(ranks.values()) >= 1 << 22 or max(map(len, ranks)) > 255:
             raise ValueError("ranks of 22 bits and tokens of 255 bytes at most")
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        splits = [
-            (ranks[t[:i]], ranks[t[i:]], rank, len(t))
-            for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
-        ]
+        splits = array("q")
+        for t, rank in ranks.items():
+            for i in range(1, len(t)):
+                if (left := ranks.get(t[:i])) is not None and (right := ranks.get(t[i:])) is not None:
+                    splits.extend((left, right, rank, len(t)))
         self.db = _connection()
-        rows = np.array(splits, np.int64).reshape(-1, 4)
+        rows = np.frombuffer(splits, np.int64).reshape(-1, 4)
         self.db.register("given", pa.table({c: pa.array(rows[:, k]) for k, c in enumerate("lrms")}))
         self.db.execute("CREATE TABLE merges AS SELECT l, r, m FROM given")
         self.db.execute("CREATE TABLE packed AS SELECT (l << 24) | r AS pair, (m << 40) | s AS made FROM given")
         self.db.unregister("given")
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.sizes[list(ranks.values())] = [len(t) for t in ranks]
-        self.whole = {t: rank.to_bytes(4, "little") for t, rank in ranks.items()}
+        self.ranks = ranks
         self.known: dict[str, bytes] = {}
 
     def packed(self, texts: Sequence[list[str]]) -> list[bytes]:
         """Ids of each text, given as its words, as little-endian unsigned 32-bit integers."""
+        distinct = dict.fromkeys(w for words in texts for w in words)
         if len(self.known) > CACHE:
-            self.known = {}
-        new = [w for words in texts for w in set(words) if w not in self.known]
-        self._learn(list(dict.fromkeys(new)))
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        self._learn([w for w in distinct if w not in self.known])
         return [b"".join(map(self.known.__getitem__, words)) for words in texts]
 
     def _learn(self, words: list[str]) -> None:
         short: dict[str, bytes] = {}
         for word in words:
             raw = word.encode()
-            if raw in self.whole:
-                self.known[word] = self.whole[raw]
+            if (rank := self.ranks.get(raw)) is not None:
+                self.known[word] = rank.to_bytes(4, "little")
             elif len(raw) > LONG:
                 self.known[word] = self._long(raw)
             else:
@@ -237,10 +240,18 @@ class Encoder:
 Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``BATCH_BYTES`` or so on average, of one row at least."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * BATCH_BYTES // max(batch.nbytes, BATCH_BYTES))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _encoding(held: Broadcast, pattern: str, text: str, keep: list[str]) -> Scan:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, split = None, regex.compile(pattern).findall
-        for batch in batches:
+        for batch in small_batches(batches):
             encoder = encoder or Encoder(held.value)
             packed: list[bytes] = []
             some: list[list[str]] = []

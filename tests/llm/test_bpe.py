@@ -1,9 +1,11 @@
 """Ids against the tiktoken library, and round trips."""
 
 import hashlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from helpers import awkward, empty, prose
@@ -86,3 +88,28 @@ def test_a_match_of_ten_megabytes(spark, ranks, library):
     for doc, piece, times in ((1, "a", 10_000_000), (2, "abcdefghijk", 910_000)):
         assert np.array_equal(np.frombuffer(bytes(out[doc].token_ids), "<u4"), library._encode_single_piece(piece * times))
         assert bytes(out[doc].decoded) == (piece * times).encode()
+
+
+def test_rows_leave_in_small_batches(ranks):
+    """A batch of 8 MB isn't held with its ids and decoded bytes at once, by the worker or by what it hands them to."""
+    texts = [prose(k, 900) for k in range(1200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1200)), "text": texts})
+    held = SimpleNamespace(value=ranks)
+    encoding, decoding = bpe._encoding(held, public_tokenizers.PATTERN, "text", ["doc_id", "text"]), bpe._decoding(held, "token_ids", "decoded")
+    out = list(decoding(encoding(iter([batch, batch.slice(0, 0)]))))
+    assert batch.nbytes > 5 * bpe.BATCH_BYTES and max(b.nbytes for b in out) < 5 * bpe.BATCH_BYTES
+    rows = pa.Table.from_batches(out)
+    assert rows["doc_id"].to_pylist() == list(range(1200)) and rows["decoded"].to_pylist() == [t.encode() for t in texts]
+
+
+def test_full_cache_keeps_words_in_use(ranks, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    encoder, learned = bpe.Encoder(ranks), []
+    learn = encoder._learn
+    encoder._learn = lambda words: learned.append(len(words)) or learn(words)
+    split = bpe.regex.compile(public_tokenizers.PATTERN).findall
+    for k in range(6):
+        text = "the same words again " + " ".join(f"own{k}x{j}" for j in range(60))
+        assert np.frombuffer(encoder.packed([split(text)])[0], "<u4").tolist() == library.encode_ordinary(text)
+    encoder.packed([split("the same words again")])
+    assert learned[-1] == 0 and len(encoder.known) < 50
