@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from scanlake.functions.poses import FIELDS
 from scanlake.operators import selection
 from scanlake.operators.folds import Fold, chained_fold
 from scanlake.streaming import feeds
@@ -99,3 +100,13 @@ def test_folds_of_many_short_runs_equal_one_by_one(spark):
     for begin, end, state, left in zip(starts, [*starts[1:], 300], states, after):
         alone, leaving = fold.run(np.arange(300.0)[begin:end], rows[begin:end], state)
         assert (keep[begin:end] == alone).all() and (leaving == left).all()
+
+
+def test_many_keys_share_a_row_of_state(spark, tmp_path):
+    """Keys of a bucket go through one call and lie in one row of state, null keys among them."""
+    drive = drives(spark, range(400), 4, seed=5).selectExpr("nullif(vehicle_id, 7) AS vehicle_id", *FIELDS, "pose_id", "ts")
+    out, progress = play(spark, by_time(drive, [12]), lambda s: feeds.sample_interval(s, ["vehicle_id"], 9.0), tmp_path)
+    assert ids(out.where("vehicle_id is not null")) == ids(selection.sample_interval(drive.where("vehicle_id is not null"), ["vehicle_id"], 9.0))
+    assert 0 < out.where("vehicle_id is null").count() < 4
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert 0 < max(held) <= feeds.BUCKETS
