@@ -37,87 +37,129 @@ def _reach(jump: np.ndarray, n: int, span: int) -> tuple[np.ndarray, np.ndarray]
     return np.minimum(next_jump - i, span), np.minimum(i - last_jump, span)
 
 
-def label_scan(
-    pdf: pd.DataFrame, edge: float, flat: float, sharpest: int, sharp: int, flattest: int | None,
-    column_gap: int | None, step_sq: float, sort_last: bool,
-) -> pd.DataFrame:
-    """Labels of one scan: 2 sharpest, 1 sharp, 0 none, -1 flat.
-
-    Sectors are visited in order. Corners are taken by falling curvature, then flat points by
-    rising curvature; every pick blocks its connected neighbours, across sector borders too.
+def label_scans(
+    starts: np.ndarray, idx: np.ndarray, curvature: np.ndarray, blocked: np.ndarray, jump: np.ndarray, sp: np.ndarray, ep: np.ndarray,
+    edge: float, flat: float, sharpest: int, sharp: int, flattest: int | None, sort_last: bool,
+) -> np.ndarray:
+    """Labels of scans that lie behind each other from ``starts``, each in order of ``idx``: 2 sharpest, 1 sharp, 0 none, -1 flat.
+
+    ``jump`` tells whether a row isn't joined to the next one, ``sp`` and ``ep`` (NaN for none) the sector of a row. Sectors
+    are visited in order. Corners are taken by falling curvature, then flat points by rising curvature; every pick
+    blocks its connected neighbours, across sector borders too. Order and candidates of all sectors are found at once.
     """
-    pdf = pdf.sort_values("idx").reset_index(drop=True)
-    n = len(pdf)
-    curvature = pdf["curvature"].fillna(0.0).to_numpy()
-    blocked = pdf["blocked"].to_numpy(dtype=bool).copy()
-    if column_gap is not None:
-        jump = np.abs(np.diff(pdf["col"].to_numpy())) > column_gap
-    else:
-        jump = (np.diff(pdf[["x", "y", "z"]].to_numpy(), axis=0) ** 2).sum(1) > step_sq
-    ahead, behind = _reach(jump, n, 5)
-    label = np.zeros(n, dtype="int32")
-    base = int(pdf["idx"].iloc[0])
-    ranges = pdf.loc[pdf["sp"].notna(), ["sp", "ep"]].drop_duplicates().sort_values("sp")
-    for sp, ep in ranges.to_numpy().astype(int):
-        sp, ep = sp - base, ep - base
-        inner = np.arange(sp, ep + 1 if sort_last else ep)
-        order = inner[np.argsort(curvature[inner], kind="stable")]
-        if not sort_last:
-            order = np.append(order, ep)
+    n = len(idx)
+    scan = np.repeat(np.arange(len(starts)), np.diff(starts, append=n))
+    curvature = np.nan_to_num(curvature, nan=0.0, posinf=np.inf, neginf=-np.inf)
+    jump = jump.copy()
+    jump[np.append(starts[1:], n) - 1] = True
+    ahead, behind = _reach(jump[:-1], n, 5)
+    inside = np.flatnonzero(~np.isnan(sp))
+    shift = starts[scan[inside]] - idx[starts][scan[inside]]
+    spans = np.unique(np.stack([sp[inside] + shift, ep[inside] + shift], axis=1).astype(np.int64), axis=0)
+    sizes = spans[:, 1] - spans[:, 0] + 1
+    sector = np.repeat(np.arange(len(spans)), sizes)
+    row = np.arange(sizes.sum()) + np.repeat(spans[:, 0] - (np.cumsum(sizes) - sizes), sizes)
+    last = np.zeros(len(row), bool) if sort_last else row == spans[sector, 1]
+    order = np.lexsort((row, curvature[row], last, sector))
+    free = order[~blocked[row[order]]]
+    low, high = free[curvature[row[free]] < flat], free[curvature[row[free]] > edge][::-1]
+    flats, corners = row[low].tolist(), row[high].tolist()
+    whole = np.arange(len(spans) + 1)
+    flat_from = np.searchsorted(sector[low], whole).tolist()
+    corner_from = (len(corners) - np.searchsorted(sector[high[::-1]], whole)).tolist()
+    label = np.zeros(n, np.int32)
+    taken, ones = bytearray(blocked.astype(np.uint8).tobytes()), bytes([1]) * 16
+    begin, end = (np.arange(n) - behind).tolist(), (np.arange(n) + ahead + 1).tolist()
+    for k in range(len(spans)):
         picked = 0
-        for i in order[::-1]:
-            if blocked[i] or not curvature[i] > edge:
+        for i in corners[corner_from[k + 1] : corner_from[k]]:
+            if taken[i]:
                 continue
             picked += 1
             if picked > sharp:
                 break
             label[i] = 2 if picked <= sharpest else 1
-            blocked[i - behind[i] : i + ahead[i] + 1] = True
+            taken[begin[i] : end[i]] = ones[: end[i] - begin[i]]
         picked = 0
-        for i in order:
-            if blocked[i] or not curvature[i] < flat:
+        for i in flats[flat_from[k] : flat_from[k + 1]]:
+            if taken[i]:
                 continue
             label[i] = -1
             picked += 1
             if flattest is not None and picked >= flattest:
                 break
-            blocked[i - behind[i] : i + ahead[i] + 1] = True
+            taken[begin[i] : end[i]] = ones[: end[i] - begin[i]]
+    return label
+
+
+def _jumps(col: np.ndarray | None, xyz: np.ndarray | None, column_gap: int | None, step_sq: float) -> np.ndarray:
+    """Whether a row isn't joined to the next; false for the last."""
+    if column_gap is not None:
+        jump = np.abs(np.diff(col)) > column_gap
+    else:
+        jump = (np.diff(xyz, axis=0) ** 2).sum(1) > step_sq
+    return np.append(jump, False)
+
+
+def label_scan(
+    pdf: pd.DataFrame, edge: float, flat: float, sharpest: int, sharp: int, flattest: int | None,
+    column_gap: int | None, step_sq: float, sort_last: bool,
+) -> pd.DataFrame:
+    """``label_scans`` for the rows of one scan, in any order."""
+    pdf = pdf.sort_values("idx").reset_index(drop=True)
+    jump = _jumps(pdf["col"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float), column_gap, step_sq)
+    columns = [pdf[c].to_numpy(t) for c, t in (("idx", np.int64), ("curvature", float), ("blocked", bool))]
+    spans = [pdf[c].to_numpy(float) for c in ("sp", "ep")]
+    label = label_scans(np.zeros(1, np.int64), *columns, jump, *spans, edge, flat, sharpest, sharp, flattest, sort_last)
     return pdf.assign(label=label)[["scan_id", "idx", "label", "in_sector"]]
 
 
 def _labelled(
-    masked: DataFrame, bounds: DataFrame, **options
+    masked: DataFrame, bounds: DataFrame, edge: float, flat: float, sharpest: int, sharp: int, flattest: int | None,
+    column_gap: int | None, step_sq: float, sort_last: bool, values: Sequence[str] = (),
 ) -> DataFrame:
     spans = bounds.groupBy("scan_id", "ring").agg(F.collect_list(F.struct("sp", "ep")).alias("_spans"))
     hit = F.filter("_spans", lambda s: (F.col("idx") >= s["sp"]) & (F.col("idx") <= s["ep"]))
+    joins = ["col"] if column_gap is not None else ["x", "y", "z"]
+    read = list(dict.fromkeys([*joins, *values]))
     rows = (
         masked.join(spans, ["scan_id", "ring"], "left")
         .withColumn("_s", F.get(hit, 0))
         .select(
-            "scan_id", "idx", "ring", "col", "x", "y", "z", "curvature", "blocked",
-            F.col("_s.sp").alias("sp"), F.col("_s.ep").alias("ep"), F.col("_s").isNotNull().alias("in_sector"),
+            "scan_id", "idx", "curvature", "blocked", *read, F.col("_s.sp").cast("double").alias("_sp"), F.col("_s.ep").cast("double").alias("_ep"),
+            F.col("_s").isNotNull().alias("in_sector"),
         )
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return label_scan(pdf, **options)
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        def column(name: str) -> np.ndarray:
+            return table.column(name).cast(pa.float64()).fill_null(float("nan")).to_numpy()
 
-    return rows.groupBy("scan_id").applyInPandas(
-        run, "scan_id bigint, idx bigint, label int, in_sector boolean"
-    )
+        col = column("col") if column_gap is not None else None
+        xyz = None if column_gap is not None else np.column_stack([column(c) for c in ("x", "y", "z")])
+        blocked = table.column("blocked").to_numpy().astype(bool)
+        label = label_scans(
+            starts, table.column("idx").to_numpy(), column("curvature"), blocked, _jumps(col, xyz, column_gap, step_sq), column("_sp"),
+            column("_ep"), edge, flat, sharpest, sharp, flattest, sort_last,
+        )
+        return table.select(["scan_id", "idx", *values]).append_column("label", pa.array(label)).append_column("in_sector", table.column("in_sector"))
+
+    fields = [rows.schema[c] for c in ("scan_id", "idx", *values)]
+    schema = T.StructType([*fields, T.StructField("label", T.IntegerType()), T.StructField("in_sector", T.BooleanType())])
+    return map_table_runs(rows, ["scan_id"], ["idx"], run, schema)
 
 
 def pick_features(
-    masked: DataFrame, bounds: DataFrame, edge: float = 0.1, flat: float = 0.1, corners: int = 20
+    masked: DataFrame, bounds: DataFrame, edge: float = 0.1, flat: float = 0.1, corners: int = 20, values: Sequence[str] = ()
 ) -> DataFrame:
     """Corner (1) and flat (-1) labels on a range image.
 
     ``masked`` is an indexed range image with ``curvature`` and ``blocked``; ``bounds`` comes from
-    ``ring_bounds``. Up to ``corners`` corners per sector.
+    ``ring_bounds``. Up to ``corners`` corners per sector. ``values`` are columns of ``masked`` that go along.
     """
     return _labelled(
         masked, sectors(bounds), edge=edge, flat=flat, sharpest=0, sharp=corners, flattest=None,
-        column_gap=10, step_sq=0.0, sort_last=False,
+        column_gap=10, step_sq=0.0, sort_last=False, values=values,
     )
 
 

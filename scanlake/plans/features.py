@@ -31,8 +31,7 @@ def feature_job(
         image = scans.deskew(image, motion)
     indexed = images.parallel_mask(images.occlusion_mask(images.curvature(images.dense_index(image))))
     masked = indexed.withColumn("blocked", F.col("occluded") | F.col("parallel"))
-    labels = selection.pick_features(masked, images.ring_bounds(image, n_rings), edge, flat, corners)
-    pixels = masked.select("scan_id", "idx", "ring", "x", "y", "z").join(labels, ["scan_id", "idx"])
+    pixels = selection.pick_features(masked, images.ring_bounds(image, n_rings), edge, flat, corners, ["ring", "x", "y", "z"])
     picked = pixels.where("label = 1").select("scan_id", "ring", F.lit("corner").alias("kind"), "x", "y", "z")
     rest = voxel_downsample(pixels.where("in_sector and label <= 0"), ["scan_id", "ring"], leaf)
     return picked.unionByName(

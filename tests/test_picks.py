@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from scanlake.operators.selection import label_scan
+from scanlake.operators.selection import label_scan, label_scans
 
 
 def loop(pdf, edge, flat, sharp, gap):
@@ -57,3 +57,19 @@ def test_picks_match_the_loop(seed):
             pdf.loc[sp:ep, "in_sector"] = True
     got = label_scan(pdf.sample(frac=1, random_state=1), 0.1, 0.1, 0, 3, None, 10, 0.0, False)
     assert list(got.sort_values("idx")["label"]) == list(loop(pdf, 0.1, 0.1, 3, 10))
+
+
+def test_many_scans_at_once_equal_one_by_one():
+    """Scans behind each other are labelled in one call; a pick blocks nothing of the next scan."""
+    rng = np.random.default_rng(9)
+    sizes = [40, 7, 90, 25]
+    starts = np.cumsum([0, *sizes[:-1]])
+    n = sum(sizes)
+    idx = np.concatenate([np.arange(s) + 3 for s in sizes])
+    sp = np.where((idx - 3) // 12 * 12 + 11 < np.repeat(sizes, sizes), (idx - 3) // 12 * 12 + 3.0, np.nan)
+    columns = [idx, rng.choice([0.05, 0.2, 0.5, np.nan], n) * rng.random(n), rng.random(n) < 0.1, rng.random(n) < 0.1, sp, sp + 11]
+    together = label_scans(starts, *columns, 0.1, 0.1, 1, 3, 4, True)
+    for a, b in zip(starts, [*starts[1:], n]):
+        alone = label_scans(np.zeros(1, np.int64), *[c[a:b] for c in columns], 0.1, 0.1, 1, 3, 4, True)
+        assert (together[a:b] == alone).all()
+    assert set(together.tolist()) == {-1, 0, 1, 2}
