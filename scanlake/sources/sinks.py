@@ -17,16 +17,16 @@ def write_keyframes(
 ) -> None:
     """Points in their own frames below ``path/keyframes`` and in the world frame below ``path/global``.
 
-    Both have a folder per drive, in which files and their row groups follow each other by keyframe, so a reader of one
-    keyframe skips the rest by its statistics. A range partitioning keeps files few and splits large drives and
-    keyframes. Points whose keyframe isn't among ``keyframes`` have no place in the world and are in neither output.
+    Files and their row groups follow each other by drive and keyframe, so a reader of one drive or keyframe skips the rest
+    by its statistics. A range partitioning makes as many files as the points' size asks for, however many drives there
+    are, and splits large drives and keyframes. Points whose keyframe isn't among ``keyframes`` have no place in the world and are in neither output.
     """
     layout = [*keys, "kf_id"]
     known = points.join(keyframes.select(*layout).distinct(), layout, "left_semi")
     for name, cloud in (("keyframes", known), ("global", transform_points(known, keyframes, layout).select(known.columns))):
         order = [*layout, "point_idx"]
         sorted_ = cloud.repartitionByRange(*order).sortWithinPartitions(*order)
-        sorted_.write.partitionBy(*keys).parquet(f"{path}/{name}")
+        sorted_.write.parquet(f"{path}/{name}")
 
 
 def write_points(points: DataFrame, path: str) -> None:

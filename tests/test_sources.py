@@ -41,6 +41,16 @@ def test_points_without_a_keyframe_are_in_neither_export(spark, tmp_path):
     assert own.count() == world.count() == points.where("kf_id <> 2").count() < points.count()
 
 
+def test_exported_files_do_not_grow_with_drives(spark, tmp_path):
+    keyframes, points = fx.keyframes(spark, SF), fx.keyframe_points(spark, SF)
+    sinks.write_keyframes(points, keyframes, str(tmp_path / "t"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("keyframes", "global"):
+        out = spark.read.parquet(str(tmp_path / "t" / name))
+        assert len(out.inputFiles()) <= partitions < points.select("vehicle_id").distinct().count()
+        assert dict(out.dtypes)["vehicle_id"] == dict(points.dtypes)["vehicle_id"] and out.count() == points.count()
+
+
 def test_every_keyframe_has_points_and_every_point_a_keyframe(spark):
     for sf in (SF, "/root/testdata/sf0.01"):
         points, keyframes = fx.keyframe_points(spark, sf), fx.keyframes(spark, sf)
