@@ -301,13 +301,14 @@ def _diag(*pairs: tuple[float, float]) -> np.ndarray:
 
 
 def _positive(m: np.ndarray, floor: float) -> np.ndarray:
-    values, vectors = np.linalg.eigh(0.5 * (m + m.T))
-    return (vectors * np.maximum(values, floor)) @ vectors.T
+    """``m``, or each of its matrices, with eigenvalues raised to ``floor``."""
+    values, vectors = np.linalg.eigh(0.5 * (m + np.swapaxes(m, -1, -2)))
+    return (vectors * np.maximum(values, floor)[..., None, :]) @ np.swapaxes(vectors, -1, -2)
 
 
 def _wrapped(v: np.ndarray) -> np.ndarray:
     v = v.copy()
-    v[ANGLES] = np.arctan2(np.sin(v[ANGLES]), np.cos(v[ANGLES]))
+    v[..., ANGLES] = np.arctan2(np.sin(v[..., ANGLES]), np.cos(v[..., ANGLES]))
     return v
 
 
@@ -368,7 +369,66 @@ def fuse_fold(options: FuseOptions):
             out[i] = [*p, *_rpy(r), np.trace(pose)]
         return out, np.concatenate([p, r.reshape(-1), x, cov.reshape(-1), pose.reshape(-1)])
 
-    return Fold([*FIELDS, *STEP, *SYNC, "dt", "noise"], FUSE_FIELDS, run)
+    def correct_many(x, cov, z, r):
+        r = _positive(r, o.floor)
+        gain = np.linalg.solve(_positive(cov[:, :6, :6] + r, o.floor), cov[:, :6, :]).transpose(0, 2, 1)
+        x = x + (gain @ _wrapped(z - x[:, :6])[..., None])[..., 0]
+        x[:, :6] = _wrapped(x[:, :6])
+        keep = np.broadcast_to(np.eye(12), (len(x), 12, 12)).copy()
+        keep[:, :, :6] -= gain
+        return x, _positive(keep @ cov @ keep.transpose(0, 2, 1) + gain @ r @ gain.transpose(0, 2, 1), o.floor)
+
+    def many(times: np.ndarray, rows: np.ndarray, starts: np.ndarray, states: list[np.ndarray | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The j-th rows of all runs at once."""
+        rot, pos = _matrices(rows[:, :6])
+        steps, sync, dts, ages = rows[:, 6:12], rows[:, 12:18], rows[:, 18], rows[:, 19]
+        fresh = np.concatenate([np.zeros(24), start.reshape(-1), _diag(o.start_pose).reshape(-1)])
+        held = np.array([fresh if s is None else s for s in states], float).reshape(-1, len(fresh))
+        new = np.array([s is None for s in states], bool)
+        p, r, x = held[:, :3], held[:, 3:12].reshape(-1, 3, 3), held[:, 12:24]
+        cov, pose = held[:, 24:168].reshape(-1, 12, 12), held[:, 168:].reshape(-1, 6, 6)
+        p[new], r[new] = pos[starts[new]], rot[starts[new]]
+        sizes = np.diff(starts, append=len(rows))
+        out = np.empty((len(rows), 7))
+        a = o.control
+        for j in range(int(sizes.max(initial=0))):
+            runs = np.flatnonzero(sizes > j)
+            at = starts[runs] + j
+            moved = np.isfinite(dts[at]) & np.isfinite(steps[at]).all(axis=1)
+            now, i = runs[moved], at[moved]
+            if len(now):
+                dt = dts[i]
+                f = np.zeros((len(now), 12, 12))
+                f[:, :6, :6], f[:, 6:, 6:] = np.eye(6), (1 - a) * np.eye(6)
+                f[:, :6, 6:] = ((1 - a) * dt)[:, None, None] * np.eye(6)
+                rate = steps[i] / dt[:, None]
+                here = (f @ x[now][..., None])[..., 0] + np.concatenate([(a * dt)[:, None] * rate, a * rate], axis=1)
+                here[:, :6] = _wrapped(here[:, :6])
+                scaled = np.broadcast_to(noise, (len(now), 12, 12)).copy()
+                span = np.maximum(dt, 1e-3)[:, None, None]
+                scaled[:, :6, :6] *= span * span
+                scaled[:, 6:, 6:] *= span
+                c = _positive(f @ _positive(cov[now], o.floor) @ f.transpose(0, 2, 1) + _positive(scaled, o.floor), o.floor)
+                here, c = correct_many(here, c, steps[i], front)
+                both = np.flatnonzero(np.isfinite(sync[i]).all(axis=1))
+                if len(both):
+                    here[both], c[both] = correct_many(here[both], c[both], sync[i[both]], back * ages[i[both], None, None])
+                turn, move = _matrices(here[:, :6])
+                p[now] += (r[now] @ move[..., None])[..., 0]
+                r[now] = r[now] @ turn
+                pose[now] = _positive(pose[now] + c[:, :6, :6], o.floor)
+                rate_cov = _positive(c[:, 6:, 6:] + reset_rate, o.floor)
+                here[:, :6] = 0.0
+                x[now] = here
+                c = np.zeros((len(now), 12, 12))
+                c[:, :6, :6], c[:, 6:, 6:] = reset_step, rate_cov
+                cov[now] = _positive(c, o.floor)
+            q = r[runs]
+            attitude = np.stack([np.arctan2(q[:, 2, 1], q[:, 2, 2]), np.arcsin(np.clip(-q[:, 2, 0], -1, 1)), np.arctan2(q[:, 1, 0], q[:, 0, 0])], axis=1)
+            out[at] = np.concatenate([p[runs], attitude, np.trace(pose[runs], axis1=1, axis2=2)[:, None]], axis=1)
+        return out, list(np.concatenate([p, *(v.reshape(len(p), -1) for v in (r, x, cov, pose))], axis=1))
+
+    return Fold([*FIELDS, *STEP, *SYNC, "dt", "noise"], FUSE_FIELDS, run, many)
 
 
 def fuse(
