@@ -12,8 +12,7 @@ from scanlake.functions.poses import FIELDS, Pose, between, from_columns, invers
 from scanlake.functions.rotations import rpy_matrix
 from scanlake.operators import neighbours as nb, places
 from scanlake.operators.graph import EDGE
-from scanlake.operators.scans import min_count
-from scanlake.plans.alignment import align_clouds
+from scanlake.plans.alignment import align_windows
 from scanlake.session import cut
 
 XYZ = ("x", "y", "z")
@@ -57,14 +56,6 @@ def mine_loops(
     return near.unionByName(seen)
 
 
-def _submaps(wanted: DataFrame, keyframes: DataFrame, points: DataFrame, keys: list[str], name: str, n: int, leaf: float, least: int) -> DataFrame:
-    """The cloud of each keyframe in ``wanted`` (column ``name``) and of ``n`` on both sides, one point per leaf."""
-    around = nb.key_window(wanted.withColumn("kf_id", F.col(name)), keyframes, n, keys)
-    around = around.drop("kf_id").withColumnRenamed("near_id", "kf_id")
-    made = nb.assemble_submap(around, keyframes, points, leaf=leaf, keys=keys, group=[name])
-    return min_count(cut(made), [*keys, name], least).select(*keys, name, F.struct("vx", "vy", "vz").alias("point_id"), *XYZ)
-
-
 def verify_loops(
     candidates: DataFrame,
     keyframes: DataFrame,
@@ -84,8 +75,8 @@ def verify_loops(
     """Candidates whose clouds align: loop edges with the fitness as variance.
 
     The current keyframe's cloud (``kf_id``) is aligned to the clouds of the ``neighbours`` on both sides of the candidate
-    (``loop_id``), reduced to one centroid per ``leaf``; small clouds are left out. A candidate's cloud is made once, however
-    many pairs meet it.
+    (``loop_id``), reduced to one centroid per ``leaf``; small clouds are left out. A candidate's cloud is made in the task that
+    aligns its pairs (``align_windows``).
 
     ``frame`` "world" places each cloud by its own pose, and the edge leads from the corrected pose to the candidate's. "base"
     places all clouds of a drive by the pose of its first keyframe, as loops by descriptor are checked; the edge is then
@@ -100,11 +91,7 @@ def verify_loops(
     if frame == "base":
         base = placed.groupBy(*keys).agg(F.min_by(F.struct(*FIELDS), "kf_id").alias("_base"))
         placed = placed.select(*keys, "kf_id").join(base, keys).select(*keys, "kf_id", *[F.col(f"_base.{f}").alias(f) for f in FIELDS])
-    source = _submaps(wanted.select(*keys, "cur_id").distinct(), placed, points, keys, "cur_id", 0, leaf, min_source)
-    target = _submaps(wanted.select(*keys, "loop_id").distinct(), placed, points, keys, "loop_id", neighbours, leaf, min_target)
-    fitted = align_clouds(
-        wanted, source, [*keys, "cur_id"], target, [*keys, "loop_id"], size, max_d, rounds, yaw="yaw"
-    )
+    fitted = align_windows(wanted, placed, points, keys, neighbours, leaf, min_source, min_target, size, max_d, rounds)
     good = fitted.where(F.col("converged") & (F.col("fitness") <= max_fitness))
 
     def poses(prefix: str, name: str) -> DataFrame:
