@@ -24,14 +24,14 @@ def _d2(a: str, b: str, dims="xyz") -> str:
 _QUERY_POINTS = "q AS (SELECT vehicle_id, kf_id, point_idx, x + CAST(0.5 AS DOUBLE) AS x, y - CAST(0.25 AS DOUBLE) AS y, z FROM keyframe_points)"
 
 
-def _shifted(spark, d):
-    kp = fx.keyframe_points(spark, d)
+def _shifted(spark, d, kp=None):
+    kp = fx.keyframe_points(spark, d) if kp is None else kp
     return kp.withColumns({"x": F.col("x") + 0.5, "y": F.col("y") - 0.25})
 
 
-def _scan_map(spark, d):
+def _scan_map(spark, d, kp=None):
     """All points of a vehicle as its map."""
-    return fx.keyframe_points(spark, d).select("vehicle_id", "point_idx", *XYZ)
+    return (fx.keyframe_points(spark, d) if kp is None else kp).select("vehicle_id", "point_idx", *XYZ)
 
 
 _KNN5 = f"""{_QUERY_POINTS}, m AS (SELECT vehicle_id, point_idx, x, y, z FROM keyframe_points),
@@ -308,8 +308,9 @@ SELECT vehicle_id, point_idx, {q6('w*ux')} AS a, {q6('w*uy')} AS b, {q6('w*uz')}
     ("keyframe_points",),
 )
 def plane_matches(spark, d):
+    kp = fx.keyframe_points(spark, d)
     out = fits.plane_matches(
-        _shifted(spark, d), _scan_map(spark, d), V, "point_idx", "point_idx", max_d=8.0, tolerance=1.0037
+        _shifted(spark, d, kp), _scan_map(spark, d, kp), V, "point_idx", "point_idx", max_d=8.0, tolerance=1.0037
     )
     return rounded(out, ["vehicle_id", "point_idx"], ["a", "b", "c", "d", "w"])
 
