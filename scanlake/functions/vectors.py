@@ -59,16 +59,24 @@ def _best_shifts(a: pd.Series, b: pd.Series) -> pd.Series:
     for n in np.unique(sizes):
         rows = np.flatnonzero(sizes == n)
         for some in np.array_split(rows, len(rows) // 4096 + 1):
-            u, v = (np.stack([np.asarray(x, float) for x in side.iloc[some]]) for side in (a, b))
-            turned = (np.arange(n)[:, None] - np.arange(n)[None, :]) % max(n, 1)
-            total = np.zeros((len(some), n))
-            for i in range(n):
-                off = u[:, i, None] - v[:, turned[i]]
-                total += off * off
-            out[some] = np.where(np.isnan(total), np.inf, total).argmin(axis=1) if n else 0
+            out[some] = nearest_shifts(*(np.stack([np.asarray(x, float) for x in side.iloc[some]]) for side in (a, b)))
     return pd.Series(out)
 
 
+def nearest_shifts(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``best_shift`` of rows of two matrices."""
+    n = u.shape[1]
+    if not n:
+        return np.zeros(len(u), np.int32)
+    twice = np.concatenate([v, v], axis=1)
+    total = np.zeros((len(u), n))
+    for i in range(n):
+        off = u[:, i, None] - twice[:, i + n : i : -1]
+        off *= off
+        total += off
+    return np.where(np.isnan(total), np.inf, total).argmin(axis=1).astype(np.int32)
+
+
 def best_shifts(a: Column, b: Column) -> Column:
     """``best_shift`` of arrays of equal lengths, many rows at a time; terms are added in the same order."""
     return F.pandas_udf(_best_shifts, "int")(a, b)

@@ -22,10 +22,28 @@ def mine_by_descriptor(
     points: DataFrame, keys: Sequence[str], item: str = "kf_id", gap: int = 30, k: int = 3, threshold: float = 0.4
 ) -> DataFrame:
     """Loops by place descriptor: for each item the best of its ``k`` nearest earlier ring keys
-    whose shift-searched distance is below ``threshold``. ``keys`` name the drive."""
+    whose shift-searched distance is below ``threshold``. ``keys`` name the drive.
+
+    Drives of few items are searched in one task each, larger ones by tables."""
     keys = list(keys)
     at = [*keys, item]
     sparse = cut(places.scan_descriptor(points, at))
+    if not keys:
+        return _mine_by_tables(sparse, keys, item, gap, k, threshold)
+    count = F.count(F.lit(1)).alias("_n")
+    large = cut(sparse.groupBy(*keys).agg(count).where(F.col("_n") > places.ITEMS).select(*keys))
+    if not large.isEmpty():
+        items = sparse.join(large, keys, "left_semi").select(*at).distinct()
+        large = cut(items.groupBy(*keys).agg(count).where(F.col("_n") > places.ITEMS).select(*keys))
+    if large.isEmpty():
+        return places.drive_loops(sparse, keys, item, k, gap, threshold)
+    small = places.drive_loops(sparse.join(large, keys, "left_anti"), keys, item, k, gap, threshold)
+    return small.unionByName(_mine_by_tables(cut(sparse.join(large, keys, "left_semi")), keys, item, gap, k, threshold))
+
+
+def _mine_by_tables(sparse: DataFrame, keys: list[str], item: str, gap: int, k: int, threshold: float) -> DataFrame:
+    """``mine_by_descriptor`` from the descriptors of drives of any length."""
+    at = [*keys, item]
     near = places.descriptor_knn(places.ring_key(sparse, at), keys, k, gap, item)
     a, b = f"_{item}_a", f"_{item}_b"
     whole = F.struct(*at) if keys else F.col(item)
