@@ -120,8 +120,8 @@ SELECT scan_id, point_idx, count(*) AS n, {q6('sum(w)')} AS w, {', '.join(f'{q6(
 )
 def weighted_neighbours(spark, d):
     pts = fx.points(spark, d).select("scan_id", "point_idx", *XYZ)
-    pairs = nb.radius_join(pts, pts, ["scan_id"], 4.0, "point_idx", "point_idx")
-    out = nb.weighted_neighbours(pairs, ["scan_id", "point_idx"])
+    sums = nb.radius_join(pts, pts, ["scan_id"], 4.0, "point_idx", "point_idx", sums=nb.PLACES)
+    out = nb.weighted_neighbours(sums, ["scan_id", "point_idx"])
     return rounded(out, ["scan_id", "point_idx", "n"], ["w", "mx", "my", "mz", *COV])
 
 
