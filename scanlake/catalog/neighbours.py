@@ -140,8 +140,8 @@ def weighted_covariances(spark, d):
     """Every point has a covariance of its own, here made from its ring."""
     pts = fx.points(spark, d).select("scan_id", "point_idx", "ring", *XYZ)
     own = pts.select("*", *[F.expr(v.replace("0.1 +", "0.1D +").replace("0.01", "0.01D")).alias(c) for c, v in _OWN.items()])
-    pairs = nb.radius_join(pts, own, ["scan_id"], 4.0, "point_idx", "point_idx", values=list(_OWN))
-    out = nb.weighted_covariances(pairs, ["scan_id", "point_idx"])
+    sums = nb.radius_join(pts, own, ["scan_id"], 4.0, "point_idx", "point_idx", values=list(_OWN), sums=nb.COVARIANCES)
+    out = nb.weighted_covariances(sums, ["scan_id", "point_idx"])
     return rounded(out, ["scan_id", "point_idx", "n"], ["mx", "my", "mz", *_OWN])
 
 
